@@ -98,8 +98,8 @@ def series_merge(spark, folder):
 
 
 MAX_CONCURRENCY_SQL = """SELECT coalesce(max(active), 0)::bigint AS max_concurrency FROM (
-  SELECT sum(change) OVER (ORDER BY at, change ROWS UNBOUNDED PRECEDING) AS active FROM (
-    SELECT started_at AS at, 1 AS change FROM timings UNION ALL SELECT completed_at, -1 FROM timings))"""
+  SELECT sum(change) OVER (ORDER BY moment, change ROWS UNBOUNDED PRECEDING) AS active FROM (
+    SELECT started_at AS moment, 1 AS change FROM timings UNION ALL SELECT completed_at, -1 FROM timings))"""
 
 
 @query("max_concurrency", with_views(TIMINGS, body=MAX_CONCURRENCY_SQL))
