@@ -133,4 +133,6 @@ results AS (
 
 
 def with_views(*views: str, body: str) -> str:
-    return "WITH " + ",".join(views) + "\n" + body.strip()
+    body = body.strip()
+    head = "WITH " + ",".join(views)
+    return head + ",\n" + body.removeprefix("WITH ") if body.startswith("WITH ") else head + "\n" + body

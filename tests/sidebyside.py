@@ -51,6 +51,8 @@ def compare(spark, con, job, sql: str, folder: str) -> str | None:
         return f"columns differ: {columns} / {sorted(names)}"
     index = [names.index(c) for c in columns]
     right = Counter(tuple(plain(row[i]) for i in index) for row in cursor.fetchall())
+    if not left:
+        print("   (no rows)", end=" ")
     if left != right:
         a, b = list((left - right).items())[:3], list((right - left).items())[:3]
         return f"rows {sum(left.values())}/{sum(right.values())}\n   cols {columns}\n  spark {a}\n  duck  {b}"
