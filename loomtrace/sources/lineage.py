@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 MAX_DEPTH = 99
 
 
@@ -14,7 +16,12 @@ def chain_by_order(checkpoints: DataFrame) -> DataFrame:
 
 
 def ancestry(spark: SparkSession, edges: DataFrame, start: str | None = None) -> DataFrame:
-    """Ancestors of a checkpoint (the latest by default) with their depth. A pointer back into the chain ends the walk."""
+    """Ancestors of a checkpoint (the latest by default) with their depth. A pointer back into the chain ends the walk.
+
+    Edges are one row per checkpoint. They are checkpointed first, or every step would derive them anew.
+    """
+    ensure_checkpoint_dir(spark)
+    edges = edges.coalesce(1).checkpoint()
     first = "(SELECT max(checkpoint) FROM {edges})" if start is None else f"'{start}'"
     return spark.sql(
         f"""WITH RECURSIVE chain(checkpoint, parent, depth, path) AS (

@@ -159,3 +159,106 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("latency_ms"),
         (F.col("l_linenumber") * 8).cast("bigint").alias("output_tokens"),
     )
+
+
+def _quoted(text) -> Column:
+    """A text as a JSON string."""
+    wrapped = F.to_json(F.struct(F.col(text).alias("t")))
+    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+
+
+def bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Exchanges with request and response bodies in both protocols, streamed or not, some with tool calls."""
+    rows = exchanges(spark, folder)
+    conv = F.col("conv_id")
+    chat, done = conv % 2 == 0, F.col("model_completed")
+    streaming = conv % 5 == 1
+    tools = ~streaming & (conv % 6).isin(2, 5)
+    tokens_in, tokens_out = F.call_function("div", F.col("request_bytes"), F.lit(4)), F.call_function("div", F.col("response_bytes"), F.lit(4))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    said, asked = _quoted("response_text"), _quoted("request_text")
+    model = text('"model":"m', conv % 3, '"')
+    chat_tools = F.when(tools, ',"tools":[{"type":"function","function":{"name":"search","parameters":{"type":"object"}}}]').otherwise("")
+    flat_tools = F.when(tools, ',"tools":[{"type":"function","name":"search","parameters":{"type":"object"}}]').otherwise("")
+    request = F.when(chat, text("{", model, ',"messages":[{"role":"user","content":', asked, "}]", chat_tools, "}")).otherwise(
+        text("{", model, ',"input":', asked, ',"instructions":"Answer."', flat_tools, "}")
+    )
+    chat_usage = text('"usage":{"prompt_tokens":', tokens_in, ',"completion_tokens":', tokens_out, ',"prompt_tokens_details":{"cached_tokens":', F.call_function("div", tokens_in, F.lit(2)), "}}")
+    flat_usage = text('"usage":{"input_tokens":', tokens_in, ',"output_tokens":', tokens_out, "}")
+    call = ',"tool_calls":[{"id":"call_1","type":"function","function":{"name":"search","arguments":"{\\"q\\":1}"}}]'
+    chat_message = text('{"role":"assistant","content":', said, F.when(tools, call).otherwise(""), "}")
+    chat_plain = text('{"choices":[{"index":0,"message":', chat_message, ',"finish_reason":"', F.when(tools, "tool_calls").otherwise("stop"), '"}],', chat_usage, "}")
+    chat_stream = text(
+        'data: {"choices":[{"index":0,"delta":{"content":', said, '}}]}\n\ndata: {"choices":[{"index":0,"delta":{},"finish_reason":"stop"}],', chat_usage, "}\n\ndata: [DONE]\n\n"
+    )
+    part = text('{"type":"message","role":"assistant","content":[{"type":"output_text","text":', said, "}]}")
+    flat_call = F.when(tools, '{"type":"function_call","call_id":"call_1","name":"search","arguments":"not json"},').otherwise("")
+    flat_plain = text('{"type":"response","status":"completed","output":[', flat_call, part, "],", flat_usage, "}")
+    flat_stream = text(
+        'data: {"type":"response.output_text.delta","delta":', said, '}\n\ndata: {"type":"response.completed","response":{"status":"completed",', flat_usage, ',"output":[', part, "]}}\n\n"
+    )
+    response = (
+        F.when(chat & streaming & done, chat_stream)
+        .when(chat & streaming, 'data: {"choices":[{"index":0,"delta":{"content":""}}]}\n\n')
+        .when(chat & done, chat_plain)
+        .when(chat, '{"error":{"type":"overloaded"}}')
+        .when(streaming & done, flat_stream)
+        .when(streaming, 'data: {"type":"response.failed","response":{"status":"failed"}}\n\n')
+        .when(done, flat_plain)
+        .otherwise('{"type":"response","status":"incomplete","output":[],"usage":{}}')
+    )
+    identifier = F.concat(F.lit("01900000-0000-7000-8000-"), F.lpad((conv * 10_000 + F.col("turn")).cast("string"), 12, "0"))
+    return rows.select(
+        "conv_id", "turn", "request_text", "response_text", "model_completed", "trajectory_id", "started_at",
+        identifier.alias("exchange_id"),
+        F.concat(F.lit("c/"), identifier, F.lit(".json.zst")).alias("key"),
+        F.when(chat, "chat_completions").otherwise("responses").alias("endpoint"),
+        streaming.alias("streaming"),
+        F.when(done | (conv % 3 != 0), 200).otherwise(503).cast("bigint").alias("status"),
+        (F.col("request_bytes") + F.col("response_bytes") + 100).cast("bigint").alias("total_ms"),
+        request.alias("request"),
+        response.alias("response"),
+        ((conv * 7 + F.col("turn")) % 13).cast("int").alias("fault"),
+    )
+
+
+def envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, body): one envelope text per exchange. The `fault` number of an exchange plants one broken rule."""
+    rows = bodies(spark, folder)
+    fault = F.col("fault")
+    planted = lambda number, wrong, right: F.when(fault == number, wrong).otherwise(right)
+    moment = lambda value: F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    started = F.col("started_at")
+    completed = F.timestamp_millis(F.unix_millis(started) + F.when(fault == 4, -1).otherwise(1) * F.col("total_ms"))
+    coded = lambda name: F.base64(F.encode(name, "utf-8"))
+    # base64() breaks lines after 76 characters; envelopes carry one line.
+    single = lambda name: F.regexp_replace(coded(name), r"\s", "")
+    digest = lambda name: F.sha2(F.encode(name, "utf-8"), 256)
+    request = F.struct(
+        planted(3, F.concat(single("request"), F.lit("*")), single("request")).alias("body_base64"),
+        F.octet_length("request").alias("byte_len"),
+        planted(1, F.lit("0" * 64), digest("request")).alias("sha256"),
+    )
+    response = F.struct(
+        single("response").alias("body_base64"),
+        planted(2, F.octet_length("response") + 1, F.octet_length("response")).alias("byte_len"),
+        digest("response").alias("sha256"),
+        planted(10, F.lit(99).cast("bigint"), F.col("status")).alias("status"),
+    )
+    body = F.to_json(F.struct(
+        planted(5, F.lit("exchange.v1"), F.lit("exchange.v2")).alias("schema_version"),
+        F.lit(sf.SCOPE).alias("scope_id"),
+        F.lit("production").alias("profile"),
+        (fault != 6).alias("complete"),
+        planted(9, F.regexp_replace("exchange_id", "-7000-", "-4000-"), F.col("exchange_id")).alias("exchange_id"),
+        planted(8, F.lit("00000000-0000-0000-0000-000000000000"), F.col("trajectory_id")).alias("trajectory_id"),
+        planted(7, F.concat(F.date_format(started, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")), moment(started)).alias("started_at"),
+        moment(completed).alias("completed_at"),
+        "endpoint",
+        "streaming",
+        request.alias("request"),
+        response.alias("response"),
+        F.struct(F.lit("primary").alias("target")).alias("route"),
+        F.struct(F.col("total_ms"), F.when(F.col("streaming"), 50).cast("bigint").alias("ttft_ms")).alias("timing"),
+    ))
+    return rows.select("key", body.alias("body"))
