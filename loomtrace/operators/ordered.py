@@ -152,3 +152,12 @@ def nearest_rank_quantiles(df: DataFrame, keys: Sequence[str], value: str, perce
     return exploded.groupBy(*keys).agg(
         *[F.min(F.when(F.col("__w.name") == name, F.col(value))).alias(name) for name in percents]
     )
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keep later filters from being pushed below the costly columns of this frame, which would copy them into the filter.
+
+    Spark does not move a filter below a projection with a non-deterministic column; the row id costs nothing.
+    """
+    marked = df.withColumn("__row", F.monotonically_increasing_id())
+    return marked.where(F.col("__row") >= 0).drop("__row")

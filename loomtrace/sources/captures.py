@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as sf
+from ..operators.ordered import computed_once
 
 OBJECT_BYTES = 64 * 1024 * 1024
 SCHEMA_VERSION = "exchange.v2"
@@ -68,9 +69,10 @@ def scan_envelopes(objects: DataFrame, scope: str, profile: str, schema_version:
 
     Key and header rules come before the bodies are decoded.
     """
-    parsed = objects.withColumn("e", F.from_json("body", ENVELOPE)).select(*[c for c in objects.columns if c != "body"], "e.*")
+    opened = computed_once(objects.withColumn("e", F.from_json("body", ENVELOPE)))
+    parsed = opened.select(*[c for c in objects.columns if c != "body"], "e.*")
     sides = parsed.withColumn("request_body", decoded_body("request")).withColumn("response_body", decoded_body("response"))
-    timed = sides.withColumn("started", sf.parse_utc("started_at")).withColumn("completed", sf.parse_utc("completed_at"))
+    timed = computed_once(sides).withColumn("started", sf.parse_utc("started_at")).withColumn("completed", sf.parse_utc("completed_at"))
     trajectory = F.col("trajectory_id")
     canonical = trajectory.rlike(r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z") & ~trajectory.rlike("^[0-]+$")
     status = F.col("response.status")
@@ -91,4 +93,4 @@ def scan_envelopes(objects: DataFrame, scope: str, profile: str, schema_version:
         F.when(~F.coalesce(status.between(100, 599), F.lit(False)), "status_invalid"),
         F.when(~F.coalesce(F.col("timing.total_ms") >= 0, F.lit(False)) | F.coalesce(F.col("timing.ttft_ms") < 0, F.lit(False)), "timing_invalid"),
     )
-    return timed.withColumn("reject_reason", reason)
+    return computed_once(timed.withColumn("reject_reason", reason))

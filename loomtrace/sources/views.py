@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sf
-from ..operators.ordered import with_neighbour
+from ..operators.ordered import computed_once, with_neighbour
 from .tables import table
 
 TURNS_PER_PIECE = 4096
@@ -208,7 +208,7 @@ def bodies(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise('{"type":"response","status":"incomplete","output":[],"usage":{}}')
     )
     identifier = F.concat(F.lit("01900000-0000-7000-8000-"), F.lpad((conv * 10_000 + F.col("turn")).cast("string"), 12, "0"))
-    return rows.select(
+    return computed_once(rows).select(
         "conv_id", "turn", "request_text", "response_text", "model_completed", "trajectory_id", "started_at",
         identifier.alias("exchange_id"),
         F.concat(F.lit("c/"), identifier, F.lit(".json.zst")).alias("key"),
@@ -261,4 +261,4 @@ def envelopes(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.lit("primary").alias("target")).alias("route"),
         F.struct(F.col("total_ms"), F.when(F.col("streaming"), 50).cast("bigint").alias("ttft_ms")).alias("timing"),
     ))
-    return rows.select("key", body.alias("body"))
+    return computed_once(rows.select("key", body.alias("body")))
