@@ -8,22 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import first_rows, with_neighbour
+from .ordered import computed_once, first_rows, with_neighbour
 
 ROLES = ("system", "developer", "user", "assistant", "tool")
 TEXT_PARTS = ("text", "input_text", "output_text")
-CALLS = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
-PARTS = "array<struct<type:string,text:string,annotations:variant>>"
-ITEM = (
-    "struct<type:string,role:string,content:variant,tool_calls:variant,tool_call_id:string,refusal:variant,audio:variant,"
-    "function_call:variant,annotations:variant,encrypted_content:variant,reasoning_content:variant,"
-    "status:string,call_id:string,name:string,arguments:string,output:string>"
-)
-REQUEST = (
-    f"messages array<{ITEM}>, input variant, instructions variant, previous_response_id variant, conversation variant, tools variant"
-)
-RESPONSE = f"status string, output array<{ITEM}>, choices array<struct<finish_reason:string,message:{ITEM}>>"
-TOOL = "struct<type:string,name:string,parameters:variant,function:struct<name:string,parameters:variant>>"
+NO_CALLS = "array<struct<id:string,name:string,arguments:string>>"
 
 
 def _kind(value: Column) -> Column:
@@ -44,55 +33,88 @@ def _filled(value: Column) -> Column:
     return F.coalesce(value != "", F.lit(False))
 
 
-def _call_problem(identifier: Column, name: Column, arguments: Column) -> Column:
-    parsed = F.try_parse_json(arguments)
+def _part(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "variant")
+
+
+def _text(value: Column, path: str = "$") -> Column:
+    """A JSON string, NULL for anything else."""
+    part = _part(value, path)
+    return F.when(_kind(part) == "STRING", F.try_variant_get(part, "$", "string"))
+
+
+def _word(value: Column, path: str) -> Column:
+    """A JSON string, NULL when absent; other values show as their JSON, which is no known word."""
+    part = _part(value, path)
+    return F.when(_kind(part) == "STRING", F.try_variant_get(part, "$", "string")).when(_present(part), F.to_json(part))
+
+
+def _list(value: Column) -> Column:
+    """A JSON list as an array of VARIANT, NULL for anything else."""
+    return F.when(_kind(value) == "ARRAY", F.try_variant_get(value, "$", "array<variant>"))
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(_kind(value) == "OBJECT", F.lit(False))
+
+
+def _call(value: Column, identifier: str, owner: str) -> Column:
+    return F.struct(
+        _text(value, f"$.{identifier}").alias("id"), _text(value, f"{owner}.name").alias("name"), _text(value, f"{owner}.arguments").alias("arguments")
+    )
+
+
+def _item(value: Column) -> Column:
+    """A message or item as a typed struct; NULL when it is no object."""
+    calls = _list(_part(value, "$.tool_calls"))
+    fields = F.struct(
+        _word(value, "$.type").alias("type"), _word(value, "$.role").alias("role"), _word(value, "$.status").alias("status"),
+        _part(value, "$.content").alias("content"), _part(value, "$.tool_calls").alias("tool_calls"), _text(value, "$.tool_call_id").alias("tool_call_id"),
+        _text(value, "$.output").alias("output"), _call(value, "call_id", "$").alias("own_call"),
+        F.transform(calls, lambda c: F.struct(_word(c, "$.type").alias("type"), _call(c, "id", "$.function").alias("call"))).alias("calls"),
+        _truthy(_part(value, "$.encrypted_content")).alias("opaque"), _truthy(_part(value, "$.reasoning_content")).alias("reasoned"),
+        (_truthy(_part(value, "$.refusal")) | _truthy(_part(value, "$.audio")) | _truthy(_part(value, "$.function_call")) | _truthy(_part(value, "$.annotations"))).alias("special"),
+    )
+    return F.when(_is_object(value), fields)
+
+
+def _call_problem(call: Column) -> Column:
+    parsed = F.try_parse_json(call["arguments"])
     return (
-        F.when(~_filled(identifier) | ~_filled(name) | arguments.isNull(), "invalid_tool_call")
+        F.when(~_filled(call["id"]) | ~_filled(call["name"]) | call["arguments"].isNull(), "invalid_tool_call")
         .when(parsed.isNull(), "invalid_tool_arguments")
         .when(_kind(parsed) != "OBJECT", "nonobject_tool_arguments")
     )
 
 
-def _listed_calls(item: Column) -> Column:
-    return F.when(_kind(item["tool_calls"]) == "ARRAY", F.try_variant_get(item["tool_calls"], "$", CALLS))
-
-
 def _item_problem(item: Column, responses: Column) -> Column:
     kind, role, content = item["type"], item["role"], item["content"]
-    parts = F.try_variant_get(content, "$", PARTS)
-    good_part = lambda p: p.isNotNull() & F.coalesce(p["type"].isin(*TEXT_PARTS), F.lit(False)) & p["text"].isNotNull() & ~_truthy(p["annotations"])
-    calls = _listed_calls(item)
-    call_problems = F.filter(
-        F.transform(
-            calls,
-            lambda c: F.when(~F.coalesce(c["type"] == "function", F.lit(False)), "unsupported_tool_call").otherwise(
-                _call_problem(c["id"], c["function"]["name"], c["function"]["arguments"])
-            ),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    wrong_call = F.when(~F.coalesce(item["status"] == "completed", F.lit(True)), "incomplete_tool_call").otherwise(
-        _call_problem(item["call_id"], item["name"], item["arguments"])
+    good_part = lambda p: F.coalesce(_text(p, "$.type").isin(*TEXT_PARTS), F.lit(False)) & _text(p, "$.text").isNotNull() & ~_truthy(_part(p, "$.annotations"))
+    listed = F.transform(
+        item["calls"], lambda c: F.when(~F.coalesce(c["type"] == "function", F.lit(False)), "unsupported_tool_call").otherwise(_call_problem(c["call"]))
     )
+    call_problems = F.filter(listed, lambda p: p.isNotNull())
+    wrong_call = F.when(~F.coalesce(item["status"] == "completed", F.lit(True)), "incomplete_tool_call").otherwise(_call_problem(item["own_call"]))
+    called = _truthy(item["tool_calls"])
     plain = (
         F.when(~F.coalesce(kind == "message", F.lit(True)), "unknown_response_item")
-        .when(_truthy(item["encrypted_content"]), "opaque_message_content")
+        .when(item["opaque"], "opaque_message_content")
         .when(~F.coalesce(role.isin(*ROLES), F.lit(False)), "unknown_message_role")
-        .when(_truthy(item["refusal"]) | _truthy(item["audio"]) | _truthy(item["function_call"]) | _truthy(item["annotations"]), "unsupported_message_semantics")
+        .when(item["special"], "unsupported_message_semantics")
         .when(_present(content) & ~_kind(content).isin("STRING", "ARRAY"), "unsupported_content")
-        .when((_kind(content) == "ARRAY") & ~F.coalesce(F.forall(parts, good_part), F.lit(False)), "multimodal_or_annotated_content")
-        .when(_truthy(item["tool_calls"]) & ((role != "assistant") | calls.isNull()), "invalid_tool_calls")
-        .when(_truthy(item["tool_calls"]) & (F.size(call_problems) > 0), F.try_element_at(call_problems, F.lit(1)))
+        .when((_kind(content) == "ARRAY") & ~F.coalesce(F.forall(_list(content), good_part), F.lit(False)), "multimodal_or_annotated_content")
+        .when(called & ((role != "assistant") | item["calls"].isNull()), "invalid_tool_calls")
+        .when(called & (F.size(call_problems) > 0), F.try_element_at(call_problems, F.lit(1)))
         .when((role == "tool") & (item["tool_call_id"].isNull() | ~F.coalesce(_kind(content) == "STRING", F.lit(False))), "unsupported_tool_output")
-        .when(~_present(content) & ~_truthy(item["tool_calls"]), "missing_visible_message")
+        .when(~_present(content) & ~called, "missing_visible_message")
     )
     return (
         F.when(item.isNull(), "invalid_message")
-        .when(responses & F.coalesce(kind == "reasoning", F.lit(False)), None)
+        .when(_is_reasoning(item, responses), None)
         .when(responses & F.coalesce(kind == "function_call", F.lit(False)), wrong_call)
         .when(
             responses & F.coalesce(kind == "function_call_output", F.lit(False)),
-            F.when(item["call_id"].isNull() | item["output"].isNull(), "unsupported_tool_output"),
+            F.when(item["own_call"]["id"].isNull() | item["output"].isNull(), "unsupported_tool_output"),
         )
         .otherwise(plain)
     )
@@ -101,18 +123,13 @@ def _item_problem(item: Column, responses: Column) -> Column:
 def _message(item: Column, responses: Column) -> Column:
     direct = responses & F.coalesce(item["type"] == "function_call", F.lit(False))
     output = responses & F.coalesce(item["type"] == "function_call_output", F.lit(False))
-    content = item["content"]
-    call = lambda i, n, a: F.struct(i.alias("id"), n.alias("name"), a.alias("arguments"))
-    own = F.array(call(item["call_id"], item["name"], item["arguments"]))
-    listed = F.transform(_listed_calls(item), lambda c: call(c["id"], c["function"]["name"], c["function"]["arguments"]))
-    none = F.array().cast("array<struct<id:string,name:string,arguments:string>>")
-    parts = F.transform(F.try_variant_get(content, "$", PARTS), lambda p: p["text"])
+    listed = F.coalesce(F.transform(item["calls"], lambda c: c["call"]), F.array().cast(NO_CALLS))
     return F.struct(
         F.when(direct, "assistant").when(output, "tool").otherwise(item["role"]).alias("role"),
-        F.when(output, item["output"]).when(~direct & (_kind(content) == "STRING"), F.try_variant_get(content, "$", "string")).alias("content"),
-        F.when(~direct & ~output & (_kind(content) == "ARRAY"), parts).alias("parts"),
-        F.when(output, item["call_id"]).when(item["role"] == "tool", item["tool_call_id"]).alias("tool_call_id"),
-        F.when(direct, own).otherwise(F.coalesce(listed, none)).alias("tool_calls"),
+        F.when(output, item["output"]).when(~direct, _text(item["content"])).alias("content"),
+        F.when(~direct & ~output, F.transform(_list(item["content"]), lambda p: _text(p, "$.text"))).alias("parts"),
+        F.when(output, item["own_call"]["id"]).when(item["role"] == "tool", item["tool_call_id"]).alias("tool_call_id"),
+        F.when(direct, F.array(item["own_call"])).otherwise(listed).alias("tool_calls"),
     )
 
 
@@ -174,41 +191,37 @@ def decode_examples(rows: DataFrame, request: str = "request", response: str = "
 
     Adds `messages`, `tool_names`, `targets`, `omitted_reasoning` and `reject_reason` (NULL = supported). Every row stays.
     """
-    parsed = (
-        rows.withColumn("__q", F.from_json(request, REQUEST))
-        .withColumn("__r", F.from_json(response, RESPONSE))
-        .withColumn("__qv", F.try_parse_json(request))
-        .withColumn("__rv", F.try_parse_json(response))
-    )
+    parsed = computed_once(rows.withColumn("__q", F.try_parse_json(request)).withColumn("__r", F.try_parse_json(response)))
+    q, r = F.col("__q"), F.col("__r")
     responses = F.col("endpoint") == "responses"
-    input_items = F.when(
-        _kind(F.col("__q.input")) == "STRING",
-        F.from_json(F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.try_variant_get("__q.input", "$", "string").alias("content")))), f"array<{ITEM}>"),
-    ).when(F.col("__q.input").isNull(), F.array().cast(f"array<{ITEM}>")).otherwise(F.from_json(F.to_json("__q.input"), f"array<{ITEM}>"))
-    parsed = parsed.withColumn("__in", F.when(responses, input_items).otherwise(F.col("__q.messages"))).withColumn(
-        "__out", F.when(responses, F.col("__r.output")).otherwise(F.transform("__r.choices", lambda c: c["message"]))
+    given = _part(q, "$.input")
+    asked = F.parse_json(F.to_json(F.array(F.struct(F.lit("user").alias("role"), _text(given).alias("content")))))
+    inputs = F.when(given.isNull(), F.parse_json(F.lit("[]"))).when(_kind(given) == "STRING", asked).otherwise(given)
+    history = F.when(responses, inputs).otherwise(_part(q, "$.messages"))
+    parsed = parsed.withColumn("__in", F.transform(_list(history), _item)).withColumn("__choices", _list(_part(r, "$.choices")))
+    said = F.transform("__choices", lambda c: _item(_part(c, "$.message")))
+    parsed = parsed.withColumn("__out", F.when(responses, F.transform(_list(_part(r, "$.output")), _item)).otherwise(said))
+    tools = _part(q, "$.tools")
+    described = lambda t: F.struct(
+        _word(t, "$.type").alias("type"),
+        F.when(responses, _text(t, "$.name")).otherwise(_text(t, "$.function.name")).alias("name"),
+        F.when(responses, _is_object(_part(t, "$.parameters"))).otherwise(_is_object(_part(t, "$.function.parameters"))).alias("described"),
     )
-    parsed = parsed.withColumn("__tools", F.try_variant_get("__q.tools", "$", f"array<{TOOL}>"))
-    name = lambda t: F.when(responses, t["name"]).otherwise(t["function"]["name"])
-    parameters = lambda t: F.when(responses, t["parameters"]).otherwise(t["function"]["parameters"])
-    none = F.array().cast("array<string>")
-    parsed = parsed.withColumn("tool_names", F.coalesce(F.transform("__tools", name), none))
-    tools_given = F.col("__q.tools").isNotNull()
+    parsed = parsed.withColumn("__tools", F.transform(_list(tools), described))
+    parsed = parsed.withColumn("tool_names", F.coalesce(F.transform("__tools", lambda t: t["name"]), F.array().cast("array<string>")))
+    parsed = computed_once(parsed)
     tool_problem = (
-        F.when(tools_given & (F.coalesce(_kind(F.col("__q.tools")) != "ARRAY", F.lit(True))), "invalid_tool_definitions")
-        .when(tools_given & ~F.coalesce(F.forall("__tools", lambda t: F.coalesce(t["type"] == "function", F.lit(False))), F.lit(False)), "unsupported_tool_definition")
-        .when(
-            tools_given & F.exists("__tools", lambda t: ~_filled(name(t)) | ~F.coalesce(_kind(parameters(t)) == "OBJECT", F.lit(False))),
-            "invalid_tool_definition",
-        )
+        F.when(tools.isNotNull() & F.col("__tools").isNull(), "invalid_tool_definitions")
+        .when(F.exists("__tools", lambda t: ~F.coalesce(t["type"] == "function", F.lit(False))), "unsupported_tool_definition")
+        .when(F.exists("__tools", lambda t: ~_filled(t["name"]) | ~t["described"]), "invalid_tool_definition")
         .when(F.size("tool_names") != F.size(F.array_distinct("tool_names")), "duplicate_tool_definition")
     )
-    instructions = F.col("__q.instructions")
+    instructions = _part(q, "$.instructions")
     lead = F.when(
         responses & _truthy(instructions),
         F.array(F.struct(
-            F.lit("system").alias("role"), F.try_variant_get(instructions, "$", "string").alias("content"), F.lit(None).cast("array<string>").alias("parts"),
-            F.lit(None).cast("string").alias("tool_call_id"), F.array().cast("array<struct<id:string,name:string,arguments:string>>").alias("tool_calls"),
+            F.lit("system").alias("role"), _text(instructions).alias("content"), F.lit(None).cast("array<string>").alias("parts"),
+            F.lit(None).cast("string").alias("tool_call_id"), F.array().cast(NO_CALLS).alias("tool_calls"),
         )),
     )
     body = _messages(F.col("__in"), responses)
@@ -218,19 +231,18 @@ def decode_examples(rows: DataFrame, request: str = "request", response: str = "
     visible = F.exists(
         "targets", lambda m: (F.size(m["tool_calls"]) > 0) | _filled(m["content"]) | F.coalesce(F.exists(m["parts"], lambda p: p != ""), F.lit(False))
     )
-    finish = F.try_element_at("__r.choices", F.lit(1))["finish_reason"]
+    only = F.try_element_at("__choices", F.lit(1))
     turn_problem = F.when(
-        responses, F.when(~F.coalesce(F.col("__r.status") == "completed", F.lit(False)), "incomplete_assistant_turn")
+        responses, F.when(~F.coalesce(_word(r, "$.status") == "completed", F.lit(False)), "incomplete_assistant_turn")
     ).otherwise(
-        F.when(F.col("__r.choices").isNull() | (F.size("__r.choices") != 1), "multiple_or_missing_choices").when(
-            ~F.coalesce(finish.isin("stop", "tool_calls"), F.lit(False)), "incomplete_assistant_turn"
+        F.when(F.col("__choices").isNull() | (F.size("__choices") != 1) | ~_is_object(only), "multiple_or_missing_choices").when(
+            ~F.coalesce(_word(only, "$.finish_reason").isin("stop", "tool_calls"), F.lit(False)), "incomplete_assistant_turn"
         )
     )
-    object_body = lambda c: F.coalesce(_kind(F.col(c)) == "OBJECT", F.lit(False))
     reason = F.coalesce(
         F.when(F.coalesce("streaming", F.lit(False)), "streaming_not_supported"),
-        F.when(~object_body("__rv") | ~object_body("__qv"), "invalid_protocol_body"),
-        F.when(_truthy(F.col("__q.previous_response_id")) | _truthy(F.col("__q.conversation")), "server_side_history_missing"),
+        F.when(~_is_object(r) | ~_is_object(q), "invalid_protocol_body"),
+        F.when(_truthy(_part(q, "$.previous_response_id")) | _truthy(_part(q, "$.conversation")), "server_side_history_missing"),
         F.when(~F.coalesce(F.col("endpoint").isin("responses", "chat_completions"), F.lit(False)), "unsupported_endpoint"),
         tool_problem,
         _first_problem(F.col("__in"), responses),
@@ -242,7 +254,7 @@ def decode_examples(rows: DataFrame, request: str = "request", response: str = "
         tool_sequence_problem(F.col("messages"), F.col("targets"), F.col("tool_names")),
     )
     both = F.concat("__in", "__out")
-    omitted = F.size(F.filter(both, lambda i: _is_reasoning(i, responses) | _truthy(i["reasoning_content"])))
+    omitted = F.size(F.filter(both, lambda i: _is_reasoning(i, responses) | i["reasoned"]))
     supported = F.col("reject_reason").isNull()
     out = parsed.withColumn("reject_reason", reason).withColumn("omitted_reasoning", F.when(supported, omitted > 0))
     return out.select(
@@ -339,7 +351,7 @@ def context_window(messages: DataFrame, keys: Sequence[str], order: str, max_byt
     order_type = dict(messages.dtypes)[order]
     key_types = ", ".join(f"{name} {dict(messages.dtypes)[name]}" for name in keys)
 
-    def choose(group, frame: pd.DataFrame) -> pd.DataFrame:
+    def choose(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, ascending=False)
         used = 2 + int(frame.loc[frame["required"], "size"].sum())
         kept = set(frame.loc[frame["required"], order])

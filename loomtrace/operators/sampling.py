@@ -142,7 +142,7 @@ def greedy_turns(rows: DataFrame, quotas: dict[str, int], reasons: str, digest:
     slim = near.groupBy("split", row_id, digest).agg(F.collect_set("__reason").alias("__reasons"))
     order = list(TAIL_REASONS)
 
-    def play(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def play(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         quota = quotas.get(key[0], 0)
         frame = frame.sort_values(digest)
         waiting = dict(zip(frame[row_id], frame["__reasons"]))
