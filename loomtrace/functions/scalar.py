@@ -168,7 +168,7 @@ def ascii_tokens(text) -> Column:
 
 def normalise_ascii(text) -> Column:
     """Lower-cased ASCII words joined by one space."""
-    return F.array_join(ascii_tokens(text), " ")
+    return F.trim(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9]+", " "))
 
 
 def normalise_unicode(text) -> Column:

@@ -253,38 +253,43 @@ def prefix_repetition(cases: DataFrame, sizes=(8, 24), text: str = "input") -> D
 
 
 def quality_report(cases: DataFrame, text: str = "input", answer: str = "expected") -> DataFrame:
-    """Facts of a case set as (metric, value): sources, operations, oracles, input sizes, template text."""
-    keyed = with_input_digest(cases, text).withColumn("__bytes", F.octet_length(text).cast("bigint"))
-    searchable = F.concat_ws(" ", sf.normalise_ascii(text), sf.normalise_ascii(answer))
-    marked = keyed.withColumn("__boilerplate", searchable.rlike("|".join(BOILERPLATE)))
-    folded = marked.groupBy("input_sha256", "source_group_sha256", "operation", "oracle").agg(
-        F.count("*").alias("n"), F.count_if("__boilerplate").alias("boilerplate"), F.min("__bytes").alias("low"), F.max("__bytes").alias("high")
+    """Facts of a case set as (metric, value): sources, operations, oracles, input sizes, template text.
+
+    Texts are read once: rows are folded by digest, source and kind, and grouping sets over the folded rows give every
+    count. Only the size quantiles take a second, narrow pass.
+    """
+    sized = cases.withColumn("__bytes", F.octet_length(text).cast("bigint"))
+    normal, answered = sf.normalise_ascii(text), sf.normalise_ascii(answer)
+    keyed = sized.withColumn("input_sha256", sf.sha256_text(normal)).withColumn("__template", F.concat_ws(" ", normal, answered).rlike("|".join(BOILERPLATE)))
+    names = ["input_sha256", "source_group_sha256", "operation", "oracle"]
+    folded = keyed.groupBy(*names).agg(
+        F.count("*").alias("n"), F.count_if("__template").alias("boilerplate"), F.min("__bytes").alias("low"), F.max("__bytes").alias("high")
     )
-    metric = lambda name, value: F.struct(F.lit(name).alias("metric"), value.cast("bigint").alias("value"))
-    totals = folded.agg(
-        F.sum("n").alias("cases"), F.sum("boilerplate").alias("boilerplate"), F.min("low").alias("low"), F.max("high").alias("high")
-    ).select(F.inline(F.array(
-        metric("case_count", F.col("cases")), metric("boilerplate_case_count", F.col("boilerplate")),
-        metric("input_bytes.min", F.col("low")), metric("input_bytes.max", F.col("high")),
-    )))
-    distinct = folded.groupBy("input_sha256").agg(F.lit(1).alias("x")).agg(F.count("*").alias("n")).select(
-        F.lit("exact_unique_input_count").alias("metric"), F.col("n").alias("value")
+    digests, sources, operations, oracles = 7, 11, 13, 14
+    sets = folded.groupingSets([[name] for name in names], *names).agg(
+        F.grouping_id().alias("set"), F.sum("n").alias("n"), F.sum("boilerplate").alias("boilerplate"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    per_source = folded.groupBy("source_group_sha256").agg(F.sum("n").alias("n"))
-    sources = per_source.agg(F.count("*").alias("n"), F.min("n").alias("low"), F.max("n").alias("high")).select(F.inline(F.array(
-        metric("source_count", F.col("n")), metric("cases_per_source.min", F.col("low")), metric("cases_per_source.max", F.col("high")),
-    )))
-    pairs = F.array(
-        F.concat(F.lit("operation."), "operation"), F.concat(F.lit("oracle."), "oracle")
+    # Digest and source sets shrink to one row each; the kinds keep their names.
+    counted = sets.groupBy("set", "operation", "oracle").agg(
+        F.count("*").alias("groups"), F.sum("n").alias("n"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.sum("boilerplate").alias("boilerplate"), F.min("low").alias("low"), F.max("high").alias("high"),
+    )
+    metric = lambda name, value: F.struct((F.lit(name) if isinstance(name, str) else name).alias("metric"), value.cast("bigint").alias("value"))
+    lines = (
+        F.when(F.col("set") == digests, F.array(
+            metric("exact_unique_input_count", F.col("groups")), metric("case_count", F.col("n")), metric("boilerplate_case_count", F.col("boilerplate")),
+            metric("input_bytes.min", F.col("low")), metric("input_bytes.max", F.col("high")),
+        ))
+        .when(F.col("set") == sources, F.array(
+            metric("source_count", F.col("groups")), metric("cases_per_source.min", F.col("least")), metric("cases_per_source.max", F.col("most")),
+        ))
+        .when(F.col("set") == operations, F.array(metric(F.concat(F.lit("operation."), "operation"), F.col("n"))))
+        .when(F.col("set") == oracles, F.array(metric(F.concat(F.lit("oracle."), "oracle"), F.col("n"))))
     )
-    kinds = folded.select("n", F.explode(pairs).alias("metric")).groupBy("metric").agg(F.sum("n").alias("value"))
-    sizes = nearest_rank_quantiles(keyed, [], "__bytes", {"p50": 50, "p95": 95}).select(F.inline(F.array(
+    sizes = nearest_rank_quantiles(sized, [], "__bytes", {"p50": 50, "p95": 95}).select(F.inline(F.array(
         metric("input_bytes.p50", F.col("p50")), metric("input_bytes.p95", F.col("p95")),
     )))
-    report = totals
-    for part in (distinct, sources, kinds, sizes):
-        report = report.unionByName(part)
-    return report
+    return counted.select(F.inline(lines)).unionByName(sizes)
 
 
 def short_quotas(chosen: DataFrame, quotas: dict[str, dict[str, int]]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sf
+from ..session import ensure_checkpoint_dir
 from .ordered import first_rows, nearest_rank_quantiles
 
 # Closed lists that fix the order of strata.
@@ -37,12 +38,15 @@ def long_context_threshold(rows: DataFrame) -> DataFrame:
 def tail_sample(rows: DataFrame, representative: int = 256, tail: int = 64) -> DataFrame:
     """Hash sample plus a sample of unusual rows, each with the reasons it was taken for.
 
-    A row is rare when it is alone in its cell of endpoint, model, status class and modalities. Rare rows fall out
-    of one aggregate over the cells; every other step keeps a bounded number of rows per task.
+    A row is rare when it is alone in its cell of endpoint, model, status class and modalities. All choosing happens on
+    narrow rows: every task keeps a bounded number of keys, rare keys fall out of one aggregate over the cells, and only
+    the chosen keys (2560 at most, so they are broadcast) fetch whole rows.
     """
     if not 1 <= representative <= REPRESENTATIVE_LIMIT or not 0 <= tail <= TAIL_LIMIT:
         raise ValueError("sample sizes are out of range")
-    threshold = long_context_threshold(rows).scalar()
+    ensure_checkpoint_dir(rows.sparkSession)
+    # A few values that every later step needs; without the cut each step would scan the rows for them again.
+    threshold = long_context_threshold(rows).checkpoint().scalar()
     unusual = F.array_compact(
         F.array(
             F.when(~F.col("success") | ~F.col("parse"), "error"),
@@ -51,32 +55,27 @@ def tail_sample(rows: DataFrame, representative: int = 256, tail: int = 64) -> D
             F.when(F.col("request_bytes") >= threshold, "long_context"),
         )
     )
-    columns = rows.columns
-    marked = rows.withColumn("__reasons", unusual)
-    alone = (
-        marked.groupBy(*CELL)
-        .agg(F.count("*").alias("__n"), F.any_value(F.struct(*marked.columns)).alias("__row"))
-        .where(F.col("__n") == 1)
-        .select("__row.*")
-    )
-    representatives = hash_sample(marked, representative, "representative:").withColumn("__chosen", F.lit(True))
+    alone = rows.groupBy(*CELL).agg(F.count("*").alias("__n"), F.min("key").alias("key")).where(F.col("__n") == 1).select("key")
+    representatives = hash_sample(rows.select("key"), representative, "representative:").checkpoint()
     reserve = representative + tail
     candidates = (
-        hash_sample(marked.where(F.size("__reasons") > 0), reserve, "tail:")
+        hash_sample(rows.where(F.size(unusual) > 0).select("key"), reserve, "tail:")
         .unionByName(hash_sample(alone, reserve, "tail:"))
         .dropDuplicates(["key"])
-        .join(F.broadcast(representatives.select("key")), "key", "left_anti")
+        .join(F.broadcast(representatives), "key", "left_anti")
+    )
+    chosen = (
+        representatives.withColumn("__chosen", F.lit(True))
+        .unionByName(hash_sample(candidates, tail, "tail:").withColumn("__chosen", F.lit(False)))
+        .checkpoint()
     )
-    tails = hash_sample(candidates, tail, "tail:").withColumn("__chosen", F.lit(False))
-    chosen = representatives.unionByName(tails)
-    rare = alone.select("key", F.lit(True).alias("__rare"))
-    flagged = chosen.join(rare, "key", "left")
+    rare = alone.join(F.broadcast(chosen.select("key")), "key", "left_semi").withColumn("__rare", F.lit(True))
+    flags = chosen.join(F.broadcast(rare), "key", "left")
+    none = F.array().cast("array<string>")
     reasons = F.concat(
-        F.when(F.col("__chosen"), F.array(F.lit("representative"))).otherwise(F.array().cast("array<string>")),
-        F.col("__reasons"),
-        F.when(F.col("__rare"), F.array(F.lit("rare"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("__chosen"), F.array(F.lit("representative"))).otherwise(none), unusual, F.when(F.col("__rare"), F.array(F.lit("rare"))).otherwise(none)
     )
-    return flagged.select(*columns, reasons.alias("selection_reasons"))
+    return rows.join(F.broadcast(flags), "key").select(*rows.columns, reasons.alias("selection_reasons"))
 
 
 def one_per_group(rows: DataFrame, ties: Sequence[str] = ("key",)) -> DataFrame:

@@ -37,11 +37,15 @@ def token_similarity_bps(left: Column, right: Column) -> Column:
     return F.when(F.size(left).cast("bigint") * F.size(right) <= WORK_BOUND, score)
 
 
-def score_cases(rows: DataFrame, oracle: str = "oracle", expected: str = "expected", candidate: str = "candidate") -> DataFrame:
+def score_cases(
+    rows: DataFrame, oracle: str = "oracle", expected: str = "expected", candidate: str = "candidate", parts: int | None = None
+) -> DataFrame:
     """Score every answer: exact text, token similarity or JSON schema.
 
-    Only rows of the schema kind carry text into the Python worker.
+    Only rows of the schema kind carry text into the Python worker. Edit distance is heavy for its bytes: `parts`
+    spreads rows by number where partitions cut by size would be too few.
     """
+    rows = rows if parts is None else rows.repartition(parts)
     kind, want, got = F.col(oracle), F.col(expected), F.col(candidate)
     tokens = rows.withColumn("__left", F.when(kind == "reference", sf.unicode_tokens(want))).withColumn(
         "__right", F.when(kind == "reference", sf.unicode_tokens(got))

@@ -59,7 +59,7 @@ def score_cases(spark, folder):
         F.when(kind == 2, F.lit(SCHEMA_TEXT)).otherwise(F.col("text")).alias("expected"),
         F.when(kind == 0, F.col("following")).when(kind == 1, padded).otherwise(shaped).alias("candidate"),
     )
-    return scoring.score_cases(cases).select("conv_id", "turn", "oracle", "score_bps")
+    return scoring.score_cases(cases, parts=spark.sparkContext.defaultParallelism).select("conv_id", "turn", "oracle", "score_bps")
 
 
 METRICS_SQL = """SELECT branch, split, count(*) AS case_count, (sum(score_bps) // count(*))::bigint AS mean_score_bps, 0 AS errors,

@@ -87,10 +87,10 @@ def label_cache_split(spark, folder):
     return hits.select("content_sha256", F.lit(True).alias("cached")).unionByName(misses.select("content_sha256", F.lit(False).alias("cached")))
 
 
-# Chain of daily checkpoints over the events: every day points to the day before.
+# Chain of weekly checkpoints over the events: every week points to the week before.
 @query(
     "lineage_rows",
-    """WITH RECURSIVE days AS (SELECT date_trunc('day', ts)::date AS day, count(*) AS n, count(DISTINCT event_id) AS keys, min(event_id) AS low_key FROM events GROUP BY 1),
+    """WITH RECURSIVE days AS (SELECT date_trunc('week', ts)::date AS day, count(*) AS n, count(DISTINCT event_id) AS keys, min(event_id) AS low_key FROM events GROUP BY 1),
 edges AS (SELECT day, n, keys, low_key, lag(day) OVER (ORDER BY day) AS parent FROM days),
 chain AS (SELECT day, parent, 0 AS depth FROM edges WHERE day = (SELECT max(day) FROM edges)
   UNION ALL SELECT e.day, e.parent, c.depth + 1 FROM chain c JOIN edges e ON e.day = c.parent)
@@ -102,7 +102,7 @@ def lineage_rows(spark, folder):
     from ..sources import lineage
 
     events = table(spark, folder, "events").select(
-        F.date_format("ts", "yyyy-MM-dd").alias("checkpoint"), F.col("event_id").cast("string").alias("key")
+        F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("checkpoint"), F.col("event_id").cast("string").alias("key")
     )
     days = events.select("checkpoint").distinct()
     parents = lineage.chain_by_order(days)
