@@ -338,39 +338,37 @@ def context_window(messages: DataFrame, keys: Sequence[str], order: str, max_byt
     """Messages kept in a byte budget: required ones, then newest first whatever still fits, calls only with results.
 
     Going back in time the free space only shrinks, so of all messages of one size a group can keep just the newest
-    budget/size. That bounds the rows (ids and sizes only) on which the step-by-step choice is played out per group.
+    budget/size. That bounds the rows (places and sizes only) over which the step-by-step choice is folded per group.
     """
     # A native call whose result never came is not shown, nor does it use space.
     answered = messages.where(F.col("answers").isNotNull()).select(*keys, F.col("answers").alias(order)).withColumn("__answered", F.lit(True))
     usable = messages.join(answered, [*keys, order], "left").where(F.col("call_id").isNull() | F.col("__answered")).drop("__answered")
-    sizes = usable.select(*keys, order, "size", "required", "answers")
+    is_call = F.col("call_id").isNotNull().alias("is_call")
+    sizes = usable.select(*keys, F.col(order).alias("place"), "size", "required", "answers", is_call)
     optional = sizes.where(~F.col("required") & (F.col("size") <= max_bytes))
     room = F.call_function("div", F.lit(max_bytes), F.col("size"))
-    near = first_rows(optional, [*keys, "size"], [F.desc(order)], room, salt_by=[*keys, order])
+    near = first_rows(optional, [*keys, "size"], [F.desc("place")], room, salt_by=[*keys, "place"])
     candidates = near.unionByName(sizes.where("required"))
-    order_type = dict(messages.dtypes)[order]
-    key_types = ", ".join(f"{name} {dict(messages.dtypes)[name]}" for name in keys)
-
-    def choose(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, ascending=False)
-        used = 2 + int(frame.loc[frame["required"], "size"].sum())
-        kept = set(frame.loc[frame["required"], order])
-        for place, size, required in zip(frame[order], frame["size"], frame["required"]):
-            if not required and used + size <= max_bytes:
-                kept.add(place)
-                used += size
-        pairs = [(int(call), result) for call, result in zip(frame["answers"], frame[order]) if pd.notna(call)]
-        for call, result in pairs:
-            if call not in kept or result not in kept:
-                kept -= {call, result}
-        # A call whose result was too large even to be looked at is dropped by the join below.
-        return pd.DataFrame({**{name: [value] * len(kept) for name, value in zip(keys, group)}, order: sorted(kept)})
-
-    chosen = candidates.groupBy(*keys).applyInPandas(choose, f"{key_types}, {order} {order_type}")
-    kept = usable.join(chosen, [*keys, order], "left_semi")
-    results = kept.where(F.col("answers").isNotNull()).select(*keys, F.col("answers").alias(order)).withColumn("__whole", F.lit(True))
-    whole = kept.join(results, [*keys, order], "left").where(F.col("call_id").isNull() | F.col("__whole"))
-    return whole.drop("__whole")
+    newest_first = F.sort_array(F.collect_list(F.struct("place", "size", "required", "answers", "is_call")), asc=False)
+    listed = candidates.groupBy(*keys).agg(newest_first.alias("items"), F.sum(F.when(F.col("required"), F.col("size")).otherwise(0)).alias("base"))
+    item_type = listed.schema["items"].dataType
+    start = F.struct((F.col("base") + 2).alias("used"), F.array().cast(item_type).alias("kept"))
+
+    def step(state: Column, item: Column) -> Column:
+        fits = item["required"] | (state["used"] + item["size"] <= max_bytes)
+        used = F.when(~item["required"] & fits, state["used"] + item["size"]).otherwise(state["used"])
+        return F.struct(used.alias("used"), F.when(fits, F.array_append(state["kept"], item)).otherwise(state["kept"]).alias("kept"))
+
+    played = listed.select(*keys, F.aggregate("items", start, step, lambda state: state["kept"]).alias("kept"))
+    places = F.transform("kept", lambda i: i["place"])
+    replies = F.transform("kept", lambda i: i["answers"])
+    paired = played.withColumn("__places", places).withColumn("__replies", F.array_compact(replies))
+    whole = F.filter(
+        "kept",
+        lambda i: F.when(i["is_call"], F.array_contains("__replies", i["place"])).otherwise(i["answers"].isNull() | F.array_contains("__places", i["answers"])),
+    )
+    chosen = paired.select(*keys, F.explode(F.transform(whole, lambda i: i["place"])).alias(order))
+    return usable.join(chosen, [*keys, order], "left_semi")
 
 
 def pack_batches(rows: DataFrame, order: str, size: str, overhead: int, max_rows: int = 48, max_bytes: int = 65_536, part: str | None = None) -> DataFrame:

@@ -252,6 +252,13 @@ def prefix_repetition(cases: DataFrame, sizes=(8, 24), text: str = "input") -> D
     )
 
 
+def _contains_any(text: Column, phrases) -> Column:
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | F.contains(text, F.lit(phrase))
+    return found
+
+
 def quality_report(cases: DataFrame, text: str = "input", answer: str = "expected") -> DataFrame:
     """Facts of a case set as (metric, value): sources, operations, oracles, input sizes, template text.
 
@@ -259,8 +266,9 @@ def quality_report(cases: DataFrame, text: str = "input", answer: str = "expecte
     count. Only the size quantiles take a second, narrow pass.
     """
     sized = cases.withColumn("__bytes", F.octet_length(text).cast("bigint"))
-    normal, answered = sf.normalise_ascii(text), sf.normalise_ascii(answer)
-    keyed = sized.withColumn("input_sha256", sf.sha256_text(normal)).withColumn("__template", F.concat_ws(" ", normal, answered).rlike("|".join(BOILERPLATE)))
+    # A column of its own, since a chain of tests would work the text out once per phrase.
+    worded = sized.withColumn("__words", sf.normalise_ascii(text)).withColumn("__all", F.concat_ws(" ", "__words", sf.normalise_ascii(answer)))
+    keyed = worded.withColumn("input_sha256", sf.sha256_text("__words")).withColumn("__template", _contains_any(F.col("__all"), BOILERPLATE))
     names = ["input_sha256", "source_group_sha256", "operation", "oracle"]
     folded = keyed.groupBy(*names).agg(
         F.count("*").alias("n"), F.count_if("__template").alias("boilerplate"), F.min("__bytes").alias("low"), F.max("__bytes").alias("high")

@@ -39,8 +39,8 @@ def tail_sample(rows: DataFrame, representative: int = 256, tail: int = 64) -> D
     """Hash sample plus a sample of unusual rows, each with the reasons it was taken for.
 
     A row is rare when it is alone in its cell of endpoint, model, status class and modalities. All choosing happens on
-    narrow rows: every task keeps a bounded number of keys, rare keys fall out of one aggregate over the cells, and only
-    the chosen keys (2560 at most, so they are broadcast) fetch whole rows.
+    narrow rows: every task keeps a bounded number of keys, rare keys come from counts of the cells, and only the
+    chosen keys (2560 at most, so they are broadcast) fetch whole rows.
     """
     if not 1 <= representative <= REPRESENTATIVE_LIMIT or not 0 <= tail <= TAIL_LIMIT:
         raise ValueError("sample sizes are out of range")
@@ -55,7 +55,9 @@ def tail_sample(rows: DataFrame, representative: int = 256, tail: int = 64) -> D
             F.when(F.col("request_bytes") >= threshold, "long_context"),
         )
     )
-    alone = rows.groupBy(*CELL).agg(F.count("*").alias("__n"), F.min("key").alias("key")).where(F.col("__n") == 1).select("key")
+    # Counts alone keep this a hash aggregate; the keys of lone cells are looked up afterwards.
+    lone_cells = rows.groupBy(*CELL).agg(F.count("*").alias("__n")).where(F.col("__n") == 1)
+    alone = rows.join(lone_cells, list(CELL), "left_semi").select("key")
     representatives = hash_sample(rows.select("key"), representative, "representative:").checkpoint()
     reserve = representative + tail
     candidates = (

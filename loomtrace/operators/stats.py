@@ -179,7 +179,7 @@ def group_counts(rows: DataFrame) -> DataFrame:
 def max_concurrency(rows: DataFrame, start: str = "started_at", end: str = "completed_at") -> DataFrame:
     """Largest number of calls open at once; at equal times ends count before starts.
 
-    Changes are folded per instant, summed inside minutes, then minutes inside days, then over the days.
+    Changes are folded per instant, summed inside seconds, then seconds inside hours, then over the hours.
     Within one instant the running value after all its changes is the highest that counts.
     """
     changes = F.array(
@@ -187,23 +187,23 @@ def max_concurrency(rows: DataFrame, start: str = "started_at", end: str = "comp
         F.struct(F.col(end).alias("at"), F.lit(-1).alias("change")),
     )
     instants = rows.select(F.inline(changes)).groupBy("at").agg(F.sum("change").alias("change"))
-    upto = lambda *parts: Window.partitionBy(*parts)
-    minutes = (
-        instants.withColumn("minute", F.date_trunc("minute", "at"))
-        .withColumn("open", F.sum("change").over(upto("minute").orderBy("at")))
-        .groupBy("minute")
+    seconds = (
+        instants.withColumn("second", F.date_trunc("second", "at"))
+        .withColumn("open", F.sum("change").over(Window.partitionBy("second").orderBy("at")))
+        .groupBy("second")
         .agg(F.sum("change").alias("change"), F.max("open").alias("peak"))
-        .withColumn("day", F.to_date("minute"))
+        .withColumn("hour", F.date_trunc("hour", "second"))
     )
     earlier = Window.unboundedPreceding
-    days = (
-        minutes.withColumn("before", F.coalesce(F.sum("change").over(upto("day").orderBy("minute").rowsBetween(earlier, -1)), F.lit(0)))
-        .groupBy("day")
+    inside = Window.partitionBy("hour").orderBy("second").rowsBetween(earlier, -1)
+    hours = (
+        seconds.withColumn("before", F.coalesce(F.sum("change").over(inside), F.lit(0)))
+        .groupBy("hour")
         .agg(F.sum("change").alias("change"), F.max(F.col("before") + F.col("peak")).alias("peak"))
     )
-    # One row per day is left, so this last window stays small whatever the traffic.
-    before_day = F.coalesce(F.sum("change").over(Window.orderBy("day").rowsBetween(earlier, -1)), F.lit(0))
-    return days.select((before_day + F.col("peak")).alias("peak")).agg(
+    # One row per hour is left, so this last window stays small whatever the traffic.
+    before_hour = F.coalesce(F.sum("change").over(Window.orderBy("hour").rowsBetween(earlier, -1)), F.lit(0))
+    return hours.select((before_hour + F.col("peak")).alias("peak")).agg(
         F.greatest(F.coalesce(F.max("peak"), F.lit(0)), F.lit(0)).cast("bigint").alias("max_concurrency")
     )
 
@@ -271,15 +271,16 @@ def split_counts(rows: DataFrame, split: str = "split") -> DataFrame:
 def checkpoint_facts(rows: DataFrame, eligible: Column) -> DataFrame:
     """Facts of a checkpoint: exchanges, groups, tool-bearing and text-eligible rows, latest completion and highest key.
 
-    Rows are folded per source group first; the group counts then need no second pass over the rows.
+    Rows are folded per source group first, with numbers only, so that it stays a hash aggregate; the group counts
+    then need no second pass. The highest key is a scalar of its own.
     """
+    highest = rows.agg(F.max("key").alias("key")).scalar()
     tools = (F.col("tool_definitions") > 0) | (F.col("tool_calls") > 0)
     groups = rows.groupBy("source_group_kind", "source_group_sha256").agg(
         F.count("*").alias("n"),
         F.count_if(tools).alias("tools"),
         F.count_if(eligible).alias("eligible"),
         F.max("completed_at").alias("completed_at"),
-        F.max("key").alias("key"),
     )
     return groups.agg(
         long_total(F.col("n")).alias("exchanges"),
@@ -289,8 +290,7 @@ def checkpoint_facts(rows: DataFrame, eligible: Column) -> DataFrame:
         long_total(F.col("tools")).alias("tool_bearing_exchanges"),
         long_total(F.col("eligible")).alias("text_eval_eligible_exchanges"),
         F.max("completed_at").alias("created_at"),
-        F.max("key").alias("high_water_key"),
-    )
+    ).withColumn("high_water_key", highest)
 
 
 def top_values(rows: DataFrame, column: str, top: int = 5) -> DataFrame:
