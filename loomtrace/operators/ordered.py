@@ -31,13 +31,12 @@ def with_neighbour(
     cut = df.withColumn(PIECE, piece)
     inside = Window.partitionBy(*keys, PIECE).orderBy(order)
     picked = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-    step = F.lag(picked) if back else F.lead(picked)
-    local = cut.withColumn("__near", step.over(inside))
-    edge = F.max_by(picked, F.col(order)) if back else F.min_by(picked, F.col(order))
-    edges = cut.groupBy(*keys, PIECE).agg(edge.alias("__edge"))
+    step, other = (F.lag, F.lead) if back else (F.lead, F.lag)
+    local = cut.withColumn("__near", step(picked).over(inside)).withColumn("__other", other(order).over(inside))
+    # The outermost row of a piece has no neighbour on the far side; both uses share one shuffle of the rows.
+    edges = local.where(F.col("__other").isNull()).select(*keys, PIECE, picked.alias("__edge"))
     across = Window.partitionBy(*keys).orderBy(PIECE)
-    step = F.lag("__edge") if back else F.lead("__edge")
-    edges = edges.withColumn("__far", step.over(across)).drop("__edge")
+    edges = edges.withColumn("__far", step("__edge").over(across)).drop("__edge")
     joined = local.join(edges, [*keys, PIECE], "left")
     near = F.coalesce("__near", "__far")
     return joined.select(*df.columns, *[near[name].alias(name) for name in values])
