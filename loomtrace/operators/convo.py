@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import computed_once, first_rows, with_neighbour
+from .sampling import REPRESENTATIVE_LIMIT, TAIL_LIMIT
 
 ROLES = ("system", "developer", "user", "assistant", "tool")
 TEXT_PARTS = ("text", "input_text", "output_text")
@@ -371,12 +372,17 @@ def context_window(messages: DataFrame, keys: Sequence[str], order: str, max_byt
     return usable.join(chosen, [*keys, order], "left_semi")
 
 
+SAMPLE_ROWS = REPRESENTATIVE_LIMIT + TAIL_LIMIT
+
+
 def pack_batches(rows: DataFrame, order: str, size: str, overhead: int, max_rows: int = 48, max_bytes: int = 65_536, part: str | None = None) -> DataFrame:
     """Greedy batches in row order: a row opens a new batch when the current one is full in rows or bytes.
 
-    The order is sequential by nature. Input is a sample (bounded by its limits) or is cut by `part`, and only ids and
-    sizes reach the worker. Sizes are joined by commas, hence one byte between rows.
+    The order is sequential by nature, so without `part` the input must be a sample (a larger one is refused). Only ids
+    and sizes reach the worker. Sizes are joined by commas, hence one byte between rows.
     """
+    if part is None and rows.limit(SAMPLE_ROWS + 1).count() > SAMPLE_ROWS:
+        raise ValueError("more rows than a sample has: give a part column")
     keyed = rows.select(order, F.col(size).cast("bigint").alias("__size"), (F.col(part) if part else F.lit(0)).alias("part"))
     types = dict(keyed.dtypes)
 

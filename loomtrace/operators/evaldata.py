@@ -259,7 +259,7 @@ def _contains_any(text: Column, phrases) -> Column:
     return found
 
 
-def quality_report(cases: DataFrame, text: str = "input", answer: str = "expected") -> DataFrame:
+def quality_report(cases: DataFrame, text: str = "input", answer: str = "expected", phrases=BOILERPLATE) -> DataFrame:
     """Facts of a case set as (metric, value): sources, operations, oracles, input sizes, template text.
 
     Texts are read once: rows are folded by digest, source and kind, and grouping sets over the folded rows give every
@@ -268,7 +268,7 @@ def quality_report(cases: DataFrame, text: str = "input", answer: str = "expecte
     sized = cases.withColumn("__bytes", F.octet_length(text).cast("bigint"))
     # A column of its own, since a chain of tests would work the text out once per phrase.
     worded = sized.withColumn("__words", sf.normalise_ascii(text)).withColumn("__all", F.concat_ws(" ", "__words", sf.normalise_ascii(answer)))
-    keyed = worded.withColumn("input_sha256", sf.sha256_text("__words")).withColumn("__template", _contains_any(F.col("__all"), BOILERPLATE))
+    keyed = worded.withColumn("input_sha256", sf.sha256_text("__words")).withColumn("__template", _contains_any(F.col("__all"), phrases))
     names = ["input_sha256", "source_group_sha256", "operation", "oracle"]
     folded = keyed.groupBy(*names).agg(
         F.count("*").alias("n"), F.count_if("__template").alias("boilerplate"), F.min("__bytes").alias("low"), F.max("__bytes").alias("high")

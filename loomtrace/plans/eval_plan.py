@@ -9,6 +9,7 @@ from ..functions import scalar as sf
 from ..operators import evaldata, sampling
 
 POLICY = "eval-plan.v1"
+MOST_CASES = 1024
 
 
 def held_out_sources(labels: DataFrame) -> DataFrame:
@@ -39,6 +40,8 @@ def choose(labels: DataFrame, representative: int, tail: int) -> DataFrame:
 
 def plan_cases(labels: DataFrame, representative: int, tail: int) -> DataFrame:
     """The chosen rows in their final order with their case ids."""
+    if not 1 <= representative <= MOST_CASES or not 0 <= tail <= MOST_CASES:
+        raise ValueError("case counts are out of range")
     chosen = choose(labels, representative, tail)
     rank = sf.split_rank("split") * 2 + F.when(F.col("selection") == "tail", 1).otherwise(0)
     order = sf.order_digest("", "source_group_sha256", "content_sha256")
