@@ -256,3 +256,14 @@ def duration_text(ms) -> Column:
     value = _col(ms)
     seconds = F.when(value % 1000 == 0, F.format_string("%.0fs", value / 1000.0)).otherwise(F.format_string("%.1fs", value / 1000.0))
     return F.when(value >= 1000, seconds).otherwise(F.concat(value.cast("string"), F.lit("ms")))
+
+
+def canonical_text(**fields: Column) -> Column:
+    """Canonical JSON of a known set of fields: sorted names, compact, nulls kept, closed by a newline."""
+    ordered = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
+    return F.concat(F.to_json(ordered, {"ignoreNullFields": "false"}), F.lit("\n"))
+
+
+def canonical_digest(**fields: Column) -> Column:
+    """SHA-256 of the canonical JSON of a known set of fields."""
+    return sha256_text(canonical_text(**fields))

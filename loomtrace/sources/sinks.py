@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar as sf
 from ..operators.evaldata import SHARD_ROWS, content_fingerprint
 
 
@@ -76,7 +75,3 @@ def stale_artifacts(artifacts: DataFrame, stages: list[str]) -> DataFrame:
         following = F.when(test, name) if following is None else following.when(test, name)
     return wide.select("scope", *chained).withColumn("next_stage", following.otherwise("done"))
 
-
-def digest_of(*columns: Column) -> Column:
-    """Digest of a known set of fields: compact JSON with sorted names and a trailing newline."""
-    return sf.sha256_text(F.concat(F.to_json(F.struct(*columns)), F.lit("\n")))

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import uuid
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
@@ -80,6 +81,34 @@ def test_strip_and_normalisers(spark):
     assert frame.where("t = 'Ab-9_c'").first().a == "ab 9 c"
 
 
+def test_canonical_digest(spark):
+    rows = [("é\n\"", 3, None, True), ("a", None, "x", False)]
+    frame = spark.createDataFrame(rows, "t string, n long, o string, b boolean")
+    got = one(frame.select(sf.canonical_digest(text=F.col("t"), n=F.col("n"), o=F.col("o"), b=F.col("b"))))
+    write = lambda r: json.dumps({"text": r[0], "n": r[1], "o": r[2], "b": r[3]}, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n"
+    assert got == [hashlib.sha256(write(r).encode()).hexdigest() for r in rows]
+
+
+def test_one_hot_key_in_every_join(spark):
+    """A third of all rows is one text in one group; results stay whole."""
+    from loomtrace.operators import evaldata, sampling
+
+    hot = F.col("id") % 3 == 0
+    rows = spark.range(9000).select(
+        F.col("id").alias("order"), F.format_string("k%05d", "id").alias("key"), F.when(hot, "hot text").otherwise(F.concat(F.lit("text "), F.col("id") % 2000)).alias("input"),
+        F.when(hot, "g").otherwise(F.concat(F.lit("g"), F.col("id") % 500)).alias("source_group_sha256"), F.lit("trajectory").alias("source_group_kind"),
+        F.format_string("2024-01-01T%05d", "id").alias("completed_at"), F.lit("c").alias("content_sha256"),
+    )
+    none = rows.select(F.lit("").alias("input_sha256")).limit(0)
+    judged = evaldata.judge_cases(rows, none, none)
+    distinct = rows.select("input").distinct().count()
+    assert judged.count() == 9000 and judged.where("accepted").count() == distinct
+    assert judged.where("accepted AND input = 'hot text'").first().order == 0
+    single = sampling.one_per_group(rows)
+    assert single.count() == rows.select("source_group_sha256").distinct().count()
+    assert single.where("source_group_sha256 = 'g'").first().order == 8997
+
+
 def test_display(spark):
     row = spark.range(1).select(sf.percent_text(F.lit(2500)), sf.percent_text(F.lit(2512)), sf.duration_text(F.lit(900)), sf.duration_text(F.lit(1500)), sf.duration_text(F.lit(2000))).first()
     assert list(row) == ["25%", "25.12%", "900ms", "1.5s", "2s"]
