@@ -29,18 +29,36 @@ def _literal(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+# Every match of the patterns holds one of these.
+TELLING = ("BEARER", "API", "TOKEN", "SECRET", "PASSW", "CREDENTIAL")
+
+
+def _mentions_secret(text: Column) -> Column:
+    """Cheap test that spares most texts the patterns. Lower then upper case folds the odd letters that patterns fold too."""
+
+    def any_word(folded: Column) -> Column:
+        found = F.lit(False)
+        for word in TELLING:
+            found = found | F.contains(folded, F.lit(word))
+        return found
+
+    # The folded text is bound once as the element of an array.
+    return F.exists(F.array(F.upper(F.lower(text))), any_word)
+
+
 def redact(text, secrets: Sequence[str] = ()) -> Column:
     """Replace given secrets, bearer and api-key headers, and the values of secret-looking assignments.
 
     Names that only point to a secret (ending in ENV, NAME, FILE or PATH) keep their value. All in JVM expressions:
     matches and the text between them are taken apart and put together again, so a match is judged as a whole.
     """
-    out = F.col(text) if isinstance(text, str) else text
+    given = out = F.col(text) if isinstance(text, str) else text
     for secret in sorted(set(filter(None, secrets)), key=len, reverse=True):
         if len(secret) >= 4:
             out = F.replace(out, F.lit(secret), F.lit(REDACTED))
         else:
             out = F.regexp_replace(out, f"(?<![A-Za-z0-9]){_literal(secret)}(?![A-Za-z0-9])", REDACTED)
+    plain = out
     out = F.regexp_replace(out, HEADER, f"$1 {REDACTED}")
     found = F.regexp_extract_all(out, F.lit(ASSIGNMENT), F.lit(0))
     between = F.split(out, ASSIGNMENT, -1)
@@ -48,7 +66,8 @@ def redact(text, secrets: Sequence[str] = ()) -> Column:
     rebuilt = F.array_join(
         F.zip_with(between, found, lambda gap, hit: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(hide(hit), F.lit("")))), ""
     )
-    return F.when(out.rlike(ASSIGNMENT), rebuilt).otherwise(out)
+    searched = F.when(out.rlike(ASSIGNMENT), rebuilt).otherwise(out)
+    return F.when(_mentions_secret(given), searched).otherwise(plain)
 
 
 def redact_messages(messages: Column, secrets: Sequence[str] = ()) -> Column:

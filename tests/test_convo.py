@@ -184,6 +184,7 @@ def test_prompt_context(spark):
         ("key hunter22 ab", "key [redacted] [redacted]"),
         ("cab ab", "cab [redacted]"),
         ("plain", "plain"),
+        ("my_\u017fecret=x \u017f", "my_\u017fecret=[redacted] \u017f"),
     ],
 )
 def test_redact(spark, text, want):
