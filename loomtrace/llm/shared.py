@@ -162,3 +162,31 @@ def whole(first: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of the first `n` starts hold a run of `width` values inside one text; `first` has each text's first value."""
     last = np.repeat(first[1:], np.diff(first))
     return np.arange(n) + width <= last[:n]
+
+
+_FACTOR = 0x9E3779B97F4A7C15 | 1
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BYTES = mix(np.arange(256, dtype=np.uint64) * _STEP + _M2)
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the factor and of its inverse modulo 2**64, kept and extended as longer texts come."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        for k, base in enumerate((_FACTOR, pow(_FACTOR, -1, 2**64))):
+            out = np.full(size, np.uint64(base))
+            out[0] = 1
+            _POWERS[k] = np.multiply.accumulate(out)
+    return _POWERS
+
+
+class PrefixHash:
+    """Polynomial prefix hashes of bytes: the hash of any piece costs two look-ups."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.back = _powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * power[: len(data)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * _M2)
