@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, secrets, sharding, token_counts, toxicity
+from . import decontaminate, jaccard, packing, quality, secrets, sharding, token_counts, toxicity
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,6 +36,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+@query("op8_ngram_jaccard_join")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"), width=3, percent=90)
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"))
