@@ -21,7 +21,7 @@ WIDTH, STEP, LEVEL, MATCH = 8, 4, 3, 5
 #: the letter groups that toxic text is picked by, and the least share of toxic texts that hold such a group.
 ORDINARY_BYTES, TOXIC_BYTES, GRAMS, SUPPORT = 112_640, 8_192, (5, 7), 0.03
 #: Labelled rows that are read for learning, per label, and the most characters of each.
-SAMPLE, SAMPLE_CHARS = 4000, 40_000
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
 CUT = 0.3
 
 
@@ -42,7 +42,7 @@ def lowered(texts: Texts) -> bytes:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     options = zstandard.ZstdCompressionParameters.from_level(
-        LEVEL, min_match=MATCH, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
+        LEVEL, min_match=MATCH, hash_log=18, chain_log=18, window_log=18, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
     )
     if not content:
         return zstandard.ZstdCompressor(compression_params=options)
@@ -52,12 +52,12 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 class Meter:
     """Compressed lengths of windows with either dictionary.
 
-    The toxic dictionary is the ordinary one with toxic text in front, so that a window without such text is compressed alike
+    The toxic dictionary is the ordinary one with toxic text at its end, so that a window without such text is compressed alike
     by both and the difference measures toxic text alone.
     """
 
     def __init__(self, model: Model):
-        self.both = _compressor(model.ordinary), _compressor(model.toxic + model.ordinary)
+        self.both = _compressor(model.ordinary), _compressor(model.ordinary + model.toxic)
 
     def gains(self, data: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         out = np.zeros(len(start), np.int64)
@@ -102,6 +102,12 @@ def toxic_text(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> bytes:
     A letter group counts when a larger share of toxic than of ordinary texts holds it (a test of two shares) and it is about
     twenty times as frequent there.
     """
+    nt, no = max(len(toxic), 1), max(len(ordinary), 1)
+    counts: Counter[bytes] = Counter()
+    for text in toxic:
+        counts.update({gram for word in set(text.split()) for gram in letter_groups(b" " + word)})
+    # From here on only groups with enough support are counted, which keeps the tables small.
+    wanted = {gram for gram, n in counts.items() if n >= max(3, SUPPORT * nt)}
     held, times, total = [], [], []
     for texts in (toxic, ordinary):
         per_text: Counter[bytes] = Counter()
@@ -112,20 +118,19 @@ def toxic_text(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> bytes:
             size += words.total()
             mine: Counter[bytes] = Counter()
             for word, n in words.items():
-                for gram in letter_groups(b" " + word):
+                for gram in letter_groups(b" " + word) & wanted:
                     mine[gram] += n
             per_text.update(mine.keys())
             per_word.update(mine)
         held.append(per_text)
         times.append(per_word)
         total.append(size)
-    nt, no = max(len(toxic), 1), max(len(ordinary), 1)
     marks = set()
     for gram, a in held[0].items():
         b = held[1][gram]
         shared = (a + b + 1) / (nt + no)
         z = (a / nt - b / no) / math.sqrt(shared * (1 / nt + 1 / no))
-        if a >= max(3, SUPPORT * nt) and z > 5 and math.log((times[0][gram] + 0.5) / (total[0] + 1)) - math.log((times[1][gram] + 0.5) / (total[1] + 1)) > 3:
+        if z > 5 and math.log((times[0][gram] + 0.5) / (total[0] + 1)) - math.log((times[1][gram] + 0.5) / (total[1] + 1)) > 3:
             marks.add(gram)
     stretches: Counter[bytes] = Counter()
     for text in toxic:
