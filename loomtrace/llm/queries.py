@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, quality, secrets, sharding, token_counts, toxicity
+from . import decontaminate, jaccard, packing, quality, recompression, secrets, sharding, token_counts, toxicity
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,6 +30,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return recompression.deduplicate(table(spark, folder, "documents")).drop("kept_text")
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"))
