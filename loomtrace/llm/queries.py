@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, quality, recompression, secrets, sharding, token_counts, toxicity
+from . import decontaminate, jaccard, packing, quality, recompression, secrets, sharding, suffix_dedup, token_counts, toxicity
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -35,6 +35,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return recompression.deduplicate(table(spark, folder, "documents")).drop("kept_text")
 
 
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicate_bytes(table(spark, folder, "documents")).drop("kept_bytes")
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"))
