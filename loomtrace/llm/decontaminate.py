@@ -232,3 +232,9 @@ _SPLIT = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ") | {c: c + 32 for c in ra
 def lowered_words(text: str) -> list[str]:
     """The words that walks read: split at ASCII white space, A-Z lowered."""
     return [w for w in text.translate(_SPLIT).split(" ") if w]
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that hold no benchmark item, with all their columns. Rows without an id are judged together."""
+    hit = find_leaks(docs, items, doc_id=id_col, doc_text=text_col, **options).select(F.col(id_col).alias("__hit")).distinct()
+    return docs.join(hit, docs[id_col].eqNullSafe(hit["__hit"]), "left_anti")

@@ -141,3 +141,48 @@ def scan_secrets(
     picked = docs.select(docs[id_col].alias("id"), no_text(text_col).alias("text"))
     schema = f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return picked.mapInArrow(scan, schema).withColumnRenamed("id", id_col)
+
+
+def redact_secrets(
+    docs: DataFrame,
+    text_col: str = "text",
+    count_col: str | None = "n_chars",
+    mask: str = "[SECRET]",
+    classes: Sequence[EntropyClass] = CLASSES,
+    allow: Sequence[str] = ALLOW,
+) -> DataFrame:
+    """All rows with all their columns; every span that is found in a text is replaced by `mask`, spans that touch by one.
+
+    Where a text changes, its length in `count_col` (if there is such a column) follows. Null texts stay null.
+    """
+    names = docs.columns
+    place, length = names.index(text_col), names.index(count_col) if count_col in names else None
+
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(classes, allow)
+        for batch in batches:
+            columns = list(batch.columns)
+            texts = columns[place].to_pylist()
+            changed = {}
+            for i, text in enumerate(texts):
+                spans = sorted((a, b) for a, _, b in scanner.base(text) + scanner.entropy(text)) if text else []
+                if spans:
+                    changed[i] = masked(text, spans, mask)
+            if changed:
+                columns[place] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], columns[place].type)
+                if length is not None:
+                    sizes = columns[length].to_pylist()
+                    columns[length] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(sizes)], columns[length].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(mend, docs.schema)
+
+
+def masked(text: str, spans: Sequence[tuple[int, int]], mask: str) -> str:
+    """`text` with its sorted spans replaced; overlapping and touching spans count as one."""
+    out, upto = [], 0
+    for a, b in spans:
+        if a > upto or not out:
+            out += [text[upto:a], mask]
+        upto = max(upto, b)
+    return "".join([*out, text[upto:]])

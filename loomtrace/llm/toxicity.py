@@ -234,3 +234,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return score(docs, learn(docs, labels, id_col, text_col), id_col, text_col)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of `docs` whose text scores under `cut`, with all their columns; null and empty texts stay."""
+    model = learn(docs, labels, id_col, text_col)
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter = Meter(model)
+        for batch in batches:
+            for piece in chunks(batch, batch.schema.names[place]):
+                x = meter.features(texts_of(piece.column(place)))
+                z = model.weights[0] + x @ np.asarray(model.weights[1:])
+                yield piece.filter(pa.array(z < math.log(cut / (1 - cut))))
+
+    return docs.mapInArrow(keep, docs.schema)
