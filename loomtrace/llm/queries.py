@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, quality, recompression, secrets, sharding, suffix_dedup, token_counts, toxicity
+from . import decontaminate, jaccard, packing, quality, recompression, secrets, sharding, sql, suffix_dedup, token_counts, toxicity
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,7 +30,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", sql.SUBSTRING_DEDUP)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return recompression.deduplicate(table(spark, folder, "documents")).drop("kept_text")
 
@@ -46,7 +46,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.drop("ids")
 
 
-@query("op8_ngram_jaccard_join")
+@query("op8_ngram_jaccard_join", sql.NGRAM_JACCARD_JOIN)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"), width=3, percent=90)
 
