@@ -72,14 +72,17 @@ class Walks:
         draw = np.random.default_rng([repeat, size.steps])
         edges = np.linspace(0, size.steps, SAMPLED + 1).astype(int)
         sampled = {int(draw.integers(a, max(b, a + 1))) for a, b in zip(edges[:-1], edges[1:], strict=True)}
-        place = starts.copy()
+        place = starts.astype(np.int64)
         key = np.full(len(starts), np.uint64(size.steps * 64 + repeat), np.uint64)
+        move = np.empty(len(starts), np.uint64)
         for step in range(max(sampled) + 1):
             if step in sampled:
-                key = mix(key * _SEED + self.symbols[place])
-            bits = self._bits(repeat, step // 64)
-            place += ((bits[place] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
-        return key
+                key = key * _SEED + self.symbols.take(place, mode="clip")
+            self._bits(repeat, step // 64).take(place, out=move, mode="clip")
+            np.right_shift(move, np.uint64(step % 64), out=move)
+            np.bitwise_and(move, np.uint64(1), out=move)
+            place += move.view(np.int64)
+        return mix(key)
 
 
 def edit_match(item: list[str], text: list[str]) -> tuple[int, int, int]:
@@ -147,6 +150,8 @@ def window_hits(docs: DataFrame, slots: np.ndarray, sizes: list[SizeClass], repe
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        # One byte per 128 bits of the filter stays in a processor's cache.
+        coarse = (table.reshape(-1, 4) != 0).any(axis=1)
         for batch in batches:
             for piece in chunks(batch, "text"):
                 texts = texts_of(piece.column("text"))
@@ -154,14 +159,18 @@ def window_hits(docs: DataFrame, slots: np.ndarray, sizes: list[SizeClass], repe
                 walks = Walks(words)
                 count = np.diff(words.first)
                 found: list[list[np.ndarray]] = []
+                starts = []
+                for size in sizes:
+                    number = -(-count // size.stride)
+                    owner = np.repeat(np.arange(len(count)), number)
+                    nth = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * size.stride
+                    starts.append((size, owner, nth, walks.first[:-1][owner] + nth))
                 for repeat in range(repeats):
-                    for size in sizes:
-                        number = -(-count // size.stride)
-                        owner = np.repeat(np.arange(len(count)), number)
-                        nth = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * size.stride
-                        keys = walks.keys(walks.first[:-1][owner] + nth, size, repeat)
-                        slot = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                        hit = np.flatnonzero((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1))
+                    for size, owner, nth, start in starts:
+                        keys = walks.keys(start, size, repeat)
+                        likely = np.flatnonzero(coarse.take((keys >> np.uint64(64 - FILTER_BITS + 7)).astype(np.int64), mode="clip"))
+                        slot = (keys[likely] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                        hit = likely[((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)]
                         found.append([keys[hit].view(np.int64), owner[hit], nth[hit], np.full(len(hit), size.below)])
                 keys, owner, nth, below = (np.concatenate(c) for c in zip(*found, strict=True))
                 # An item that is aligned here begins less than `below` words before and ends less than 1.25 * below after.
