@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import NO_ID, Words, chunks, mix, no_text, texts_of, whole, windows, words_of
 
-WINDOW, PHRASE, ROUNDS = 20, 8, 8
-PLACE_BITS = 40
+WINDOW, PHRASE, ROUNDS = 20, 6, 8
+PLACE_BITS, TAG_BITS = 40, 12
 _NAME = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -123,7 +123,7 @@ def _local_first(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.n
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with the key of a document: its id (null as the least) and a tag of its text."""
-    tag = F.xxhash64(no_text(text_col)).bitwiseAND(F.lit((1 << 22) - 1))
+    tag = F.xxhash64(no_text(text_col)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), no_text(text_col).alias("text"))
 
 
@@ -133,14 +133,21 @@ def _place() -> Column:
 
 def _per_document(places: DataFrame) -> DataFrame:
     tag = F.shiftright("at", PLACE_BITS).alias("tag")
-    return places.select("doc", tag, _place().alias("place")).groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
+    return places.select("doc", tag, _place().cast("int").alias("place")).groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
 
 
-ROWS = "key long, doc long, at long, known boolean"
+ROWS = "key long, doc long, at long"
 
 
-def _batch(key: np.ndarray, doc: np.ndarray, at: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at), pa.array(known)], ["key", "doc", "at", "known"])
+def _batch(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at)], ["key", "doc", "at"])
+
+
+def _settled(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows that are settled in their chunk: a negative key of their document marks them."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    return _batch(mix(doc.view(np.uint64)) | np.uint64(1 << 63), doc, at)
 
 
 def _tagged(piece: pa.RecordBatch, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +169,12 @@ def anchor_rows(docs: DataFrame, width: int, phrase: int) -> DataFrame:
                 owner = np.searchsorted(words.first, place, side="right") - 1
                 doc, at = _tagged(piece, owner, place - words.first[owner])
                 order, first, k = _local_first(key, doc, at)
-                again = np.zeros(len(order), dtype=bool)
-                again[:-1] = ~first[1:]
-                # Others of the chunk are known to come again; a key of their own spreads them over the tasks.
-                out = np.where(first, k, mix(doc[order].view(np.uint64) * _NAME + at[order].view(np.uint64)))
-                yield _batch(out, doc[order], at[order], again | ~first)
+                again = ~first
+                again[:-1] |= again[1:]
+                doc, at = doc[order], at[order]
+                # 48 bits rule out nearly all phrases that occur once; others only cost a look at their windows.
+                yield _batch(k[first] >> np.uint64(16), doc[first], at[first])
+                yield _settled(doc[again], at[again])
 
     return docs.mapInArrow(emit, ROWS)
 
@@ -188,8 +196,9 @@ def window_rows(docs: DataFrame, width: int, phrase: int) -> DataFrame:
                 owner = np.searchsorted(words.first, window, side="right") - 1
                 doc, at = _tagged(piece, owner, window - words.first[owner])
                 order, first, k = _local_first(key, doc, at)
-                out = np.where(first, k, mix(doc[order].view(np.uint64) * _NAME + at[order].view(np.uint64)))
-                yield _batch(out, doc[order], at[order], ~first)
+                doc, at = doc[order], at[order]
+                yield _batch(k[first] >> np.uint64(1), doc[first], at[first])
+                yield _settled(doc[~first], at[~first])
 
     return docs.mapInArrow(emit, ROWS)
 
@@ -202,16 +211,16 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, id_c
     document, with the same id and other text they are ordered by a hash of the text. Extra columns are not read.
 
     Repeats inside a chunk of rows are settled there, so that a passage of a third of all documents reaches the shuffle once
-    per chunk. Windows are told apart by 64-bit digests.
+    per chunk. Windows are told apart by 63-bit digests.
     """
     keyed = _keyed(docs, id_col, text_col)
     found = anchor_rows(keyed, width, phrase)
     again = F.count("*").over(Window.partitionBy("key")) > 1
-    candidates = _per_document(found.withColumn("again", again | F.col("known")).where("again"))
+    candidates = _per_document(found.withColumn("again", again | (F.col("key") < 0)).where("again"))
     asked = keyed.join(candidates, ["doc", "tag"]).select("doc", "tag", "text", "places")
     rows = window_rows(asked, width, phrase)
     later = F.rank().over(Window.partitionBy("key").orderBy("doc", "at")) > 1
-    repeats = _per_document(rows.withColumn("later", later | F.col("known")).where("later"))
+    repeats = _per_document(rows.withColumn("later", later | (F.col("key") < 0)).where("later"))
     final = keyed.join(repeats, ["doc", "tag"], "left").select("doc", "text", "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
