@@ -214,15 +214,29 @@ def tool_sequence_violations(spark, folder):
     return rows.select("key", problem.alias("problem"))
 
 
+#: What is written behind the documents, by doc_id mod 8, and what redaction leaves of it.
+PLANTED = (
+    ("", ""),
+    (" API_KEY=abc123 next", " API_KEY=[redacted] next"),
+    (" {''my-secret'': ''v w''}", " {''my-secret'': ''[redacted]''}"),
+    (" Authorization: Bearer abc.def, x", " Authorization: Bearer [redacted], x"),
+    (" TOKEN_FILE=/etc/x password: p;q", " TOKEN_FILE=/etc/x password: [redacted];q"),
+    (' note: "db_password_2" = "a\\"b" c', ' note: "db_password_2" = "[redacted]" c'),
+    (" CREDENT\u0130ALS=abc tokens=kept", " CREDENT\u0130ALS=[redacted] tokens=kept"),
+    (" passwd=\"open", " passwd=[redacted]"),
+)
+_CASES = lambda k: "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{pair[k]}'" for i, pair in enumerate(PLANTED)) + " END"
+
+
 @query(
     "redact_documents",
-    f"""SELECT doc_id, text <> clean AS changed, {sha('clean')} AS redacted_sha256 FROM (SELECT doc_id, text,
-  regexp_replace(regexp_replace(text, '(?i)\\b(Bearer|Api-Key)\\s+[^\\s,;]+', '\\1 [redacted]', 'g'),
-    '(?i)(^|[^A-Z0-9_-])(["'']?(?:[A-Z0-9]+[_-])*(?:API[_-]?KEY|TOKEN|SECRET|PASSWORD|PASSWD|CREDENTIALS?)(?:[_-][A-Z0-9]+)*["'']?\\s*[:=]\\s*)"[^"\\r\\n]*"', '\\1\\2"[redacted]"', 'g') AS clean FROM documents)""",
+    f"""SELECT doc_id, raw <> clean AS changed, {sha('clean')} AS redacted_sha256 FROM (SELECT doc_id, text || {_CASES(0)} AS raw,
+  regexp_replace(text, '(token = )"[^"]*"', '\\1"[redacted]"', 'g') || {_CASES(1)} AS clean FROM documents)""",
 )
 def redact_documents(spark, folder):
-    docs = table(spark, folder, "documents").withColumn("clean", redact.redact("text"))
-    return docs.select("doc_id", (F.col("text") != F.col("clean")).alias("changed"), sf.sha256_text("clean").alias("redacted_sha256"))
+    planted = F.element_at(F.array(*[F.lit(pair[0].replace("''", "'")) for pair in PLANTED]), (F.col("doc_id") % 8 + 1).cast("int"))
+    docs = table(spark, folder, "documents").withColumn("raw", F.concat("text", planted)).withColumn("clean", redact.redact("raw"))
+    return docs.select("doc_id", (F.col("raw") != F.col("clean")).alias("changed"), sf.sha256_text("clean").alias("redacted_sha256"))
 
 
 CUT_SQL = """from_hex(regexp_replace(regexp_replace({hex}, '^(?:[89AB][0-9A-F])+', ''), '(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F])?(?:[89AB][0-9A-F])?)$', ''))"""

@@ -201,3 +201,23 @@ def test_redact_json(spark):
     }
     assert rows[1] is None
     assert not re.search("abc", rows[0])
+
+
+def test_redact_long_values_in_linear_time():
+    cases = ['token = "' + "x" * 1_000_000 + '"', "a_" * 100_000 + "token=1", "a" * 1_000_000 + " x", 'secret="' + '\\"' * 500_000, "token " * 100_000, '"' * 300_000]
+    for text in cases:
+        redact.redacted(text)
+    assert redact.redacted(cases[0]) == 'token = "[redacted]"'
+    assert redact.redacted("a_" * 100_000 + "token=1").endswith("token=[redacted]")
+    assert redact.redacted("CREDENTİALS=abc123") == "CREDENTİALS=[redacted]"
+
+
+def test_redact_messages(spark):
+    kind = "array<struct<role:string,content:string,tool_call_id:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>>"
+    messages = [("user", "token=a b", None, None), ("assistant", None, None, [("token=1", "n", "secret: x"), ("c", "n", '{"k": 1}')]), ("tool", "Bearer q", "token=1", [])]
+    frame = spark.createDataFrame([(messages,), (None,), ([],)], f"m {kind}")
+    out = [r[0] for r in frame.select(redact.redact_messages(F.col("m"))).collect()]
+    assert [m.content for m in out[0]] == ["token=[redacted] b", None, "Bearer [redacted]"]
+    assert [c.arguments for c in out[0][1].tool_calls] == ["secret: [redacted]", '{"k": 1}']
+    assert out[0][1].tool_calls[0].id == "token=1" and out[0][2].tool_call_id == "token=1"
+    assert out[1] is None and out[2] == []
