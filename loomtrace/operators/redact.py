@@ -120,27 +120,22 @@ def redact_lists(texts: Column, secrets: Sequence[str] = ()) -> Column:
 def redact_messages(messages: Column, secrets: Sequence[str] = ()) -> Column:
     """Redact the contents and call arguments of a message array; ids, names and roles stay.
 
-    All texts of the array go through the scan as one list: per message its content, then the arguments of its calls.
+    The scan gets one list of texts per message: its content, then the arguments of its calls.
     """
-    calls = lambda m: F.coalesce(F.size(m["tool_calls"]), F.lit(0))
+    given = tuple(secrets)
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+    def hide(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: None if row is None else [[redacted(text, given) for text in texts] for texts in row])
+
     arguments = lambda m: F.coalesce(F.transform(m["tool_calls"], lambda c: c["arguments"]), F.array().cast("array<string>"))
-    texts = F.flatten(F.transform(messages, lambda m: F.concat(F.array(m["content"]), arguments(m))))
-    hidden = redact_lists(texts, secrets)
-    # Where a message's texts begin: the running count of texts before it, one aggregate over the list of counts.
-    counts = F.transform(messages, lambda m: F.greatest(calls(m), F.lit(0)) + 1)
-    begins = F.aggregate(
-        counts,
-        F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("sum")),
-        lambda s, n: F.struct(F.array_append(s["at"], s["sum"]).alias("at"), (s["sum"] + n).alias("sum")),
-        lambda s: s["at"],
-    )
-
-    def mended(message: Column, i: Column) -> Column:
-        first = F.get(begins, i)
-        changed = F.transform(message["tool_calls"], lambda c, j: c.withField("arguments", F.get(hidden, first + j + 1)))
-        return message.withField("content", F.get(hidden, first)).withField("tool_calls", changed)
-
-    return F.transform(messages, mended)
+    hidden = hide(F.transform(messages, lambda m: F.concat(F.array(m["content"]), arguments(m))))
+
+    def mended(message: Column, texts: Column) -> Column:
+        changed = F.transform(message["tool_calls"], lambda call, i: call.withField("arguments", F.get(texts, i + 1)))
+        return message.withField("content", F.get(texts, F.lit(0))).withField("tool_calls", changed)
+
+    return F.zip_with(messages, hidden, mended)
 
 
 def json_texts(value, member: str = "") -> list[str]:
