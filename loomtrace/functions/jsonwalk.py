@@ -17,6 +17,7 @@ NODES = T.ArrayType(
     T.StructType(
         [
             T.StructField("doc", T.IntegerType()),
+            T.StructField("under_top", T.BooleanType()),
             T.StructField("parent", T.IntegerType()),
             T.StructField("edge", T.StringType()),
             T.StructField("item", T.BooleanType()),
@@ -34,7 +35,7 @@ _PAIRS = lambda kind: pa.map_(pa.string(), kind)
 NODES_ARROW = pa.list_(
     pa.struct(
         [
-            ("doc", pa.int32()), ("parent", pa.int32()), ("edge", pa.string()), ("item", pa.bool_()), ("hidden", pa.bool_()),
+            ("doc", pa.int32()), ("under_top", pa.bool_()), ("parent", pa.int32()), ("edge", pa.string()), ("item", pa.bool_()), ("hidden", pa.bool_()),
             ("event", pa.string()), ("arguments_ok", pa.bool_()), ("kinds", _PAIRS(pa.string())), ("strings", _PAIRS(pa.string())),
             ("ints", _PAIRS(pa.int64())), ("sizes", _PAIRS(pa.int32())),
         ]
@@ -45,7 +46,11 @@ NAMES = {dict: "object", list: "list", str: "string", bool: "boolean", int: "int
 
 def clean(text: str) -> str:
     """Lone surrogates cannot leave Python as UTF-8; they become the replacement character."""
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
 
 
 def parses(text: str) -> bool:
@@ -86,10 +91,10 @@ def walk(docs: list[str]) -> list[dict] | None:
     """Nodes of all documents in reading order, or None when one of them is not JSON."""
     nodes: list[dict] = []
 
-    def visit(value, doc, parent, edge, item, hidden):
+    def visit(value, doc, under_top, parent, edge, item, hidden):
         if isinstance(value, list):
             for child in value:
-                visit(child, doc, parent, edge, True, hidden)
+                visit(child, doc, under_top, parent, edge, True, hidden)
             return
         if not isinstance(value, dict):
             return
@@ -99,7 +104,7 @@ def walk(docs: list[str]) -> list[dict] | None:
         arguments = value.get("arguments")
         nodes.append(
             {
-                "doc": doc, "parent": parent, "edge": edge and clean(edge), "item": item, "hidden": hidden or is_tool, "event": event and clean(event),
+                "doc": doc, "under_top": under_top, "parent": parent, "edge": edge and clean(edge), "item": item, "hidden": hidden or is_tool, "event": event and clean(event),
                 "arguments_ok": parses(arguments) if isinstance(arguments, str) else None,
                 "kinds": [(clean(k), NAMES[type(v)]) for k, v in value.items()],
                 "strings": [(clean(k), clean(v)) for k, v in value.items() if isinstance(v, str)],
@@ -109,11 +114,11 @@ def walk(docs: list[str]) -> list[dict] | None:
         )
         for name, child in value.items():
             covered = hidden or is_tool or name == "tools"
-            visit(child, doc, place, name, False, covered)
+            visit(child, doc, parent == -1 and not item, place, name, False, covered)
 
     try:
         for number, text in enumerate(docs):
-            visit(json.loads(text), number, -1, None, False, False)
+            visit(json.loads(text), number, False, -1, None, False, False)
     except (ValueError, RecursionError):
         return None
     return nodes

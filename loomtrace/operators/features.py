@@ -148,10 +148,7 @@ def model_completed(endpoint: Column, nodes: Column, docs: Column) -> Column:
     )
     response_done = F.when(single, _member(F.try_element_at(tops, F.lit(1)), "status") == "completed").otherwise(streamed)
 
-    top_places = F.filter(
-        F.transform(nodes, lambda n, i: F.when((n["parent"] == -1) & ~n["item"], i)), lambda i: i.isNotNull()
-    )
-    choices = F.filter(nodes, lambda n: n["item"] & (n["edge"] == "choices") & F.array_contains(top_places, n["parent"]))
+    choices = F.filter(nodes, lambda n: n["item"] & (n["edge"] == "choices") & n["under_top"])
     listed = F.aggregate(tops, F.lit(0), lambda total, n: total + F.coalesce(n["sizes"][F.lit("choices")], F.lit(0)))
     numbers = F.transform(choices, lambda c: c["ints"][F.lit("index")])
     stopped = F.transform(F.filter(choices, lambda c: _member(c, "finish_reason") == "stop"), lambda c: c["ints"][F.lit("index")])

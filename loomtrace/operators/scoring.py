@@ -63,11 +63,11 @@ def score_cases(
 
 
 def eval_metrics(results: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Floor mean score, nearest-rank p95, totals and tokens per second of every run."""
+    """Floor mean of the scored cases, unscored cases as errors, nearest-rank p95, totals and tokens per second of every run."""
     totals = results.groupBy(*keys).agg(
         F.count("*").alias("case_count"),
-        F.call_function("div", F.sum("score_bps"), F.count("*")).alias("mean_score_bps"),
-        F.lit(0).alias("errors"),
+        F.call_function("div", F.sum("score_bps"), F.count("score_bps")).alias("mean_score_bps"),
+        F.count_if(F.col("score_bps").isNull()).cast("int").alias("errors"),
         F.sum("latency_ms").alias("total_latency_ms"),
         F.sum("output_tokens").alias("output_tokens"),
     )
@@ -165,10 +165,12 @@ def reward_advantage(rollouts: DataFrame, prompt: str, reward: str = "reward_bps
     """
     value = F.col(reward).cast("decimal(19,0)")
     groups = rollouts.groupBy(prompt).agg(
-        F.count("*").alias("rollout_count"), F.sum(F.col(reward)).alias("__sum"), F.sum((value * value).cast("decimal(38,0)")).cast("bigint").alias("__squares")
+        F.count("*").alias("rollout_count"), F.sum(F.col(reward).cast("decimal(19,0)")).alias("__sum"), F.sum((value * value).cast("decimal(28,0)")).alias("__squares")
     )
     n = F.col("rollout_count")
-    spread = (n * F.col("__squares") - F.col("__sum") * F.col("__sum")).cast("double")
+    # Products of whole numbers stay exact in decimals; bigint would overflow for a prompt with very many rollouts.
+    wide = lambda column: column.cast("decimal(38,0)")
+    spread = (wide(n) * wide(F.col("__squares")) - wide(F.col("__sum")) * wide(F.col("__sum"))).cast("double")
     deviation = F.sqrt(spread) / n.cast("double")
     mean = F.col("__sum").cast("double") / n.cast("double")
     joined = rollouts.join(groups, prompt)

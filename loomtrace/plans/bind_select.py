@@ -21,7 +21,7 @@ def doc_keys(spark, folder, name="documents"):
     "unprocessed_next_batch",
     """WITH left_over AS (SELECT printf('d/%09d', doc_id) AS key FROM documents ANTI JOIN labels USING (doc_id)),
 done AS (SELECT count(DISTINCT doc_id) AS n FROM labels),
-need AS (SELECT (SELECT min(t) FROM (VALUES (100), (1000), (10000), (100000)) v(t) WHERE t > n) - n AS needed FROM done)
+need AS (SELECT (SELECT min(t) FROM (VALUES (100), (1000), (10000), (100000), (1000000), (10000000)) v(t) WHERE t > n) - n AS needed FROM done)
 SELECT key FROM (SELECT key, row_number() OVER (ORDER BY key) AS place, count(*) OVER () AS have FROM left_over), need
 WHERE place <= needed AND have >= needed""",
 )
@@ -32,7 +32,7 @@ def unprocessed_next_batch(spark, folder):
 @query(
     "threshold_probe",
     """SELECT n AS processed_count, t AS next_threshold, coalesce((SELECT count(*) FROM events) >= t, false) AS crossed
-FROM (SELECT n, (SELECT min(t) FROM (VALUES (100), (1000), (10000), (100000)) v(t) WHERE t > n)::bigint AS t
+FROM (SELECT n, (SELECT min(t) FROM (VALUES (100), (1000), (10000), (100000), (1000000), (10000000)) v(t) WHERE t > n)::bigint AS t
   FROM (SELECT count(DISTINCT doc_id) AS n FROM labels))""",
 )
 def threshold_probe(spark, folder):
@@ -87,14 +87,14 @@ def label_cache_split(spark, folder):
     return hits.select("content_sha256", F.lit(True).alias("cached")).unionByName(misses.select("content_sha256", F.lit(False).alias("cached")))
 
 
-# Chain of weekly checkpoints over the events: every week points to the week before.
+# Chain of hourly checkpoints over the events: every hour points to the hour before.
 @query(
     "lineage_rows",
-    """WITH RECURSIVE days AS (SELECT date_trunc('week', ts)::date AS day, count(*) AS n, count(DISTINCT event_id) AS keys, min(event_id) AS low_key FROM events GROUP BY 1),
-edges AS (SELECT day, n, keys, low_key, lag(day) OVER (ORDER BY day) AS parent FROM days),
+    """WITH RECURSIVE days AS (SELECT date_trunc('hour', ts) AS day, count(*) AS n, count(DISTINCT event_id) AS keys FROM events GROUP BY 1),
+edges AS (SELECT day, n, keys, lag(day) OVER (ORDER BY day) AS parent FROM days),
 chain AS (SELECT day, parent, 0 AS depth FROM edges WHERE day = (SELECT max(day) FROM edges)
   UNION ALL SELECT e.day, e.parent, c.depth + 1 FROM chain c JOIN edges e ON e.day = c.parent)
-SELECT strftime(c.day, '%Y-%m-%d') AS checkpoint, c.depth, e.n AS row_count, e.n - e.keys AS repeated_keys,
+SELECT strftime(c.day, '%Y-%m-%d %H') AS checkpoint, c.depth, e.n AS row_count, e.n - e.keys AS repeated_keys,
   sum(e.n) OVER (ORDER BY c.day)::bigint AS total_rows, (e.n - lag(e.n) OVER (ORDER BY c.day))::bigint AS change
 FROM chain c JOIN edges e USING (day)""",
 )
@@ -102,10 +102,9 @@ def lineage_rows(spark, folder):
     from ..sources import lineage
 
     events = table(spark, folder, "events").select(
-        F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("checkpoint"), F.col("event_id").cast("string").alias("key")
+        F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH").alias("checkpoint"), F.col("event_id").cast("string").alias("key")
     )
-    days = events.select("checkpoint").distinct()
-    parents = lineage.chain_by_order(days)
+    parents = lineage.chain_by_order(events.select("checkpoint").distinct(), F.substring("checkpoint", 1, 7))
     return lineage.ancestry_summary(spark, parents, events)
 
 

@@ -32,11 +32,14 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; only an unset one (tests) gets a local folder."""
+    """Use the shared folder that the cluster names. Only a single local process, as in tests, gets a folder of its own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="loomtrace-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

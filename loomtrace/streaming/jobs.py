@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import stats
 from ..operators.ordered import first_rows
 from ..plans import checkpoint as cp
-from ..sources.listing import THRESHOLDS
+from ..sources.listing import THRESHOLDS, following_threshold, ladder, lowest
 
 PARTS = ("counters", "distributions", "series", "keys")
 
@@ -42,7 +42,7 @@ class CheckpointStream:
 
     def reached(self, spark: SparkSession) -> list[int]:
         """Thresholds whose checkpoint is complete; its keys are written last."""
-        return [t for t in self.thresholds if _written(spark, self._place(t, "keys"))]
+        return [t for t in ladder(self.thresholds) if _written(spark, self._place(t, "keys"))]
 
     def read(self, spark: SparkSession, threshold: int) -> cp.Checkpoint:
         return cp.Checkpoint(*[spark.read.parquet(self._place(threshold, part)) for part in PARTS[:3]])
@@ -76,16 +76,14 @@ class CheckpointStream:
         made = []
         while True:
             reached = self.reached(spark)
-            following = next((t for t in self.thresholds if t not in reached), None)
-            if following is None:
-                return made
+            following = following_threshold(reached[-1] if reached else 0, self.thresholds)
             rows = self.rows(spark)
             done = self.processed(spark)
             left = rows if done is None else rows.join(done, "key", "left_anti")
             needed = following - (reached[-1] if reached else 0)
-            if left.limit(needed).count() < needed:
+            if left.count() < needed:
                 return made
-            keys = left.select("key").orderBy("key").limit(needed)
+            keys = lowest(left.select("key"), needed)
             # The chosen keys are fixed in a table first; everything else is derived from it.
             chosen = f"{self.folder}/chosen/{following}"
             if not _written(spark, chosen):
