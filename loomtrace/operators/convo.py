@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import computed_once, first_rows, with_neighbour
-from .sampling import REPRESENTATIVE_LIMIT, TAIL_LIMIT
+from ..session import ensure_checkpoint_dir
+from .ordered import computed_once, first_rows, running_sum, with_neighbour
 
 ROLES = ("system", "developer", "user", "assistant", "tool")
 TEXT_PARTS = ("text", "input_text", "output_text")
@@ -372,34 +373,88 @@ def context_window(messages: DataFrame, keys: Sequence[str], order: str, max_byt
     return usable.join(chosen, [*keys, order], "left_semi")
 
 
-SAMPLE_ROWS = REPRESENTATIVE_LIMIT + TAIL_LIMIT
+#: Rows of a run of the order that one task packs.
+PACK_ROWS = 100_000
 
 
-def pack_batches(rows: DataFrame, order: str, size: str, overhead: int, max_rows: int = 48, max_bytes: int = 65_536, part: str | None = None) -> DataFrame:
+def pack_batches(
+    rows: DataFrame,
+    order: str,
+    size: str,
+    overhead: int,
+    max_rows: int = 48,
+    max_bytes: int = 65_536,
+    part: str | None = None,
+    piece: Column | None = None,
+    run_rows: int = PACK_ROWS,
+) -> DataFrame:
     """Greedy batches in row order: a row opens a new batch when the current one is full in rows or bytes.
 
-    The order is sequential by nature, so without `part` the input must be a sample (a larger one is refused). Only ids
-    and sizes reach the worker. Sizes are joined by commas, hence one byte between rows.
+    Where a batch ends depends only on where it starts. Rows are cut into runs of equal length; each run works out, for every
+    row that may open its first batch (the first `max_rows`), how many batches start in it and which row of the next run opens
+    one. These short maps are put together by doubling, so any number of rows is packed without a task that sees them all.
+    `piece` grows with the order and cuts it for the running row number (by default, by 32 leading characters).
+    Sizes are joined by commas, hence one byte between rows. Batches are numbered from 0, per `part` if given.
     """
-    if part is None and rows.limit(SAMPLE_ROWS + 1).count() > SAMPLE_ROWS:
-        raise ValueError("more rows than a sample has: give a part column")
-    keyed = rows.select(order, F.col(size).cast("bigint").alias("__size"), (F.col(part) if part else F.lit(0)).alias("part"))
-    types = dict(keyed.dtypes)
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        batch, count, used, numbers, too_large = -1, max_rows, 0, [], []
-        for value in frame["__size"]:
-            extra = value + (1 if count else 0)
-            if count >= max_rows or overhead + used + extra > max_bytes:
-                batch, count, used, extra = batch + 1, 0, 0, value
-            count, used = count + 1, used + extra
-            numbers.append(batch)
-            too_large.append(overhead + value > max_bytes)
-        return pd.DataFrame({"part": frame["part"], order: frame[order], "batch": numbers, "too_large": too_large})
-
-    packed = keyed.groupBy("part").applyInPandas(pack, f"part {types['part']}, {order} {types[order]}, batch int, too_large boolean")
-    return rows.join(packed if part else packed.drop("part"), order)
+    spark = rows.sparkSession
+    keys = [part] if part else []
+    run_rows = max(run_rows, max_rows)
+    cut = F.substring(F.col(order).cast("string"), 1, 32) if piece is None else piece
+    sized = rows.select(*keys, order, F.col(size).cast("bigint").alias("__size"))
+    placed = running_sum(sized, keys, [order], F.lit(1), cut, "__at", inclusive=False)
+    ensure_checkpoint_dir(spark)
+    placed = placed.select(*keys, F.col(order).alias("__order"), "__size", F.floor(F.col("__at") / run_rows).alias("run"), (F.col("__at") % run_rows).cast("int").alias("place")).checkpoint()
+    # The first rows of a run also show the run before where its last batches end.
+    ahead = placed.where((F.col("run") > 0) & (F.col("place") < max_rows)).withColumn("run", F.col("run") - 1).withColumn("place", F.col("place") + run_rows)
+    types = dict(placed.dtypes)
+    by = "".join(f"{k} {types[k]}, " for k in keys) + "run bigint, "
+    room = max_bytes - overhead
+
+    def ends(frame: pd.DataFrame) -> tuple[np.ndarray, int]:
+        """For each start the row after its batch, and the number of the run's own rows; `frame` is in order."""
+        reach = np.concatenate([[0], np.cumsum(frame["__size"].to_numpy(np.int64) + 1)])
+        at = np.arange(len(frame))
+        fit = np.searchsorted(reach, reach[:-1] + room + 1, side="right") - 1
+        return np.maximum(np.minimum(fit, at + max_rows), at + 1), int((frame["place"] < run_rows).sum())
+
+    def summary(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        end, own = ends(frame)
+        leave, count = [0] * own, [0] * own
+        for i in range(own - 1, -1, -1):
+            leave[i], count[i] = (end[i] - run_rows, 1) if end[i] >= own else (leave[end[i]], count[end[i]] + 1)
+        first = [min(i, own - 1) for i in range(max_rows)]
+        out = {k: [frame[k].iloc[0]] for k in [*keys, "run"]}
+        # In the last run, which can be short, nothing is left to open.
+        return pd.DataFrame({**out, "leave": [[max(int(leave[i]), 0) for i in first]], "count": [[int(count[i]) for i in first]]})
+
+    maps = placed.unionByName(ahead).groupBy(*keys, "run").applyInPandas(summary, f"{by}leave array<int>, count array<bigint>").checkpoint()
+    runs = (maps.agg(F.max("run")).first()[0] or 0) + 1
+    back = 1
+    while back < runs:
+        before = maps.select(*keys, (F.col("run") + back).alias("run"), F.col("leave").alias("leave0"), F.col("count").alias("count0"))
+        joined = maps.join(before, [*keys, "run"], "left")
+        leave = F.transform("leave0", lambda i: F.get("leave", i))
+        count = F.zip_with("leave0", "count0", lambda i, n: n + F.get("count", i))
+        maps = joined.select(*keys, "run", F.coalesce(leave, "leave").alias("leave"), F.coalesce(count, "count").alias("count")).checkpoint()
+        back *= 2
+    entry = maps.select(*keys, (F.col("run") + 1).alias("run"), F.get("leave", F.lit(0)).alias("open"), F.get("count", F.lit(0)).alias("batches"))
+    entered = placed.join(entry, [*keys, "run"], "left").na.fill({"open": 0, "batches": 0})
+
+    def number(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        end, own = ends(frame)
+        start, opens = int(frame["open"].iloc[0]), np.zeros(own, dtype=np.int64)
+        while start < own:
+            opens[start] = 1
+            start = int(end[start])
+        batch = int(frame["batches"].iloc[0]) - 1 + np.cumsum(opens)
+        out = {k: frame[k] for k in keys} | {"__order": frame["__order"], "batch": batch.astype(np.int32), "too_large": overhead + frame["__size"] > max_bytes}
+        return pd.DataFrame(out)
+
+    schema = "".join(f"{k} {types[k]}, " for k in keys) + f"__order {types['__order']}, batch int, too_large boolean"
+    packed = entered.groupBy(*keys, "run").applyInPandas(number, schema).withColumnRenamed("__order", order)
+    return rows.join(packed, [*keys, order])
 
 
 def tool_histogram(records: DataFrame, message: str = "message") -> DataFrame:

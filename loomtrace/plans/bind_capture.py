@@ -306,7 +306,7 @@ def context_window(spark, folder):
 
 
 PACK_SQL = "WITH RECURSIVE " + SAMPLING_SQL + f""",
-chosen AS (SELECT key, request_bytes % 5000 AS size, row_number() OVER (ORDER BY key) AS n FROM (SELECT key, request_bytes FROM eligible ORDER BY {sha("'representative:' || key")} LIMIT 256)),
+chosen AS (SELECT key, request_bytes % 5000 AS size, row_number() OVER (ORDER BY key) AS n FROM eligible),
 pack AS (SELECT 0::bigint AS n, -1 AS batch, 48 AS cnt, 0::bigint AS used, NULL::varchar AS key
   UNION ALL SELECT c.n, CASE WHEN full_ THEN p.batch + 1 ELSE p.batch END, CASE WHEN full_ THEN 1 ELSE p.cnt + 1 END, CASE WHEN full_ THEN c.size ELSE p.used + c.size + 1 END, c.key
   FROM (SELECT p.*, p.cnt >= 48 OR 1000 + p.used + c.size + 1 > 65536 AS full_ FROM pack p JOIN chosen c ON c.n = p.n + 1) p JOIN chosen c ON c.n = p.n + 1)
@@ -315,6 +315,5 @@ SELECT key, batch FROM pack WHERE n > 0"""
 
 @query("pack_batches", PACK_SQL)
 def pack_batches(spark, folder):
-    sample = sampling.hash_sample(eligible_features(spark, folder), 256, "representative:")
-    sized = sample.select("key", (F.col("request_bytes") % 5000).alias("size"))
+    sized = eligible_features(spark, folder).select("key", (F.col("request_bytes") % 5000).alias("size"))
     return convo.pack_batches(sized, "key", "size", overhead=1000).select("key", "batch")

@@ -142,7 +142,9 @@ def test_pack_batches(spark):
     rng = random.Random(4)
     sizes = [rng.choice([10, 200, 900, 1200]) for _ in range(200)]
     frame = spark.createDataFrame(list(enumerate(sizes)), "o int, s int")
-    got = [r.batch for r in convo.pack_batches(frame, "o", "s", overhead=100, max_rows=6, max_bytes=1200).orderBy("o").collect()]
+    runs = {n: [r.batch for r in convo.pack_batches(frame, "o", "s", overhead=100, max_rows=6, max_bytes=1200, piece=F.floor(F.col("o") / 30), run_rows=n).orderBy("o").collect()] for n in (6, 7, 50, 1000)}
+    got = runs[1000]
+    assert all(numbers == got for numbers in runs.values())
     want, batch, held = [], -1, None
     for size in sizes:
         if held is None or len(held) >= 6 or 100 + sum(held) + len(held) + size > 1200:
