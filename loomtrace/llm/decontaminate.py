@@ -222,6 +222,10 @@ def find_leaks(
             out: list[tuple] = []
             for row in rows:
                 item, text = (lowered_words(row[c]) for c in ("item_text", "stretch"))
+                # Every word of the item that the stretch lacks costs an edit.
+                held = set(text)
+                if sum(w not in held for w in item) > edits * len(item):
+                    continue
                 distance, begin, end = edit_match(item, text)
                 if distance <= edits * len(item):
                     out.append((row["doc"], row["item"], len(item), distance, row["low"] + begin, row["low"] + end))
