@@ -4,86 +4,114 @@ from __future__ import annotations
 
 import json
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The deepest schema, and the words that a schema of each type may use.
 MAX_DEPTH = 16
-KINDS = ("object", "array", "string", "number", "integer", "boolean", "null")
-# Schema words allowed per type, besides "type" and "enum".
-EXTRA_WORDS = {"object": {"properties", "required", "additionalProperties"}, "array": {"items"}}
+WORDS = {
+    "object": {"type", "enum", "properties", "required", "additionalProperties"},
+    "array": {"type", "enum", "items"},
+    **dict.fromkeys(("string", "number", "integer", "boolean", "null"), {"type", "enum"}),
+}
+#: JSON types of Python values; a float must be finite besides.
+TYPES = {dict: {"object"}, list: {"array"}, str: {"string"}, bool: {"boolean"}, int: {"integer", "number"}, float: {"number"}, type(None): {"null"}}
+ITEM = ("[]",)
+
+
+def _members(pairs: list) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a member comes twice")
+    return out
+
+
+def _finite(raw: str) -> float:
+    number = float(raw)
+    if number - number != 0:
+        raise ValueError("not a finite number")
+    return number
 
 
 def strict_loads(text: str):
-    """json.loads without repeated keys, NaN, Infinity or numbers that overflow to them."""
-
-    def pairs(items):
-        if len({key for key, _ in items}) != len(items):
-            raise ValueError("repeated key")
-        return dict(items)
-
-    def finite(raw):
-        number = float(raw)
-        if not math.isfinite(number):
-            raise ValueError("not finite")
-        return number
-
-    def refuse(raw):
-        raise ValueError(raw)
-
-    return json.loads(text, object_pairs_hook=pairs, parse_float=finite, parse_constant=refuse)
-
-
-def is_kind(kind: str, value) -> bool:
-    if isinstance(value, bool):
-        return kind == "boolean"
-    if isinstance(value, int):
-        return kind in ("integer", "number")
-    if isinstance(value, float):
-        return kind == "number" and math.isfinite(value)
-    names = {str: "string", dict: "object", list: "array", type(None): "null"}
-    return names.get(type(value)) == kind
-
-
-def schema_valid(schema, depth: int = 0) -> bool:
-    kind = schema.get("type") if isinstance(schema, dict) else None
-    if depth > MAX_DEPTH or not isinstance(kind, str) or kind not in KINDS:
-        return False
-    if set(schema) - {"type", "enum"} - EXTRA_WORDS.get(kind, set()):
-        return False
-    options = schema.get("enum")
-    if options is not None:
-        if kind in EXTRA_WORDS or not isinstance(options, list) or not options:
+    """JSON as the standard has it: no repeated members, no NaN or Infinity, nothing behind the value."""
+    return json.loads(text, object_pairs_hook=_members, parse_float=_finite, parse_constant=_finite)
+
+
+def types_of(value) -> set[str]:
+    return set() if isinstance(value, float) and not math.isfinite(value) else TYPES[type(value)]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a schema asks of the value at one path; paths name members, and any item of an array is one path."""
+
+    kind: str
+    options: tuple | None
+    required: frozenset
+    named: frozenset
+    closed: bool
+
+
+def _rule(schema) -> tuple[Rule, dict] | None:
+    """The rule of one level and its inner schemas by step, None if this level is not a schema."""
+    if not isinstance(schema, dict) or not isinstance(schema.get("type"), str) or schema["type"] not in WORDS:
+        return None
+    kind = schema["type"]
+    fields, required, options, open_ = (schema.get(w, d) for w, d in (("properties", {}), ("required", []), ("enum", None), ("additionalProperties", True)))
+    sound = [
+        schema.keys() <= WORDS[kind],
+        isinstance(fields, dict) and isinstance(required, list) and isinstance(open_, bool),
+        options is None or (isinstance(options, list) and bool(options) and kind not in ("object", "array")),
+    ]
+    if not all(sound):
+        return None
+    if options is not None and (len({json.dumps(o) for o in options}) < len(options) or any(kind not in types_of(o) for o in options)):
+        return None
+    if any(not isinstance(name, str) or name not in fields for name in required) or len(set(required)) < len(required):
+        return None
+    inner = {(name,): child for name, child in fields.items()} if kind == "object" else {ITEM: schema["items"]} if "items" in schema else {}
+    return Rule(kind, None if options is None else tuple(options), frozenset(required), frozenset(fields), not open_), inner
+
+
+def compile_schema(schema) -> dict[tuple, Rule] | None:
+    """A schema as flat rules by path, None if it is not one of the supported kind. Works level by level, without recursion."""
+    rules: dict[tuple, Rule] = {}
+    level = {(): schema}
+    for _ in range(MAX_DEPTH + 1):
+        deeper = {}
+        for path, part in level.items():
+            made = _rule(part)
+            if made is None:
+                return None
+            rules[path] = made[0]
+            deeper.update({path + (("item",) if step is ITEM else ("member", *step)): child for step, child in made[1].items()})
+        if not deeper:
+            return rules
+        level = deeper
+    return None
+
+
+def fits(rules: dict[tuple, Rule], value) -> bool:
+    """Whether a value keeps all rules. Only values at paths with a rule are looked at."""
+    todo = [((), value)]
+    while todo:
+        path, here = todo.pop()
+        rule = rules.get(path)
+        if rule is None:
+            continue
+        if rule.kind not in types_of(here) or (rule.options is not None and here not in rule.options):
             return False
-        spelled = {json.dumps(option, ensure_ascii=False) for option in options}
-        if len(spelled) != len(options) or not all(is_kind(kind, option) for option in options):
-            return False
-    if kind == "array":
-        return "items" not in schema or schema_valid(schema["items"], depth + 1)
-    if kind != "object":
-        return True
-    fields, required = schema.get("properties", {}), schema.get("required", [])
-    if not isinstance(fields, dict) or not isinstance(required, list) or not isinstance(schema.get("additionalProperties", True), bool):
-        return False
-    named = all(isinstance(name, str) and name in fields for name in required)
-    return named and len(set(required)) == len(required) and all(schema_valid(child, depth + 1) for child in fields.values())
-
-
-def matches(schema, value) -> bool:
-    """Whether a value fits a valid schema."""
-    if not is_kind(schema["type"], value) or ("enum" in schema and value not in schema["enum"]):
-        return False
-    if schema["type"] == "array":
-        return "items" not in schema or all(matches(schema["items"], item) for item in value)
-    if schema["type"] != "object":
-        return True
-    fields = schema.get("properties", {})
-    if any(name not in value for name in schema.get("required", [])):
-        return False
-    if schema.get("additionalProperties") is False and set(value) - set(fields):
-        return False
-    return all(matches(child, value[name]) for name, child in fields.items() if name in value)
+        if rule.kind == "object":
+            if not rule.required <= here.keys() or (rule.closed and not here.keys() <= rule.named):
+                return False
+            todo += [(path + ("member", name), child) for name, child in here.items()]
+        elif rule.kind == "array":
+            todo += [(path + ("item",), child) for child in here]
+    return True
 
 
 @F.pandas_udf(T.BooleanType())
@@ -110,8 +138,7 @@ def schema_match(schemas: pd.Series, texts: pd.Series) -> pd.Series:
     def load(text):
         if text not in known:
             try:
-                schema = json.loads(text)
-                known[text] = schema if schema_valid(schema) else None
+                known[text] = compile_schema(json.loads(text))
             except (ValueError, RecursionError):
                 known[text] = None
         return known[text]
@@ -119,9 +146,9 @@ def schema_match(schemas: pd.Series, texts: pd.Series) -> pd.Series:
     def check(schema_text, text):
         if schema_text is None or text is None:
             return None
-        schema = load(schema_text)
+        rules = load(schema_text)
         try:
-            return schema is not None and matches(schema, strict_loads(text))
+            return rules is not None and fits(rules, strict_loads(text))
         except (ValueError, RecursionError):
             return False
 
