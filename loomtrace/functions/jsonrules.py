@@ -166,3 +166,49 @@ def canonical_json(texts: pd.Series) -> pd.Series:
             return None
 
     return texts.map(write)
+
+
+@F.pandas_udf(T.StringType())
+def plain_json(texts: pd.Series) -> pd.Series:
+    """JSON that `parse_json` reads as `json.loads` does: of repeated members the last, nothing but space behind the value.
+
+    NULL for anything else. Spark's own parser refuses repeated members and takes text behind the value.
+    """
+
+    def write(text):
+        try:
+            return json.dumps(json.loads(text))
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return texts.map(write)
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def argument_kinds(requests: pd.Series, responses: pd.Series) -> pd.Series:
+    """For every text in a member `arguments` of two JSON bodies: `object`, `other` or `invalid` JSON."""
+
+    def kind(text: str) -> str:
+        try:
+            return "object" if isinstance(json.loads(text), dict) else "other"
+        except (ValueError, RecursionError):
+            return "invalid"
+
+    def kinds(*bodies) -> dict:
+        found, todo = {}, []
+        for body in bodies:
+            try:
+                todo.append(json.loads(body))
+            except (TypeError, ValueError, RecursionError):
+                continue
+        while todo:
+            value = todo.pop()
+            if isinstance(value, dict):
+                if isinstance(value.get("arguments"), str):
+                    found[value["arguments"]] = kind(value["arguments"])
+                value = list(value.values())
+            if isinstance(value, list):
+                todo += [v for v in value if isinstance(v, (dict, list))]
+        return found
+
+    return pd.Series([kinds(*pair) for pair in zip(requests, responses)])

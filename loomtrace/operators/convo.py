@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jsonrules import argument_kinds, plain_json
 from ..session import ensure_checkpoint_dir
 from .ordered import computed_once, first_rows, running_sum, with_neighbour
 
@@ -81,11 +82,12 @@ def _item(value: Column) -> Column:
 
 
 def _call_problem(call: Column) -> Column:
-    parsed = F.try_parse_json(call["arguments"])
+    # Judged once per body as `json.loads` does, and looked up here by text.
+    kind = F.col("__kinds")[call["arguments"]]
     return (
         F.when(~_filled(call["id"]) | ~_filled(call["name"]) | call["arguments"].isNull(), "invalid_tool_call")
-        .when(parsed.isNull(), "invalid_tool_arguments")
-        .when(_kind(parsed) != "OBJECT", "nonobject_tool_arguments")
+        .when(F.coalesce(kind, F.lit("invalid")) == "invalid", "invalid_tool_arguments")
+        .when(kind != "object", "nonobject_tool_arguments")
     )
 
 
@@ -193,7 +195,8 @@ def decode_examples(rows: DataFrame, request: str = "request", response: str = "
 
     Adds `messages`, `tool_names`, `targets`, `omitted_reasoning` and `reject_reason` (NULL = supported). Every row stays.
     """
-    parsed = computed_once(rows.withColumn("__q", F.try_parse_json(request)).withColumn("__r", F.try_parse_json(response)))
+    parsed = rows.withColumn("__q", F.try_parse_json(plain_json(request))).withColumn("__r", F.try_parse_json(plain_json(response)))
+    parsed = computed_once(parsed.withColumn("__kinds", argument_kinds(request, response)))
     q, r = F.col("__q"), F.col("__r")
     responses = F.col("endpoint") == "responses"
     given = _part(q, "$.input")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sf
+from ..functions.jsonrules import plain_json
 from ..functions.jsonwalk import json_nodes
 
 TEXT_KEYS = ("content", "text", "output_text", "refusal")
@@ -24,7 +25,7 @@ def sse_data(body) -> Column:
 def sse_events(rows: DataFrame, body: str, *keep: str) -> DataFrame:
     """One row per event of an event stream: its place and its JSON as a VARIANT (NULL when it is not JSON)."""
     placed = rows.select(*keep, F.posexplode(sse_data(F.col(body))).alias("event_index", "data"))
-    return placed.withColumn("event", F.try_parse_json("data"))
+    return placed.withColumn("event", F.try_parse_json(plain_json("data")))
 
 
 def sse_summary(events: DataFrame, *keys: str) -> DataFrame:

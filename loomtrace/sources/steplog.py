@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.jsonrules import plain_json
 from ..operators.features import usage_of_variant
 
 
 def parse_steps(lines: DataFrame, line: str = "value") -> DataFrame:
     """Keep lines that hold one JSON object; other lines are skipped."""
-    parsed = lines.withColumn("step", F.try_parse_json(line))
+    parsed = lines.withColumn("step", F.try_parse_json(plain_json(line)))
     objects = parsed.where(F.schema_of_variant("step").startswith("OBJECT"))
     text = lambda path: F.try_variant_get("step", path, "string")
     return objects.select(

@@ -159,11 +159,13 @@ def test_walk_order_and_lone_surrogates():
 
 def test_step_log(spark, tmp_path):
     lines = ['{"type":"prompt","content":"do"}', "broken {", "[1]", '{"type":"reasoning","usage":{"prompt_tokens":3},"message":{"tool_calls":[{"function":{"name":"run"}},{}]}}', '{"type":"shell-output","exit":2}']
+    # Text behind the value spoils a line; of repeated members the last one counts.
+    lines += ['{"type":"spoilt"} junk', '{"type":"first","type":"agent","content":"c"}']
     (tmp_path / "log.jsonl").write_text("\n".join(lines))
     from loomtrace.operators.convo import tool_histogram
 
     steps = steplog.read_steps(spark, str(tmp_path))
     assert sorted((r.type, r.content, r.exit_code, r.usage.input_tokens) for r in steps.collect()) == [
-        ("prompt", "do", None, None), ("reasoning", "", None, 3), ("shell-output", "", 2, None)
+        ("agent", "c", None, None), ("prompt", "do", None, None), ("reasoning", "", None, 3), ("shell-output", "", 2, None)
     ]
     assert sorted(map(tuple, tool_histogram(steps).collect())) == [("run", 1), ("unknown", 1)]

@@ -47,6 +47,8 @@ CASES = [
     (chat([USER, {"role": "assistant", "content": None, "tool_calls": [{**CALL, "id": ""}]}]), "invalid_tool_call"),
     (chat([USER, {"role": "assistant", "tool_calls": [{**CALL, "function": {"name": "f", "arguments": "{"}}]}]), "invalid_tool_arguments"),
     (chat([USER, {"role": "assistant", "tool_calls": [{**CALL, "function": {"name": "f", "arguments": "[]"}}]}]), "nonobject_tool_arguments"),
+    (chat([USER, {"role": "assistant", "tool_calls": [{**CALL, "function": {"name": "f", "arguments": '{"a":1} x'}}]}]), "invalid_tool_arguments"),
+    (chat([USER, {"role": "assistant", "tool_calls": [{**CALL, "function": {"name": "f", "arguments": '{"a":1,"a":2}'}}]}, {"role": "tool", "tool_call_id": "a", "content": "r"}], tools=TOOLS), None),
     (chat([USER, {"role": "tool", "content": "x"}]), "unsupported_tool_output"),
     (chat([USER, {"role": "assistant", "content": None}]), "missing_visible_message"),
     (chat([USER], finish="length"), "incomplete_assistant_turn"),
