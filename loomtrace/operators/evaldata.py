@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -313,3 +315,20 @@ def short_quotas(chosen: DataFrame, quotas: dict[str, dict[str, int]]) -> DataFr
     return listed.select("split", "selection", "required", "chosen", (F.col("required") - F.col("chosen")).alias("missing"))
 
 
+def bind_sources(planned: DataFrame, sources: DataFrame, key: str = "key", identity: Sequence[str] = ("content_sha256",)) -> DataFrame:
+    """Every planned case with the state of its source: `problem` is NULL where exactly one source with the same digests is stored.
+
+    Otherwise it says no_source, ambiguous_source or which digest differs, so that a plan whose sources have gone or changed is
+    seen before anything is made from it. Sources are counted per key before the join; nothing is matched in pairs.
+    """
+    counted = sources.groupBy(key).agg(F.count("*").alias("__n"), *[F.min(name).alias(f"__{name}") for name in identity])
+    joined = planned.join(counted, key, "left")
+    problem = F.when(F.col("__n").isNull(), "no_source").when(F.col("__n") > 1, "ambiguous_source")
+    for name in identity:
+        problem = problem.when(~F.col(name).eqNullSafe(F.col(f"__{name}")), f"{name.removesuffix('_sha256')}_differs")
+    return joined.select(*planned.columns, problem.alias("problem"))
+
+
+def unbound_sources(bound: DataFrame) -> DataFrame:
+    """Planned cases per problem of `bind_sources`; no rows for a plan that can be run."""
+    return bound.where(F.col("problem").isNotNull()).groupBy("problem").agg(F.count("*").alias("n"))

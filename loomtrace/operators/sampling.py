@@ -222,9 +222,15 @@ def exclude_held_out(rows: DataFrame, held_out: DataFrame, columns: Sequence[str
     return rows
 
 
-def train_selection(rows: DataFrame, held_out: DataFrame, size: int, hashes: Sequence[str]) -> DataFrame:
-    """Eligible train rows, held-out texts excluded, one row per group, lowest kind-salted digests first."""
-    kept = exclude_held_out(rows.where(F.col("split") == "train"), held_out, hashes)
+def train_selection(rows: DataFrame, held_out: DataFrame, size: int, hashes: Sequence[str], eligible: Column | None = None) -> DataFrame:
+    """Eligible train rows, held-out texts excluded, one row per group, lowest kind-salted digests first.
+
+    `eligible` says which rows may be trained on, for exchanges `features.eligible_for_training`; a NULL means no.
+    """
+    wanted = F.col("split") == "train"
+    if eligible is not None:
+        wanted = wanted & F.coalesce(eligible, F.lit(False))
+    kept = exclude_held_out(rows.where(wanted), held_out, hashes)
     single = one_per_group(kept)
     salt = F.when(F.col("source_group_kind") == "request", "train.request.v1:").otherwise("train.trajectory.v1:")
     digest = sf.sha256_text(F.concat(salt, "source_group_sha256", "content_sha256"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as sf
 from ..operators import evaldata, sampling
+from ..operators import labels as label_jobs
 from ..sources import listing, views
 from ..sources.tables import table
 from . import eval_plan
@@ -642,3 +643,54 @@ UNION ALL SELECT 'oracle.' || CASE WHEN lang IN ('en', 'fr', 'de') THEN oracle E
 def quality_report(spark, folder):
     cases = eval_rows(spark, folder).withColumnRenamed("text", "input").withColumn("expected", F.lit(""))
     return evaldata.quality_report(cases)
+
+
+def stored_sources(spark, folder):
+    """Sources of the plan below with planted faults: some have gone, some changed, some are stored twice."""
+    docs = table(spark, folder, "documents").where(F.col("doc_id") % 7 != 0)
+    changed = F.concat("text", F.when(F.col("doc_id") % 11 == 3, "!").otherwise(""))
+    rows = docs.select("doc_id", F.format_string("d/%09d", "doc_id").alias("key"), sf.sha256_text(changed).alias("content_sha256"))
+    return rows.unionByName(rows.where(F.col("doc_id") % 13 == 1)).drop("doc_id")
+
+
+SOURCES_SQL = f"""WITH planned AS (SELECT {sha("'case:' || doc_id")} AS case_id, printf('d/%09d', doc_id) AS key, {sha('text')} AS c FROM documents),
+gone AS (SELECT * FROM documents WHERE doc_id % 7 <> 0),
+stored AS (SELECT * FROM gone UNION ALL SELECT * FROM gone WHERE doc_id % 13 = 1),
+s AS (SELECT printf('d/%09d', doc_id) AS key, count(*) AS n, min({sha("text || CASE WHEN doc_id % 11 = 3 THEN '!' ELSE '' END")}) AS c FROM stored GROUP BY 1),
+bound AS (SELECT case_id, CASE WHEN n IS NULL THEN 'no_source' WHEN n > 1 THEN 'ambiguous_source' WHEN s.c <> planned.c THEN 'content_differs' END AS problem
+  FROM planned LEFT JOIN s USING (key))
+"""
+
+
+def bound_plan(spark, folder):
+    plan = table(spark, folder, "documents").select(
+        sf.sha256_text(F.concat(F.lit("case:"), "doc_id")).alias("case_id"), F.format_string("d/%09d", "doc_id").alias("key"), sf.sha256_text("text").alias("content_sha256")
+    )
+    return evaldata.bind_sources(plan, stored_sources(spark, folder))
+
+
+@query("source_binding", SOURCES_SQL + "SELECT case_id, problem FROM bound")
+def source_binding(spark, folder):
+    return bound_plan(spark, folder).select("case_id", "problem")
+
+
+@query("unbound_sources", SOURCES_SQL + "SELECT problem, count(*) AS n FROM bound WHERE problem IS NOT NULL GROUP BY 1")
+def unbound_sources(spark, folder):
+    return evaldata.unbound_sources(bound_plan(spark, folder))
+
+
+@query(
+    "label_references",
+    f"""WITH r AS (SELECT 'l/' || doc_id AS label_key, {sha("quality || ',' || toxic")} AS label_sha256, {sha("doc_id::varchar")} AS c, doc_id FROM labels)
+SELECT label_key, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 10 = 3 THEN 'digest_differs' WHEN doc_id % 8 = 5 THEN 'content_differs' END AS problem FROM r""",
+)
+def label_references(spark, folder):
+    kept = table(spark, folder, "labels").withColumn("label_key", F.concat(F.lit("l/"), "doc_id"))
+    digest = lambda extra: sf.sha256_text(F.concat(F.col("quality").cast("string"), F.lit(","), F.col("toxic").cast("string"), extra))
+    content = lambda extra: sf.sha256_text(F.concat(F.col("doc_id").cast("string"), extra))
+    references = kept.select("label_key", digest(F.lit("")).alias("label_sha256"), content(F.lit("")).alias("content_sha256"))
+    fault = lambda place, mark: F.when(place, mark).otherwise("")
+    stored = kept.where(F.col("doc_id") % 9 != 0).select(
+        "label_key", digest(fault(F.col("doc_id") % 10 == 3, "x")).alias("label_sha256"), content(fault(F.col("doc_id") % 8 == 5, "x")).alias("content_sha256")
+    )
+    return label_jobs.label_references(references, stored)
