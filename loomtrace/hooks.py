@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.jsonrules import strict_json_ok
 from .operators import evaldata
 from .operators.labels import label_violations
 from .session import ensure_checkpoint_dir
@@ -128,6 +127,9 @@ ANSWER, METRICS, METRIC, REASON = ("task_correct", "metrics", "reason"), 32, "^[
 
 def checked_answers(said: DataFrame) -> DataFrame:
     """Checker answers (column `answer`, JSON) as typed columns, with the first problem of each as `problem`."""
+    # Imported here: plug-ins that name this module are sent to workers with it, which a used function of Spark's cannot be.
+    from .functions.jsonrules import strict_json_ok
+
     strict = F.coalesce(strict_json_ok("answer"), F.lit(False))
     free = F.when(strict, F.try_parse_json("answer"))
     kind = lambda name: F.schema_of_variant(F.try_variant_get(free, f"$.{name}", "variant"))
