@@ -15,13 +15,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import NO_ID, Words, chunks, mix, no_text, texts_of, whole, windows, words_of
 
 WINDOW, PHRASE, ROUNDS = 20, 6, 8
-PLACE_BITS, TAG_BITS = 40, 12
 _NAME = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -110,50 +109,45 @@ def anchors(words: Words, width: int = WINDOW, phrase: int = PHRASE, rounds: int
     return window, best
 
 
-def _local_first(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of rows by (key, doc, at); in that order, which are the first of their key, and which keys come again."""
-    order = np.lexsort((at, doc, key))
-    k, d, a = key[order], doc[order], at[order]
+def _local_first(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows by (key, doc, tag, at); in that order, which are the first of their key, and which keys come again."""
+    order = np.lexsort((at, tag, doc, key))
+    k, d, t, a = key[order], doc[order], tag[order], at[order]
     first = np.ones(len(order), dtype=bool)
     first[1:] = k[1:] != k[:-1]
     same = np.zeros(len(order), dtype=bool)
-    same[1:] = ~first[1:] & (d[1:] == d[:-1]) & (a[1:] == a[:-1])
+    same[1:] = ~first[1:] & (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (a[1:] == a[:-1])
     return order[~same], first[~same], k[~same]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with the key of a document: its id (null as the least) and a tag of its text."""
-    tag = F.xxhash64(no_text(text_col)).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+    """Rows with the key of a document: its id (null as the least) and a 64-bit hash of its text."""
+    tag = F.xxhash64(no_text(text_col))
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), no_text(text_col).alias("text"))
 
 
-def _place() -> Column:
-    return F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-
-
 def _per_document(places: DataFrame) -> DataFrame:
-    tag = F.shiftright("at", PLACE_BITS).alias("tag")
-    return places.select("doc", tag, _place().cast("int").alias("place")).groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
+    return places.select("doc", "tag", F.col("at").cast("int").alias("place")).groupBy("doc", "tag").agg(F.collect_list("place").alias("places"))
 
 
-ROWS = "key long, doc long, at long"
+ROWS = "key long, doc long, tag long, at long"
 
 
-def _batch(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at)], ["key", "doc", "at"])
+def _batch(key: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows in the order of their documents: neighbours share doc and tag, which shuffle files then hold in few bytes."""
+    order = np.lexsort((at, tag, doc))
+    columns = [pa.array(c[order]) for c in (key.view(np.int64), doc, tag, at)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "doc", "tag", "at"])
 
 
-def _settled(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _settled(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Rows that are settled in their chunk: a negative key of their document marks them."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    return _batch(mix(doc.view(np.uint64)) | np.uint64(1 << 63), doc, at)
+    return _batch(mix(doc.view(np.uint64) ^ mix(tag.view(np.uint64))) | np.uint64(1 << 63), doc, tag, at)
 
 
-def _tagged(piece: pa.RecordBatch, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    doc = piece.column("doc").to_numpy(zero_copy_only=False)[owner]
-    tag = piece.column("tag").to_numpy(zero_copy_only=False)[owner]
-    return doc, (tag << PLACE_BITS) | place
+def _owned(piece: pa.RecordBatch, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Id and text hash of the documents that own the places."""
+    return piece.column("doc").to_numpy(zero_copy_only=False)[owner], piece.column("tag").to_numpy(zero_copy_only=False)[owner]
 
 
 def anchor_rows(docs: DataFrame, width: int, phrase: int) -> DataFrame:
@@ -167,14 +161,14 @@ def anchor_rows(docs: DataFrame, width: int, phrase: int) -> DataFrame:
                 place = np.unique(anchor)
                 key = windows(words.hash, phrase, 0xA0761D6478BD642F)[place]
                 owner = np.searchsorted(words.first, place, side="right") - 1
-                doc, at = _tagged(piece, owner, place - words.first[owner])
-                order, first, k = _local_first(key, doc, at)
+                (doc, tag), at = _owned(piece, owner), place - words.first[owner]
+                order, first, k = _local_first(key, doc, tag, at)
                 again = ~first
                 again[:-1] |= again[1:]
-                doc, at = doc[order], at[order]
+                doc, tag, at = doc[order], tag[order], at[order]
                 # 48 bits rule out nearly all phrases that occur once; others only cost a look at their windows.
-                yield _batch(k[first] >> np.uint64(16), doc[first], at[first])
-                yield _settled(doc[again], at[again])
+                yield _batch(k[first] >> np.uint64(16), doc[first], tag[first], at[first])
+                yield _settled(doc[again], tag[again], at[again])
 
     return docs.mapInArrow(emit, ROWS)
 
@@ -194,11 +188,11 @@ def window_rows(docs: DataFrame, width: int, phrase: int) -> DataFrame:
                 window = window[marked[anchor]]
                 key = windows(words.hash, width, 0xE7037ED1A0B428DB)[window]
                 owner = np.searchsorted(words.first, window, side="right") - 1
-                doc, at = _tagged(piece, owner, window - words.first[owner])
-                order, first, k = _local_first(key, doc, at)
-                doc, at = doc[order], at[order]
-                yield _batch(k[first] >> np.uint64(1), doc[first], at[first])
-                yield _settled(doc[~first], at[~first])
+                (doc, tag), at = _owned(piece, owner), window - words.first[owner]
+                order, first, k = _local_first(key, doc, tag, at)
+                doc, tag, at = doc[order], tag[order], at[order]
+                yield _batch(k[first] >> np.uint64(1), doc[first], tag[first], at[first])
+                yield _settled(doc[~first], tag[~first], at[~first])
 
     return docs.mapInArrow(emit, ROWS)
 
@@ -208,7 +202,7 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, id_c
 
     A word goes if a window of `width` words over it also starts earlier (smaller id, or same document and earlier place). Null
     texts count as empty; texts under `width` words keep all; null ids are the smallest; rows with the same id and text are one
-    document, with the same id and other text they are ordered by a hash of the text. Extra columns are not read.
+    document, with the same id and other text they are ordered by the 64-bit hash of the text that tells them apart. Extra columns are not read.
 
     Repeats inside a chunk of rows are settled there, so that a passage of a third of all documents reaches the shuffle once
     per chunk. Windows are told apart by 63-bit digests.
@@ -219,7 +213,7 @@ def deduplicate(docs: DataFrame, width: int = WINDOW, phrase: int = PHRASE, id_c
     candidates = _per_document(found.withColumn("again", again | (F.col("key") < 0)).where("again"))
     asked = keyed.join(candidates, ["doc", "tag"]).select("doc", "tag", "text", "places")
     rows = window_rows(asked, width, phrase)
-    later = F.rank().over(Window.partitionBy("key").orderBy("doc", "at")) > 1
+    later = F.rank().over(Window.partitionBy("key").orderBy("doc", "tag", "at")) > 1
     repeats = _per_document(rows.withColumn("later", later | (F.col("key") < 0)).where("later"))
     final = keyed.join(repeats, ["doc", "tag"], "left").select("doc", "text", "places")
 

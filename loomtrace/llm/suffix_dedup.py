@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recompression import PLACE_BITS, _keyed, _place, _tagged
+from .recompression import _keyed, _owned
 from .shared import NO_ID, PrefixHash, Texts, chunks, mix, texts_of
 
 WIDTH, GRAM = 200, 64
@@ -54,14 +54,13 @@ def anchor_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 hashes = PrefixHash(texts.data)
                 place = np.unique(anchors(texts, hashes, width, gram)[1])
                 owner = np.searchsorted(texts.begins, place, side="right") - 1
-                doc, at = _tagged(piece, owner, place - texts.begins[owner])
-                key = hashes.of(place, place + gram).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at)], ["key", "doc", "at"])
+                columns = [hashes.of(place, place + gram).view(np.int64), *_owned(piece, owner), place - texts.begins[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "doc", "tag", "at"])
 
-    return docs.mapInArrow(emit, "key long, doc long, at long")
+    return docs.mapInArrow(emit, "key long, doc long, tag long, at long")
 
 
-SURROUNDINGS = "key long, check long, doc long, at long, known boolean, windows int, left int, bytes binary"
+SURROUNDINGS = "key long, check long, doc long, tag long, at long, known boolean, windows int, left int, bytes binary"
 
 
 def surrounding_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
@@ -113,8 +112,8 @@ def surrounding_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 def _rows(piece, texts, order, same, twice, key, check, low, number, left, high) -> Iterator[pa.RecordBatch]:
     owner = np.searchsorted(texts.begins, low, side="right") - 1
-    doc, at = _tagged(piece, owner, low - texts.begins[owner])
-    spread = mix(doc.view(np.uint64) + mix(at.view(np.uint64)))
+    (doc, tag), at = _owned(piece, owner), low - texts.begins[owner]
+    spread = mix(doc.view(np.uint64) + mix(tag.view(np.uint64) + mix(at.view(np.uint64))))
     raw = texts.data.tobytes() if high is not None else b""
     for cut in range(0, len(order), 5000):
         o, later, again = order[cut : cut + 5000], same[cut : cut + 5000], twice[cut : cut + 5000]
@@ -124,13 +123,14 @@ def _rows(piece, texts, order, same, twice, key, check, low, number, left, high)
                 pa.array(np.where(later, spread[o], key[o]).view(np.int64)),
                 pa.array(check[o].view(np.int64)),
                 pa.array(doc[o]),
+                pa.array(tag[o]),
                 pa.array(at[o]),
                 pa.array(again),
                 pa.array(number[o], pa.int32()),
                 pa.array(left[o], pa.int32()),
                 pa.array(content, pa.binary()),
             ],
-            ["key", "check", "doc", "at", "known", "windows", "left", "bytes"],
+            ["key", "check", "doc", "tag", "at", "known", "windows", "left", "bytes"],
         )
 
 
@@ -213,8 +213,8 @@ def repeated_starts(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, le
 
 
 def settle(table: pa.Table, width: int) -> pa.RecordBatch:
-    """Removed stretches (doc, at, size) of rows that are sorted by key and check and hold whole groups."""
-    key, check, doc, at = (table.column(c).to_numpy() for c in ("key", "check", "doc", "at"))
+    """Removed stretches (doc, tag, at, size) of rows that are sorted by key and check and hold whole groups."""
+    key, check, doc, tag, at = (table.column(c).to_numpy() for c in ("key", "check", "doc", "tag", "at"))
     known = table.column("known").to_numpy(zero_copy_only=False).astype(bool)
     number, left = table.column("windows").to_numpy().astype(np.int64), table.column("left").to_numpy().astype(np.int64)
     content = table.column("bytes").combine_chunks()
@@ -231,7 +231,7 @@ def settle(table: pa.Table, width: int) -> pa.RecordBatch:
     several = np.bincount(group, minlength=1)[group] > 1
     single = np.bincount(group, ~whole[first], minlength=1)[group] > 0
     reps = first[several & single]
-    docs, starts, sizes = [doc[whole]], [at[whole]], [number[whole] - 1 + width]
+    docs, tags, starts, sizes = [doc[whole]], [tag[whole]], [at[whole]], [number[whole] - 1 + width]
     if len(reps):
         size = number[reps] - 1 + width
         begin = np.cumsum(size) - size
@@ -243,9 +243,10 @@ def settle(table: pa.Table, width: int) -> pa.RecordBatch:
         opens = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (text[1:] != text[:-1])))
         closes = np.flatnonzero(hit & np.append(~hit[1:] | (text[1:] != text[:-1]), True))
         docs.append(doc[reps][text[opens]])
+        tags.append(tag[reps][text[opens]])
         starts.append(at[reps][text[opens]] + nth[opens])
         sizes.append(closes - opens + width)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (docs, starts, sizes)], ["doc", "at", "size"]) if n else None
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (docs, tags, starts, sizes)], ["doc", "tag", "at", "size"]) if n else None
 
 
 def removed_stretches(rows: DataFrame, width: int) -> DataFrame:
@@ -266,7 +267,7 @@ def removed_stretches(rows: DataFrame, width: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield settle(held, width)
 
-    return placed.mapInArrow(work, "doc long, at long, size long")
+    return placed.mapInArrow(work, "doc long, tag long, at long, size long")
 
 
 def deduplicate_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,11 +281,11 @@ def deduplicate_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, cro
     found = anchor_rows(keyed, width, gram)
     counts = found.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
     crowded = (F.col("rows") > crowd).cast("long")
-    marked = found.join(counts, "key").select("doc", F.shiftright("at", PLACE_BITS).alias("tag"), (_place() * 2 + crowded).alias("place"))
+    marked = found.join(counts, "key").select("doc", "tag", (F.col("at") * 2 + crowded).alias("place"))
     candidates = marked.groupBy("doc", "tag").agg(F.collect_set("place").alias("places"))
     asked = keyed.join(candidates, ["doc", "tag"]).select("doc", "tag", "text", "places")
     stretches = removed_stretches(surrounding_rows(asked, width, gram), width)
-    per_document = stretches.select("doc", F.shiftright("at", PLACE_BITS).alias("tag"), F.struct(_place().alias("start"), "size").alias("s"))
+    per_document = stretches.select("doc", "tag", F.struct(F.col("at").alias("start"), "size").alias("s"))
     removed = per_document.groupBy("doc", "tag").agg(F.collect_list("s").alias("stretches"))
     final = keyed.join(removed, ["doc", "tag"], "left").select("doc", "text", "stretches")
 

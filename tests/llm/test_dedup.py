@@ -35,6 +35,16 @@ def test_bytes_removed(spark):
         assert sorted(out, key=str) == sorted(plain.bytes_kept(rows), key=str)
 
 
+def test_many_rows_without_an_id(spark):
+    """Each row's own repeats: rows that shared a key would cut one another's words, also behind a shorter text's end."""
+    say = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    rows = [(None, " ".join(say(k, 5 + k % 90) + (say(k, 5 + k % 90) if k % 3 == 0 else []))) for k in range(3000)]
+    out = got(recompression.deduplicate(plain.fixture(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(out, key=str) == sorted(plain.words_kept(rows), key=str)
+    out = got(suffix_dedup.deduplicate_bytes(plain.fixture(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(out, key=str) == sorted(plain.bytes_kept(rows), key=str)
+
+
 def test_suffix_order():
     import numpy as np
 
