@@ -19,8 +19,10 @@ MIN_WORDS, REPEAT_PERCENT = 10, 20
 FEATURES = ("log_words", "log_word_chars", "symbol_share", "dup_lines", "repeat_share")
 #: Least standard deviation of each feature: below it differences mean nothing.
 FLOORS = (0.5, 0.08, 0.03, 0.08, 0.08)
-#: Share of rows in the least-determinant subset, concentration steps, rows a group of its own needs, and the largest distance.
-SUBSET, STEPS, OWN_GROUP, RADIUS = 0.75, 3, 200, 9.0
+#: Share of rows in the least-determinant subset, concentration steps, and the largest distance.
+SUBSET, STEPS, RADIUS = 0.75, 3, 9.0
+#: Rows that the language's estimate counts as in a group's own: as many as a centre and a covariance have numbers.
+PRIOR_ROWS = len(FEATURES) * (len(FEATURES) + 3) // 2
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS)] = True
 
@@ -131,23 +133,33 @@ def chi2_quantile(p: float, d: int) -> float:
     return high
 
 
+MODEL = "grp string, centre array<double>, spread array<double>, inverse array<double>"
+
+
 def _solved(sums: DataFrame, share: float | None) -> DataFrame:
-    """Centre and inverse covariance per group from its sums; covariances of a trimmed subset are scaled up to consistency."""
+    """Centre, covariance and its inverse per group from its sums; covariances of a trimmed subset are scaled up to consistency.
+
+    Where a group has a prior (`prior_centre`, `prior_spread`), both are drawn to it with a weight that falls as n grows.
+    """
     d = len(FEATURES)
     scale = 1.0 if share is None else share / chi2_cdf(chi2_quantile(share, d), d + 2)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            centres, inverses = [], []
-            for n, first, second in zip(frame["n"], frame["first"], frame["second"], strict=True):
-                centre = np.asarray(first, float) / n
-                spread = np.asarray(second, float).reshape(d, d) / n - np.outer(centre, centre)
-                spread = scale * spread + np.diag(np.square(FLOORS))
-                centres.append(centre.tolist())
-                inverses.append(np.linalg.inv(spread).ravel().tolist())
-            yield pd.DataFrame({"grp": frame["grp"], "centre": centres, "inverse": inverses})
-
-    return sums.mapInPandas(solve, "grp string, centre array<double>, inverse array<double>")
+            out = []
+            for row in frame.itertuples(index=False):
+                centre, spread, floor = np.zeros(d), np.zeros((d, d)), np.diag(np.square(FLOORS))
+                if row.n:
+                    centre = np.asarray(row.first, float) / row.n
+                    spread = scale * (np.asarray(row.second, float).reshape(d, d) / row.n - np.outer(centre, centre)) + floor
+                if row.prior_centre is not None:
+                    own = row.n / (row.n + PRIOR_ROWS)
+                    centre = own * centre + (1 - own) * np.asarray(row.prior_centre, float)
+                    spread = own * spread + (1 - own) * np.asarray(row.prior_spread, float).reshape(d, d)
+                out.append((row.grp, centre.tolist(), spread.ravel().tolist(), np.linalg.inv(spread).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["grp", "centre", "spread", "inverse"])
+
+    return sums.mapInPandas(solve, MODEL)
 
 
 def _sums(rows: DataFrame) -> DataFrame:
@@ -165,6 +177,35 @@ def _distance() -> Column:
     return sum((gap[i] * gap[j] * F.col("inverse")[i * d + j] for i in range(d) for j in range(d)), F.lit(0.0))
 
 
+def _estimate(fit: DataFrame, group: str, priors: DataFrame) -> DataFrame:
+    """Robust estimate of every group: medians, three concentration steps, one reweighting; `priors` has a row per group."""
+    from .shared import written
+
+    d = len(FEATURES)
+    fit = fit.select(F.col(group).alias("grp"), "x")
+    # Medians and median deviations as sums of a single row each, so that the start is drawn to the prior like the steps.
+    half = [F.percentile_approx(F.col("x")[i], 0.5).alias(f"m{i}") for i in range(d)]
+    middle = fit.groupBy("grp").agg(F.count("*").alias("n"), *half).select("grp", "n", F.array(*[f"m{i}" for i in range(d)]).alias("middle"))
+    away = fit.join(middle, "grp")
+    spread = away.groupBy("grp", "n", "middle").agg(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("middle")[i]), 0.5).alias(f"s{i}") for i in range(d)])
+    m = [F.col("middle")[i] for i in range(d)]
+    second = [F.col("n") * (m[i] * m[j] + (F.pow(F.col(f"s{i}") * 1.4826, 2) if i == j else F.lit(0.0))) for i in range(d) for j in range(d)]
+    sums = spread.select("grp", "n", F.array(*[F.col("n") * a for a in m]).alias("first"), F.array(*second).alias("second"))
+    for step in range(STEPS + 2):
+        # A group none of whose rows is near has its prior alone.
+        counted = priors.join(sums, "grp", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        model = written(_solved(counted, None if step == 0 else SUBSET if step <= STEPS else 0.975), "centres")
+        if step > STEPS:
+            return model
+        placed = fit.join(model, "grp").withColumn("distance", _distance())
+        if step < STEPS:
+            limits = placed.groupBy("grp").agg(F.percentile_approx("distance", SUBSET, 10_000).alias("limit"))
+            near = placed.join(limits, "grp").where(F.col("distance") <= F.col("limit"))
+        else:
+            near = placed.where(F.col("distance") <= chi2_quantile(0.975, d))
+        sums = _sums(near)
+
+
 def quality(
     docs: DataFrame,
     by: tuple[str, ...] = ("lang", "source"),
@@ -176,38 +217,25 @@ def quality(
 
     Centres and covariances cover every row that passes the base rules: each step aggregates sums per group with map-side
     combining, so a hot group is never gathered. Steps start at medians and median deviations, keep the nearest 75 % of a
-    group's rows, and end with one reweighted estimate. Groups under 200 rows share one estimate. Null texts count as empty
-    (and fail), null group columns form their own group, repeated rows count each, an empty table gives no rows.
+    group's rows, and end with one reweighted estimate. Every group has its own estimate, drawn to that of its first column
+    (the language) by n / (n + 20), whatever its size. Null texts count as empty (and fail), null group columns form their own
+    group, repeated rows count each, an empty table gives no rows.
     """
     from .shared import written
 
-    d = len(FEATURES)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     names = [f"by_{i}" for i in range(len(by))]
     rows = text_statistics(docs, id_col, text_col, list(by)).withColumn("base_failed", base).withColumn("x", F.array(*features()))
-    rows = rows.withColumn("own", F.to_json(F.struct(*names)) if names else F.lit("all")).drop(*names)
+    rows = rows.withColumn("grp", F.to_json(F.struct(*names)) if names else F.lit("all"))
+    rows = rows.withColumn("parent", F.to_json(F.struct(*names[:1])) if names else F.lit("all")).drop(*names)
     rows = written(rows, "statistics")
-    sound = rows.where(~F.col("base_failed"))
-    sizes = sound.groupBy("own").agg(F.count("*").alias("own_rows"))
-    grouped = rows.join(sizes, "own", "left").withColumn("grp", F.when(F.col("own_rows") >= OWN_GROUP, F.col("own")).otherwise(F.lit("small")))
-    grouped = grouped.drop("own", "own_rows")
-    fit = grouped.where(~F.col("base_failed"))
-    half = [F.percentile_approx(F.col("x")[i], 0.5).alias(f"m{i}") for i in range(d)]
-    middle = fit.groupBy("grp").agg(*half).select("grp", F.array(*[f"m{i}" for i in range(d)]).alias("middle"))
-    away = fit.join(middle, "grp")
-    spread = away.groupBy("grp", "middle").agg(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("middle")[i]), 0.5).alias(f"s{i}") for i in range(d)])
-    weights = [1 / (F.pow(F.col(f"s{i}") * 1.4826, 2) + FLOORS[i] ** 2) for i in range(d)]
-    model = spread.select("grp", F.col("middle").alias("centre"), F.array(*[weights[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("inverse"))
-    for step in range(STEPS + 1):
-        model = written(model, "centres")
-        placed = fit.join(model, "grp").withColumn("distance", _distance())
-        if step < STEPS:
-            limits = placed.groupBy("grp").agg(F.percentile_approx("distance", SUBSET, 10_000).alias("limit"))
-            near = placed.join(limits, "grp").where(F.col("distance") <= F.col("limit"))
-        else:
-            near = placed.where(F.col("distance") <= chi2_quantile(0.975, d))
-        model = _solved(_sums(near), SUBSET if step < STEPS else 0.975)
-    final = grouped.join(written(model, "centres"), "grp", "left").withColumn("distance", _distance())
+    fit = rows.where(~F.col("base_failed"))
+    none = F.lit(None).cast("array<double>")
+    languages = fit.select(F.col("parent").alias("grp")).distinct().select("grp", none.alias("prior_centre"), none.alias("prior_spread"))
+    parents = _estimate(fit, "parent", languages).select(F.col("grp").alias("parent"), F.col("centre").alias("prior_centre"), F.col("spread").alias("prior_spread"))
+    groups = fit.select("grp", "parent").distinct().join(parents, "parent").drop("parent")
+    model = _estimate(fit, "grp", groups)
+    final = rows.join(model, "grp", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= radius**2)
     return final.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance"

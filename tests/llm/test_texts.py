@@ -184,6 +184,18 @@ def test_quality(spark):
     assert quality.quality(plain.fixture(spark, [])).count() == 0
 
 
+def test_quality_of_small_groups(spark):
+    """Sources of 40 to 60 rows: a rare language with longer words stays, and words like the others' are its outliers."""
+    r = random.Random(8)
+    say = lambda n, low, high: " ".join("".join(r.choices("abcdefgh", k=r.randint(low, high))) for _ in range(n))
+    rows = [(i, say(r.randint(30, 300), 2, 8), "en", f"s{i % 12}") for i in range(720)]
+    rows += [(1000 + i, say(r.randint(30, 300), 16, 28), "xx", "s0") for i in range(50)]
+    rows += [(2000 + i, say(120, 2, 4), "xx", "s0") for i in range(2)]
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    kept = {row.doc_id for row in out if row.kept}
+    assert kept == {i for i, *_ in rows if i < 2000}
+
+
 def test_chi_square():
     assert quality.chi2_quantile(0.75, 5) == pytest.approx(6.62568, abs=1e-4)
     assert quality.chi2_cdf(14.0671, 7) == pytest.approx(0.95, abs=1e-5)
