@@ -31,16 +31,20 @@ class EntropyClass:
 
 
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Keys of one case hold letters beyond f, so that hex strings are left to the hex class.
 CLASSES = (
     EntropyClass("entropy_hex", r"[0-9A-Fa-f]{24,}", 24, 3.0, (DIGIT, LOWER + UPPER)),
     EntropyClass("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 3.9, (DIGIT, LOWER, UPPER)),
+    EntropyClass("entropy_base36", r"[0-9a-z]{24,}", 24, 3.6, (DIGIT, LOWER[6:])),
+    EntropyClass("entropy_base32", r"[0-9A-Z]{24,}", 24, 3.6, (DIGIT, UPPER[6:])),
 )
-#: A candidate that one of these finds is no secret: web addresses and mail, placeholders, dashed ids.
+#: Windows that overlap a match of one of these, with the letters and digits around it, are no secrets: placeholders, dashed ids.
 ALLOW = (
     r"(?i)example|sample|dummy|placeholder|xxxx|lorem",
-    r"(?i)https?:|www\.|//",
-    r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$",
+    r"(?i)(?<![0-9a-z])[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}(?![0-9a-z])",
 )
+#: Web addresses, told by the scheme or www before them; windows that overlap one are no secrets.
+ADDRESS = re.compile(r"(?<=[A-Za-z0-9]:)//[A-Za-z0-9+/_=-]*|(?<=[Ww]{3}\.)[A-Za-z0-9+/_=-]+")
 
 
 @dataclass
@@ -63,20 +67,41 @@ class Scanner:
 
     def entropy(self, text: str) -> list[tuple[int, int, int]]:
         found = []
+        addresses: list[tuple[int, int]] | None = None
         for place, (rule, candidate, groups) in enumerate(self._ready):
             for m in candidate.finditer(text):
                 piece = m[0]
-                if not any(not g.isdisjoint(piece) for g in groups[:1]) or any(a.search(piece) for a in self._allow):
+                if any(g.isdisjoint(piece) for g in groups):
                     continue
-                found += [(m.start() + a, len(KINDS) + place, m.start() + b) for a, b in high_windows(piece, rule, groups)]
+                if addresses is None:
+                    addresses = [a.span() for a in ADDRESS.finditer(text)]
+                allowed = [(a - m.start(), b - m.start()) for a, b in addresses if a < m.end() and m.start() < b] + self._allowed(piece)
+                found += [(m.start() + a, len(KINDS) + place, m.start() + b) for a, b in high_windows(piece, rule, groups, allowed)]
         return sorted(found)
 
+    def _allowed(self, piece: str) -> list[tuple[int, int]]:
+        """Stretches of the candidate that the allow list matches, each with the letters and digits it is part of."""
+        out = []
+        for rule in self._allow:
+            end = 0
+            for m in rule.finditer(piece):
+                a, b = m.span()
+                if b <= end:
+                    continue
+                while a > end and piece[a - 1].isalnum():
+                    a -= 1
+                while b < len(piece) and piece[b].isalnum():
+                    b += 1
+                out.append((a, b))
+                end = b
+        return out
+
     def kind(self, place: int) -> str:
         return KINDS[place] if place < len(KINDS) else self.classes[place - len(KINDS)].kind
 
 
-def high_windows(piece: str, rule: EntropyClass, groups: Sequence[frozenset]) -> list[tuple[int, int]]:
-    """Joined windows of `piece` whose entropy reaches the rule's bits and which hold each of the groups.
+def high_windows(piece: str, rule: EntropyClass, groups: Sequence[frozenset], allowed: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Joined windows of `piece` whose entropy reaches the rule's bits and which hold each of the groups, without those over `allowed`.
 
     One character enters and one leaves per step; the sum of c*log2(c) and the groups' counts follow by differences.
     """
@@ -101,6 +126,8 @@ def high_windows(piece: str, rule: EntropyClass, groups: Sequence[frozenset]) ->
                 held[k] -= old in group
         if i >= width - 1 and total <= most and all(held):
             a, b = i - width + 1, i + 1
+            if any(x < b and a < y for x, y in allowed):
+                continue
             if spans and spans[-1][1] >= a:
                 spans[-1] = (spans[-1][0], b)
             else:

@@ -57,6 +57,21 @@ def test_random_keys_are_found_and_placeholders_are_not():
     assert not scan("averyveryverylongwordwithoutanydigitsinit AVERYLONGWORDWITHOUTDIGITSATALL")
 
 
+def test_keys_beside_allowed_text_are_found():
+    scan = secrets.Scanner().entropy
+    key = "aB3xK9qLm2Zp7RtYw5VcN8sD1fGh"
+    for text in (f"{key}//{key}", f"/example/config/{key}", f"my_sample_{key}", f"dummy-dummy-{key}"):
+        assert any(b == len(text) and a <= len(text) - len(key) for a, _, b in scan(text)), text
+    assert not scan(f"https://{key}/{key} and www.{key}")
+    assert scan(f"https://host.net?key={key}")
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        r = random.Random(1)
+        for _ in range(50):
+            one = "".join(r.choices(alphabet, k=40))
+            assert scan(f"is {one} here"), one
+    assert {secrets.Scanner().kind(k) for _, k, _ in scan("x 04dbebab91ab85687d33eeaaf9ac699e1188f962 y")} == {"entropy_hex"}
+
+
 def test_secrets_are_masked(spark):
     out = {r.id: r for r in secrets.redact_secrets(plain.fixture(spark)).collect()}
     rows = plain.texts()
