@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,15 +13,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Texts, chunks, no_text, texts_of, words_of
+from .shared import Texts, chunks, no_text, texts_of, words_of, written
 
 #: Windows of words, their step, and the compressor.
 WIDTH, STEP, LEVEL, MATCH = 8, 4, 3, 5
-#: Size of the ordinary dictionary, most bytes of toxic text, the lengths of
-#: the letter groups that toxic text is picked by, and the least share of toxic texts that hold such a group.
-ORDINARY_BYTES, TOXIC_BYTES, GRAMS, SUPPORT = 112_640, 8_192, (5, 7), 0.03
-#: Labelled rows that are read for learning, per label, and the most characters of each.
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+#: Size of the ordinary dictionary, most bytes of toxic text, and the lengths of the letter groups that toxic text is picked by.
+ORDINARY_BYTES, TOXIC_BYTES, GRAMS = 112_640, 65_536, (5, 7)
+#: A letter group marks toxic text if so many different toxic texts hold it and it is exp(RATIO) times as frequent as in ordinary ones.
+MARK_TEXTS, RATIO = 16, 3.0
+#: Labelled rows, per label, whose windows train the ordinary dictionary and that calibrate; and the most windows for training.
+SAMPLE, SAMPLE_WINDOWS = 2000, 60_000
 CUT = 0.3
 
 
@@ -96,55 +97,86 @@ def text_windows(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, words.start[first], words.end[last] - words.start[first]
 
 
-def toxic_text(toxic: Sequence[bytes], ordinary: Sequence[bytes]) -> bytes:
-    """The stretches of words that mark toxic samples, most frequent last (nearest to the window).
+def counted(texts: DataFrame) -> DataFrame:
+    """Per letter group: distinct toxic texts that hold it and times in toxic and in ordinary texts; per toxic word its times.
 
-    A letter group counts when a larger share of toxic than of ordinary texts holds it (a test of two shares) and it is about
-    twenty times as frequent there.
+    `texts` has text and label. Words (under a leading space) are told from letter groups by `whole`; the row without a piece
+    has the words of all texts. Every text counts whole.
     """
-    nt, no = max(len(toxic), 1), max(len(ordinary), 1)
-    counts: Counter[bytes] = Counter()
-    for text in toxic:
-        counts.update({gram for word in set(text.split()) for gram in letter_groups(b" " + word)})
-    # From here on only groups with enough support are counted, which keeps the tables small.
-    wanted = {gram for gram, n in counts.items() if n >= max(3, SUPPORT * nt)}
-    held, times, total = [], [], []
-    for texts in (toxic, ordinary):
-        per_text: Counter[bytes] = Counter()
-        per_word: Counter[bytes] = Counter()
-        size = 0
-        for text in texts:
-            words = Counter(text.split())
-            size += words.total()
-            mine: Counter[bytes] = Counter()
-            for word, n in words.items():
-                for gram in letter_groups(b" " + word) & wanted:
-                    mine[gram] += n
-            per_text.update(mine.keys())
-            per_word.update(mine)
-        held.append(per_text)
-        times.append(per_word)
-        total.append(size)
-    marks = set()
-    for gram, a in held[0].items():
-        b = held[1][gram]
-        shared = (a + b + 1) / (nt + no)
-        z = (a / nt - b / no) / math.sqrt(shared * (1 / nt + 1 / no))
-        if z > 5 and math.log((times[0][gram] + 0.5) / (total[0] + 1)) - math.log((times[1][gram] + 0.5) / (total[1] + 1)) > 3:
-            marks.add(gram)
-    stretches: Counter[bytes] = Counter()
-    for text in toxic:
-        for word in text.split():
-            word = b" " + word
-            hits = [(i, i + n) for n in GRAMS for i in range(len(word) - n + 1) if word[i : i + n] in marks]
-            if hits:
-                stretches[word[min(hits)[0] : max(h[1] for h in hits)]] += 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                texts = texts_of(piece.column("text"))
+                data = lowered(texts)
+                held: Counter[bytes] = Counter()
+                times: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
+                words: Counter[bytes] = Counter()
+                size = [0, 0]
+                groups: dict[bytes, set[bytes]] = {}
+                for label, low, high in zip(piece.column("label").to_pylist(), texts.begins[:-1], texts.begins[1:], strict=True):
+                    mine = Counter(data[low:high].split())
+                    size[label] += mine.total()
+                    found: Counter[bytes] = Counter()
+                    for word, n in mine.items():
+                        if word not in groups:
+                            groups[word] = letter_groups(b" " + word)
+                        for gram in groups[word]:
+                            found[gram] += n
+                    times[label].update(found)
+                    if label:
+                        held.update(found.keys())
+                        words.update(mine)
+                pieces = list(times[0].keys() | times[1].keys())
+                columns = [
+                    pa.array([*pieces, *words, None], pa.binary()),
+                    pa.array([False] * len(pieces) + [True] * (len(words) + 1)),
+                    pa.array([held[g] for g in pieces] + [0] * (len(words) + 1), pa.int64()),
+                    pa.array([times[1][g] for g in pieces] + list(words.values()) + [size[1]], pa.int64()),
+                    pa.array([times[0][g] for g in pieces] + [0] * len(words) + [size[0]], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["piece", "whole", "held", "toxic", "ordinary"])
+
+    out = texts.mapInArrow(count, "piece binary, whole boolean, held long, toxic long, ordinary long")
+    return out.groupBy("piece", "whole").agg(*[F.sum(c).alias(c) for c in ("held", "toxic", "ordinary")])
+
+
+def toxic_text(texts: DataFrame) -> bytes:
+    """The stretches of words that mark toxic texts, most frequent last (nearest to the window).
+
+    A letter group is a mark when MARK_TEXTS different toxic texts hold it and it is about twenty times as frequent there as
+    in ordinary ones, whatever share of the texts that is. All texts are counted, on the executors; the driver gets stretches
+    up to TOXIC_BYTES.
+    """
+    counts = written(counted(texts), "letters")
+    total = counts.where("piece is null").select("toxic", "ordinary").first()
+    if total is None:
+        return b""
+    often = [F.log((F.col(c) + 0.5) / (total[c] + 1)) for c in ("toxic", "ordinary")]
+    marks = counts.where((~F.col("whole")) & (F.col("held") >= MARK_TEXTS) & (often[0] - often[1] > RATIO)).select(F.col("piece").alias("gram"))
+    words = counts.where("whole and piece is not null").select("piece", "toxic")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for word in batch.column(0).to_pylist():
+                spaced = b" " + word
+                rows += [(word, spaced[i : i + n], i, i + n) for n in GRAMS for i in range(len(spaced) - n + 1)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["piece", "gram", "low", "high"])
+
+    hits = words.select("piece").mapInArrow(places, "piece binary, gram binary, low int, high int").join(marks, "gram")
+    spans = hits.groupBy("piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    cut = F.expr("substring(concat(X'20', piece), low + 1, high - low)").alias("stretch")
+    stretches = spans.join(words, "piece").select(cut, "toxic").groupBy("stretch").agg(F.sum("toxic").alias("times"))
+    # A stretch has at least as many bytes as a letter group, which bounds how many fit.
     out, size = [], 0
-    for stretch, _ in stretches.most_common():
-        if size + len(stretch) > TOXIC_BYTES:
-            break
-        out.append(stretch)
-        size += len(stretch)
+    for row in stretches.orderBy(F.desc("times"), "stretch").limit(TOXIC_BYTES // min(GRAMS)).collect():
+        stretch = bytes(row.stretch)
+        if size + len(stretch) <= TOXIC_BYTES:
+            out.append(stretch)
+            size += len(stretch)
     return b"".join(reversed(out))
 
 
@@ -171,43 +203,73 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
+def sampled_windows(texts: DataFrame, most: int) -> list[bytes]:
+    """About `most` windows from anywhere in the texts (column text), drawn by a hash of the window."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                texts = texts_of(piece.column("text"))
+                data = lowered(texts)
+                _, start, length = text_windows(words_of(texts))
+                found = [data[a : a + n] for a, n in zip(start, length, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["window"])
+
+    found = texts.select("text").mapInArrow(emit, "window binary")
+    return [bytes(r.window) for r in found.orderBy(F.xxhash64("window", F.lit(1)), "window").limit(most).collect()]
+
+
+def measured(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of whole texts; only these come to the driver."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter = Meter(model)
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                x = meter.features(texts_of(piece.column("text")))
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("label"), pa.array(x[:, 0]), pa.array(x[:, 1])], ["id", "label", "best", "gain"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    found = texts.select("id", "text", "label").mapInArrow(measure, f"id {kind}, label int, best double, gain double")
+    frame = found.toPandas().drop_duplicates("id").sort_values("id")
+    return frame[["best", "gain"]].to_numpy(float), frame["label"].to_numpy(int)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learn on at most `sample` labelled rows of either kind, picked by a hash of the id; crc32(id) mod 4 = 2 is never read.
+    """Toxic text comes from all labelled rows, ordinary text and calibration from `sample` rows of either label by a hash of the id.
 
-    Remainders 0 and 1 give the dictionaries, 3 the calibration. Ids, languages and sources are not used in a score.
+    Texts are read whole. crc32(id) mod 4 = 2 is never read; remainders 0 and 1 give the dictionaries, 3 the calibration. Ids,
+    languages and sources are not used in a score.
     """
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % 4
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.dropDuplicates(["id"]).withColumn("fold", fold).where(F.col("fold") != 2)
+    shares = dict(known.groupBy("label").count().collect())
+    if not shares:
+        return Model(b"", b"", (-3.0, 0.0, 0.0), 0.0)
     order = F.xxhash64("id", F.lit(5))
     picked = known.where("label = 0").orderBy(order).limit(sample).unionByName(known.where("label = 1").orderBy(order).limit(sample))
+    texts = docs.select(docs[id_col].alias("id"), no_text(text_col).alias("text"))
     # The ids of at most 2 * sample rows.
-    texts = docs.select(docs[id_col].alias("id"), F.substring(no_text(text_col), 1, SAMPLE_CHARS).alias("text"))
-    frame = texts.join(F.broadcast(picked), "id").toPandas().drop_duplicates("id").sort_values("id")
-    if not len(frame):
+    chosen = written(texts.join(F.broadcast(picked), "id"), "labelled")
+    drawn = dict(chosen.select("id", "label").distinct().groupBy("label").count().collect())
+    if not drawn:
         return Model(b"", b"", (-3.0, 0.0, 0.0), 0.0)
-    texts = texts_of(pa.array(frame["text"], pa.string()))
-    data, label, part = lowered(texts), frame["label"].to_numpy(), frame["fold"].to_numpy()
-    rows = [data[a:b] for a, b in zip(texts.begins[:-1], texts.begins[1:], strict=True)]
-    first = part != 3
-    words = words_of(texts)
-    owner, start, length = text_windows(words)
-    plain = np.flatnonzero((first & (label == 0))[owner]) if len(owner) else np.zeros(0, np.int64)
-    if len(plain) > 60_000:
-        plain = np.random.default_rng(1).choice(plain, 60_000, replace=False)
-    ordinary = trained([data[start[i] : start[i] + length[i]] for i in plain], ORDINARY_BYTES)
-    toxic = toxic_text([r for r, t in zip(rows, first & (label == 1), strict=True) if t], [r for r, t in zip(rows, first & (label == 0), strict=True) if t])
-    model = Model(ordinary, toxic, (0.0, 0.0, 0.0), 0.0)
-    check = np.flatnonzero(~first)
-    if not len(check) or len(set(label[check])) < 2:
-        check = np.arange(len(frame))
-    features = Meter(model).features(texts_of(pa.array(frame["text"].iloc[check], pa.string())))
-    weights = logistic(features, label[check].astype(float))
+    ordinary = trained(sampled_windows(chosen.where("fold <> 3 and label = 0"), SAMPLE_WINDOWS), ORDINARY_BYTES)
+    model = Model(ordinary, toxic_text(distinct_texts(texts.join(known.where("fold <> 3"), "id"))), (0.0, 0.0, 0.0), 0.0)
+    x, label = measured(chosen.where("fold = 3"), model)
+    if len(set(label)) < 2:
+        x, label = measured(chosen, model)
+    weights = logistic(x, label.astype(float))
     # Both labels are drawn up to the same number; the intercept is set back to the share of toxic rows among all labelled ones.
-    shares = dict(known.groupBy("label").count().collect())
-    drawn = Counter(label.tolist())
-    shift = math.log(max(shares.get(1, 0), 1) / max(shares.get(0, 0), 1)) - math.log(max(drawn[1], 1) / max(drawn[0], 1))
-    return Model(ordinary, toxic, (weights[0] + shift, *weights[1:]), shift)
+    shift = math.log(max(shares.get(1, 0), 1) / max(shares.get(0, 0), 1)) - math.log(max(drawn.get(1, 0), 1) / max(drawn.get(0, 0), 1))
+    return Model(ordinary, model.toxic, (weights[0] + shift, *weights[1:]), shift)
+
+
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """Text and label of different toxic texts, and of all ordinary ones."""
+    toxic = texts.where("label = 1").select("text", "label").distinct()
+    return toxic.unionByName(texts.where("label = 0").select("text", "label"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

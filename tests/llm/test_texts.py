@@ -241,3 +241,23 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns
     assert {x.doc_id for x in kept.collect()} == {i for i, row in out.items() if not row.predicted}
     assert toxicity.toxicity(plain.fixture(spark, []), table.limit(0)).count() == 0
+
+
+def test_rare_toxic_words(spark):
+    """Toxic words of one small source, in under 3 % of the toxic rows and behind 20 000 characters of a long row, are learnt."""
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(500)]
+    rows, labels = [], []
+    for i in range(4800):
+        text = [r.choice(words) for _ in range(4000 if i % 240 == 0 else r.randint(40, 80))]
+        toxic = i % 3 == 0
+        rare = i % 120 == 0
+        if toxic:
+            text += ["zzquorl", "rrkwist"] * 2 if rare else r.choices(("zzugly", "wvnasty", "zwvile", "xyfoul"), k=4)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    out = {row.doc_id: row for row in toxicity.toxicity(plain.fixture(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    missed = [i for i in held if i % 120 == 0 and len(rows[i][1]) < 10_000 and not out[i].predicted]
+    assert not missed
+    assert sum(out[i].predicted == int(i % 3 == 0) for i in held) >= 0.97 * len(held)
