@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("secret_scans", mask_secrets),
     ("packing", pack),
 ]
-#: SQL has no compression, no walks and no tokenizer; the tests compare the pipeline with plain Python.
+#: SQL has no compression, no walks and no tokenizer; the tests compare the first two stages with their operators, not the rows of run().
 ORACLE_SQL: str | None = None
 
 
