@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, packing, quality, recompression, secrets, sharding, sql, suffix_dedup, token_counts, toxicity
+from . import code_compression, decontaminate, jaccard, packing, quality, recompression, secrets, sharding, sql, suffix_dedup, token_counts, toxicity, vector_search, whitening
 from .catalog import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -59,3 +59,19 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", rows["deviation"].cast("bigint"))
+
+
+@query("op12_vector_code_compression", sql.VECTOR_CODES)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return code_compression.compress(table(spark, folder, "embeddings"))
+
+
+@query("op13_exact_top_k", sql.TOP_PRODUCTS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.top_products(table(spark, folder, "embeddings"))
