@@ -140,7 +140,7 @@ def test_top_products(spark, chunk, bands, query_bands, every):
 def test_few_candidates_and_large_entries(spark):
     rows = [(0, [1.0, 2.0], 1), (50, [1e7, -1.0], 1), (3, [-1e7, 5.0], None)]
     assert sorted(map(tuple, vector_search.top_products(frame(spark, rows[::2])).collect())) == best(rows[::2], 50)
-    rows = [(0, [2e7, 2.0], 1), (50, [1e7, -1.0], 1), (3, [-1e7, 5.0], None), (4, [3e6, 0.25], 2)]
+    rows = [(0, [2e6, 2.0], 1), (50, [1e6, -1.0], 1), (3, [-1e6, 5.0], None), (4, [3e5, 0.25], 2)]
     assert sorted(map(tuple, vector_search.top_products(frame(spark, rows)).collect())) == best(rows, 50)
     assert vector_search.top_products(frame(spark, rows[:1])).collect() == []
 
