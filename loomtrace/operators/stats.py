@@ -42,10 +42,10 @@ def counters_long(rows: DataFrame) -> DataFrame:
     return wide.select(F.inline(F.array(*pairs)))
 
 
-def distributions(rows: DataFrame) -> DataFrame:
-    """Value counts of twelve dimensions as (dim, value, n); tasks fold the unfolded values before the shuffle."""
+def dimensions() -> dict[str, Column]:
+    """The eleven dimensions with one value per row; modalities have several."""
     as_text = lambda name: F.lower(F.col(name).cast("string"))
-    dims = {
+    return {
         "endpoint": F.col("endpoint"),
         "model": F.col("model"),
         "status": F.col("status").cast("string"),
@@ -58,7 +58,11 @@ def distributions(rows: DataFrame) -> DataFrame:
         "outcome": F.col("outcome"),
         "hour_utc": F.lpad(F.hour("started_at").cast("string"), 2, "0"),
     }
-    single = [F.struct(F.lit(name).alias("dim"), value.alias("value")) for name, value in dims.items()]
+
+
+def distributions(rows: DataFrame) -> DataFrame:
+    """Value counts of twelve dimensions as (dim, value, n); tasks fold the unfolded values before the shuffle."""
+    single = [F.struct(F.lit(name).alias("dim"), value.alias("value")) for name, value in dimensions().items()]
     several = F.transform("modalities", lambda m: F.struct(F.lit("modalities").alias("dim"), m.alias("value")))
     return (
         rows.select(F.inline(F.concat(F.array(*single), several)))
@@ -180,24 +184,38 @@ def max_concurrency(rows: DataFrame, start: str = "started_at", end: str = "comp
     """Largest number of calls open at once; at equal times ends count before starts.
 
     Changes are folded per instant, summed inside seconds, then seconds inside hours, then over the hours.
-    Within one instant the running value after all its changes is the highest that counts.
     """
+    at = lambda name: F.unix_micros(F.col(name).cast("timestamp"))
     changes = F.array(
-        F.struct(F.col(start).alias("at"), F.lit(1).alias("change")),
-        F.struct(F.col(end).alias("at"), F.lit(-1).alias("change")),
-    )
-    instants = rows.select(F.inline(changes)).groupBy("at").agg(F.sum("change").alias("change"))
-    seconds = (
-        instants.withColumn("second", F.date_trunc("second", "at"))
-        .withColumn("open", F.sum("change").over(Window.partitionBy("second").orderBy("at")))
-        .groupBy("second")
-        .agg(F.sum("change").alias("change"), F.max("open").alias("peak"))
-        .withColumn("hour", F.date_trunc("hour", "second"))
+        F.struct(at(start).alias("at"), F.lit(1).alias("change")),
+        F.struct(at(end).alias("at"), F.lit(-1).alias("change")),
     )
+    instants = rows.select(F.inline(changes)).where("at IS NOT NULL").groupBy("at").agg(F.sum("change").alias("change"))
+    return peak_of_seconds(second_peaks(instants.withColumn("second", second_of(F.col("at")))))
+
+
+def second_of(micros: Column) -> Column:
+    """The whole second of a number of microseconds, downwards before 1970 too."""
+    return F.call_function("div", micros - F.pmod(micros, F.lit(1_000_000)), F.lit(1_000_000))
+
+
+def second_peaks(instants: DataFrame) -> DataFrame:
+    """(second, change, peak) of changes per instant (second, at, change).
+
+    Within one instant the running value after all its changes is the highest that counts. Times are whole microseconds, so a
+    second has at most a million instants.
+    """
+    inside = Window.partitionBy("second").orderBy("at")
+    return instants.withColumn("open", F.sum("change").over(inside)).groupBy("second").agg(F.sum("change").alias("change"), F.max("open").alias("peak"))
+
+
+def peak_of_seconds(seconds: DataFrame) -> DataFrame:
+    """The highest running value over all seconds, 0 without any."""
     earlier = Window.unboundedPreceding
     inside = Window.partitionBy("hour").orderBy("second").rowsBetween(earlier, -1)
     hours = (
-        seconds.withColumn("before", F.coalesce(F.sum("change").over(inside), F.lit(0)))
+        seconds.withColumn("hour", F.call_function("div", F.col("second") - F.pmod("second", F.lit(3600)), F.lit(3600)))
+        .withColumn("before", F.coalesce(F.sum("change").over(inside), F.lit(0)))
         .groupBy("hour")
         .agg(F.sum("change").alias("change"), F.max(F.col("before") + F.col("peak")).alias("peak"))
     )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sf
 from ..operators import evaldata, sampling
 from ..operators import labels as label_jobs
+from ..session import ensure_checkpoint_dir
 from ..sources import listing, views
 from ..sources.tables import table
+from ..streaming import jobs
 from . import eval_plan
 from .catalog import query
 from .view_sql import EXCHANGES, FEATURES, NORM, TEXTS, sha, with_views
@@ -544,7 +548,8 @@ from .view_sql import split_bucket, split_of  # noqa: E402
 FIRST_K_SQL = FIRST_K_SQL.replace("%s AS split", split_of(split_bucket("source_group_sha256", "source_group_kind")) + " AS split")
 
 
-def first_k_rows(spark, folder):
+def first_k_marked(spark, folder):
+    """The exchanges with the reasons that come before and after the cap."""
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("conv_id"), "quality")
     rows = views.exchanges(spark, folder).join(labels, "conv_id", "left").withColumn(
         "split", sf.split_of_group("source_group_sha256", "source_group_kind")
@@ -552,6 +557,11 @@ def first_k_rows(spark, folder):
     task = F.when(F.col("quality") == 0, "task_failed").when(F.col("quality").isNull(), "task_outcome_unknown")
     excluded = F.when(F.col("split") == "train", task)
     unsupported = F.when(F.col("conv_id") % 5 == 1, "streaming_not_supported").when(~F.col("model_completed"), "incomplete_or_invalid_exchange")
+    return rows, excluded, unsupported
+
+
+def first_k_rows(spark, folder):
+    rows, excluded, unsupported = first_k_marked(spark, folder)
     return sampling.first_k_per_group(rows, "source_group_sha256", ["completed", "key"], 1, excluded, unsupported)
 
 
@@ -560,6 +570,22 @@ def first_k_per_group(spark, folder):
     return first_k_rows(spark, folder).select("key", "split", "reason")
 
 
+@query("stream_first_k", with_views(FIRST_K_SQL, body="SELECT key, split FROM first_k WHERE reason IS NULL"))
+def stream_first_k(spark, folder):
+    """The selected rows of `first_k_per_group`, from a stream of files in no order."""
+    rows, excluded, unsupported = first_k_marked(spark, folder)
+    rows = rows.select("source_group_sha256", "completed", "key", "split", (excluded.isNull() & unsupported.isNull()).alias("supported"))
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-first-{uuid.uuid4().hex}"
+    rows.repartition(4, F.xxhash64("key")).write.parquet(f"{place}/arrivals")
+    arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/arrivals")
+    job = jobs.FirstKStream(place, "source_group_sha256", ["completed", "key"], 1, ["split"])
+    query = job.start(arrivals, F.col("supported"))
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return job.read(spark).select("key", "split")
+
+
 @query("reject_reasons", with_views(FIRST_K_SQL, body="SELECT coalesce(reason, 'selected') AS reason, count(*) AS n FROM first_k GROUP BY 1"))
 def reject_reasons(spark, folder):
     from ..operators.labels import reason_counts

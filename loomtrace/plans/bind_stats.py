@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sf
-from ..operators import stats
+from ..operators import mergeable, stats
+from ..session import ensure_checkpoint_dir
 from ..sources import views
+from ..sources.listing import THRESHOLDS
 from ..sources.tables import table
+from ..streaming import jobs
 from . import checkpoint as cp
 from .catalog import query
 from .view_sql import EXCHANGES, FEATURES, NORM, TEXTS, TIMINGS, bucket2, rate, sha, wilson, with_views
@@ -142,21 +147,71 @@ CHECKPOINT_COUNTERS = " UNION ALL ".join(
 )
 
 
-@query(
-    "checkpoint_merge",
-    with_views(
-        SERIES_VIEWS,
-        body=f"""{CHECKPOINT_COUNTERS}
+CHECKPOINT_SQL = with_views(
+    SERIES_VIEWS,
+    body=f"""{CHECKPOINT_COUNTERS}
 UNION ALL SELECT 'counter', 'max_concurrency', '', max_concurrency FROM ({MAX_CONCURRENCY_SQL})
 UNION ALL SELECT 'distribution', dim, value, n FROM ({DISTRIBUTIONS_SQL})
 UNION ALL SELECT 'series', series, bucket::varchar, freq FROM series_buckets""",
-    ),
 )
+
+
+def _halves(rows):
+    return rows.where(F.col("started_at") < F.lit(HALF)), rows.where(F.col("started_at") >= F.lit(HALF))
+
+
+@query("checkpoint_merge", CHECKPOINT_SQL)
 def checkpoint_merge(spark, folder):
+    """Two checkpoints are merged; the rows are not read again."""
+    ensure_checkpoint_dir(spark)
+    previous, delta = (cp.Checkpoint.of(half).stored_once() for half in _halves(views.feature_rows(spark, folder)))
+    return previous.merge(delta).long()
+
+
+@query("concurrency_merge", with_views(TIMINGS, body=MAX_CONCURRENCY_SQL))
+def concurrency_merge(spark, folder):
+    """Calls of even and odd users overlap all the time, so their checkpoints share nearly every busy second."""
+    ensure_checkpoint_dir(spark)
+    rows = views.feature_rows(spark, folder)
+    even, odd = (cp.Checkpoint.of(rows.where(F.col("user_id") % 2 == k)).stored_once() for k in (0, 1))
+    return stats.peak_of_seconds(even.merge(odd).seconds)
+
+
+SKETCHED = {"unique_contents": "content_sha256", "source_groups": "source_group_sha256", "requests": "request_sha256", "events": "event_id"}
+
+
+@query(
+    "distinct_sketches",
+    with_views(FEATURES, body=" UNION ALL ".join(
+        f"SELECT model, '{name}' AS counter, count(DISTINCT {column}) AS exact, true AS within_bound FROM feature_rows GROUP BY model" for name, column in SKETCHED.items()
+    )),
+)
+def distinct_sketches(spark, folder):
+    """Sketches of two checkpoints are put together; their estimates must hold the exact counts within two standard errors."""
+    rows = views.feature_rows(spark, folder)
+    early, late = (mergeable.distinct_sketches(half, SKETCHED, ["model"]) for half in _halves(rows))
+    guessed = mergeable.estimates(mergeable.add_sketches(early.unionByName(late), ["model"]))
+    exact = rows.groupBy("model").agg(*[F.count_distinct(column).alias(name) for name, column in SKETCHED.items()])
+    exact = exact.select("model", F.inline(F.array(*[F.struct(F.lit(n).alias("counter"), F.col(n).alias("exact")) for n in SKETCHED])))
+    return exact.join(guessed, ["model", "counter"]).select("model", "counter", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("within_bound"))
+
+
+@query("stream_checkpoint", CHECKPOINT_SQL)
+def stream_checkpoint(spark, folder):
+    """All calls arrive in four files, in an order that has nothing to do with their keys, a third of them twice."""
     rows = views.feature_rows(spark, folder)
-    previous = cp.Checkpoint.of(rows.where(F.col("started_at") < F.lit(HALF)))
-    delta = cp.Checkpoint.of(rows.where(F.col("started_at") >= F.lit(HALF)))
-    return cp.merged_long(previous, delta, rows)
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-checkpoint-{uuid.uuid4().hex}"
+    twice = rows.unionByName(rows.where(F.col("event_id") % 3 == 0))
+    twice.repartition(4, F.xxhash64("user_id", F.hour("started_at"))).write.parquet(f"{place}/arrivals")
+    arrivals = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/arrivals")
+    # The last threshold is the number of calls, so that the last checkpoint holds all of them.
+    total = rows.count()
+    job = jobs.CheckpointStream(f"{place}/state", [t for t in THRESHOLDS if t < total] + [total])
+    query = job.start(arrivals)
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return job.read(spark, total).long()
 
 
 @query(
@@ -180,7 +235,8 @@ def wilson_by_group(spark, folder):
 )
 def checkpoint_quality(spark, folder):
     rows = views.feature_rows(spark, folder)
-    return cp.quality(stats.counters_long(rows).unionByName(cp.recount(rows)))
+    whole = cp.Checkpoint.of(rows)
+    return cp.quality(whole.counters.unionByName(mergeable.distinct_counters(whole.cells)))
 
 
 # Labels of the test documents: a fixed rule stands in for a labeller.

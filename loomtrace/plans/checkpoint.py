@@ -1,4 +1,4 @@
-"""The mergeable checkpoint: long tables of counters, distributions and series, plus what must be recounted."""
+"""The mergeable checkpoint: one long table of cells and the peaks per second that concurrency needs."""
 
 from __future__ import annotations
 
@@ -7,41 +7,53 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import mergeable, stats
 
 
 @dataclass
 class Checkpoint:
-    counters: DataFrame
-    distributions: DataFrame
-    series: DataFrame
+    """`cells` as in `mergeable.cells`; `seconds` as in `mergeable.seconds`. Everything else is read from these two."""
+
+    cells: DataFrame
+    seconds: DataFrame
 
     @classmethod
     def of(cls, rows: DataFrame) -> Checkpoint:
-        return cls(stats.counters_long(rows), stats.distributions(rows), stats.series_buckets(rows))
+        cells = mergeable.cells(rows)
+        return cls(cells, mergeable.seconds(cells))
 
     def merge(self, delta: Checkpoint) -> Checkpoint:
-        """Add two checkpoints. Sums, counts and histograms are mergeable; `recount` covers the rest."""
-        return Checkpoint(
-            self.counters.unionByName(delta.counters).groupBy("counter").agg(F.sum("n").alias("n")),
-            self.distributions.unionByName(delta.distributions).groupBy("dim", "value").agg(F.sum("n").alias("n")),
-            stats.merge_buckets(self.series.unionByName(delta.series)),
+        """The checkpoint of both; the rows are not read again."""
+        cells = mergeable.add_cells(self.cells.unionByName(delta.cells))
+        return Checkpoint(cells, mergeable.add_seconds(self.seconds, delta.seconds, cells))
+
+    def stored_once(self) -> Checkpoint:
+        """The same, written to the checkpoint folder, so that its parts can be read without working it out again."""
+        return Checkpoint(self.cells.checkpoint(), self.seconds.checkpoint())
+
+    @property
+    def counters(self) -> DataFrame:
+        return self.cells.where("part = 'counter'").select(F.col("name").alias("counter"), "n")
+
+    @property
+    def distributions(self) -> DataFrame:
+        return self.cells.where("part = 'distribution'").select(F.col("name").alias("dim"), "value", "n")
+
+    @property
+    def series(self) -> DataFrame:
+        return self.cells.where("part = 'series'").select(
+            F.col("name").alias("series"), F.col("value").cast("bigint").alias("bucket"), F.col("n").alias("freq"), "sum", "sum_squares", "min", "max"
         )
 
+    def recounted(self) -> DataFrame:
+        """Counters of distinct contents, source groups and concurrency."""
+        return mergeable.distinct_counters(self.cells).unionByName(mergeable.concurrency_counter(self.seconds))
 
-def recount(all_rows: DataFrame) -> DataFrame:
-    """Counters that no pair of checkpoints can add up: distinct contents, groups and concurrency, over all rows."""
-    parts = [
-        stats.duplicate_counts(all_rows).drop("contents"),
-        stats.group_counts(all_rows),
-        stats.max_concurrency(all_rows),
-    ]
-    long = None
-    for part in parts:
-        pairs = [F.struct(F.lit(name).alias("counter"), F.col(name).cast("bigint").alias("n")) for name in part.columns]
-        rows = part.select(F.inline(F.array(*pairs)))
-        long = rows if long is None else long.unionByName(rows)
-    return long
+    def long(self) -> DataFrame:
+        """The whole checkpoint as (part, name, value, n), ready to be written or compared."""
+        plain = self.cells.where(F.col("part").isin("counter", "distribution", "series")).select("part", "name", "value", "n")
+        again = self.recounted().select(F.lit("counter").alias("part"), F.col("counter").alias("name"), F.lit("").alias("value"), "n")
+        return plain.unionByName(again)
 
 
 def quality(counters: DataFrame) -> DataFrame:
@@ -55,18 +67,3 @@ def quality(counters: DataFrame) -> DataFrame:
     for source, name in (("parsed", "parse"), ("successful", "success"), ("duplicates", "duplicate")):
         wide = stats.rates(wide, source, "captures", name)
     return wide
-
-
-def merged_long(previous: Checkpoint | None, delta: Checkpoint, all_rows: DataFrame) -> DataFrame:
-    """The whole checkpoint as (part, name, value, n), ready to be written or compared."""
-    merged = delta if previous is None else previous.merge(delta)
-    counters = merged.counters.unionByName(recount(all_rows))
-    return (
-        counters.select(F.lit("counter").alias("part"), F.col("counter").alias("name"), F.lit("").alias("value"), F.col("n").cast("bigint").alias("n"))
-        .unionByName(merged.distributions.select(F.lit("distribution").alias("part"), F.col("dim").alias("name"), "value", F.col("n").cast("bigint").alias("n")))
-        .unionByName(
-            merged.series.select(
-                F.lit("series").alias("part"), F.col("series").alias("name"), F.col("bucket").cast("string").alias("value"), F.col("freq").cast("bigint").alias("n")
-            )
-        )
-    )
