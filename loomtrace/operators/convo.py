@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.jsonrules import argument_kinds, plain_json
 from ..session import ensure_checkpoint_dir
@@ -339,40 +342,55 @@ def render_log(records: DataFrame, keys: Sequence[str], order: str, max_bytes: i
 SMALLEST_MESSAGE = 24
 
 
+def _walk(places: np.ndarray, sizes: np.ndarray, required: np.ndarray, answers: np.ndarray, is_call: np.ndarray, used: int, most: int) -> np.ndarray:
+    """Which messages of one group are shown, newest first: one step per message, and a mark per message for the choice."""
+    kept = required.copy()
+    for k in np.flatnonzero(~required).tolist():
+        size = sizes[k]
+        if used + size <= most:
+            used += size
+            kept[k] = True
+    reply = answers >= 0
+    calls, replies = places[kept], answers[kept & reply]
+    return kept & np.where(is_call, np.isin(places, replies), ~reply | np.isin(answers, calls))
+
+
+def _choice(max_bytes: int):
+    @F.arrow_udf(T.ArrayType(T.BooleanType()))
+    def choose(place: pa.Array, size: pa.Array, required: pa.Array, answers: pa.Array, is_call: pa.Array) -> pa.Array:
+        flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (place, size, required, answers, is_call)]
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(place).to_numpy())]).astype(np.int32)
+        shown = np.zeros(ends[-1], dtype=bool)
+        for low, high in zip(ends[:-1], ends[1:], strict=True):
+            mine = [x[low:high] for x in flat]
+            base = 2 + int(mine[1][mine[2].astype(bool)].sum())
+            shown[low:high] = _walk(mine[0], mine[1], mine[2].astype(bool), mine[3], mine[4].astype(bool), base, max_bytes)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(shown))
+
+    return choose
+
+
 def context_window(messages: DataFrame, keys: Sequence[str], order: str, max_bytes: int) -> DataFrame:
     """Messages kept in a byte budget: required ones, then newest first whatever still fits, calls only with results.
 
     Going back in time the free space only shrinks, so of all messages of one size a group can keep just the newest
-    budget/size. That bounds the rows (places and sizes only) over which the step-by-step choice is folded per group.
+    budget/size. That bounds the rows (places and sizes only) of a group; one walk over them makes the choice. Places are whole
+    numbers from 0 up.
     """
     # A native call whose result never came is not shown, nor does it use space.
     answered = messages.where(F.col("answers").isNotNull()).select(*keys, F.col("answers").alias(order)).withColumn("__answered", F.lit(True))
     usable = messages.join(answered, [*keys, order], "left").where(F.col("call_id").isNull() | F.col("__answered")).drop("__answered")
-    is_call = F.col("call_id").isNotNull().alias("is_call")
-    sizes = usable.select(*keys, F.col(order).alias("place"), "size", "required", "answers", is_call)
+    place, answers = F.col(order).cast("bigint"), F.coalesce(F.col("answers").cast("bigint"), F.lit(-1))
+    sizes = usable.select(*keys, place.alias("place"), F.col("size").cast("bigint").alias("size"), "required", answers.alias("answers"), F.col("call_id").isNotNull().alias("is_call"))
     optional = sizes.where(~F.col("required") & (F.col("size") <= max_bytes))
     room = F.call_function("div", F.lit(max_bytes), F.col("size"))
     near = first_rows(optional, [*keys, "size"], [F.desc("place")], room, salt_by=[*keys, "place"])
-    candidates = near.unionByName(sizes.where("required"))
-    newest_first = F.sort_array(F.collect_list(F.struct("place", "size", "required", "answers", "is_call")), asc=False)
-    listed = candidates.groupBy(*keys).agg(newest_first.alias("items"), F.sum(F.when(F.col("required"), F.col("size")).otherwise(0)).alias("base"))
-    item_type = listed.schema["items"].dataType
-    start = F.struct((F.col("base") + 2).alias("used"), F.array().cast(item_type).alias("kept"))
-
-    def step(state: Column, item: Column) -> Column:
-        fits = item["required"] | (state["used"] + item["size"] <= max_bytes)
-        used = F.when(~item["required"] & fits, state["used"] + item["size"]).otherwise(state["used"])
-        return F.struct(used.alias("used"), F.when(fits, F.array_append(state["kept"], item)).otherwise(state["kept"]).alias("kept"))
-
-    played = listed.select(*keys, F.aggregate("items", start, step, lambda state: state["kept"]).alias("kept"))
-    places = F.transform("kept", lambda i: i["place"])
-    replies = F.transform("kept", lambda i: i["answers"])
-    paired = played.withColumn("__places", places).withColumn("__replies", F.array_compact(replies))
-    whole = F.filter(
-        "kept",
-        lambda i: F.when(i["is_call"], F.array_contains("__replies", i["place"])).otherwise(i["answers"].isNull() | F.array_contains("__places", i["answers"])),
-    )
-    chosen = paired.select(*keys, F.explode(F.transform(whole, lambda i: i["place"])).alias(order))
+    fields = ("place", "size", "required", "answers", "is_call")
+    newest_first = F.sort_array(F.collect_list(F.struct(*fields)), asc=False)
+    listed = near.unionByName(sizes.where("required")).groupBy(*keys).agg(newest_first.alias("items"))
+    shown = _choice(max_bytes)(*[F.col("items")[name] for name in fields])
+    marked = listed.select(*keys, F.explode(F.arrays_zip(F.col("items")["place"].alias("place"), shown.alias("shown"))).alias("m"))
+    chosen = marked.where("m.shown").select(*keys, F.col("m.place").alias(order))
     return usable.join(chosen, [*keys, order], "left_semi")
 
 

@@ -8,33 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sf
+from ..functions.editdistance import token_distance
 from ..functions.jsonrules import schema_match
 from .ordered import nearest_rank_quantiles
 
-WORK_BOUND = 4_000_000
 # Order of metrics that decides between runs.
 SCORE_ORDER = (("mean_score_bps", "desc"), ("errors", "asc"), ("p95_latency_ms", "asc"), ("tokens_per_second", "desc"))
 
 
-def _coded(tokens: Column, common: Column, other: int) -> Column:
-    """Tokens as one character each: a shared token by its number, any other token as one stand-in."""
-    place = lambda token: F.array_position(common, token)
-    code = lambda token: F.when(place(token) > 0, place(token) + 0x4E00).otherwise(other)
-    digits = F.transform(tokens, lambda token: F.lpad(F.hex(code(token).cast("bigint")), 4, "0"))
-    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-16BE")
-
-
 def token_similarity_bps(left: Column, right: Column) -> Column:
-    """One minus token edit distance over the longer length, in truncated basis points; NULL past the work bound.
-
-    Only tokens on both sides can match, so tokens of one side alone share a stand-in character that the other side
-    never has. The shared list is at most as long as the shorter side, which the bound keeps under 2000.
-    """
+    """One minus token edit distance over the longer length, in truncated basis points, for lists of any length."""
     longest = F.greatest(F.size(left), F.size(right), F.lit(1))
-    common = F.array_intersect(left, right)
-    distance = F.levenshtein(_coded(left, common, 0x3400), _coded(right, common, 0x3401))
-    score = F.floor(F.greatest(F.lit(0.0), F.lit(1.0) - distance.cast("double") / longest.cast("double")) * 10_000)
-    return F.when(F.size(left).cast("bigint") * F.size(right) <= WORK_BOUND, score)
+    return F.floor(F.greatest(F.lit(0.0), F.lit(1.0) - token_distance(left, right).cast("double") / longest.cast("double")) * 10_000)
 
 
 def score_cases(
@@ -42,7 +27,7 @@ def score_cases(
 ) -> DataFrame:
     """Score every answer: exact text, token similarity or JSON schema.
 
-    Only rows of the schema kind carry text into the Python worker. Edit distance is heavy for its bytes: `parts`
+    Only rows of the schema and reference kinds carry text into the Python worker. Edit distance is heavy for its bytes: `parts`
     spreads rows by number where partitions cut by size would be too few.
     """
     rows = rows if parts is None else rows.repartition(parts)
@@ -58,7 +43,7 @@ def score_cases(
         .when(kind == "schema", F.when(F.coalesce(fits, F.lit(False)), 10_000).otherwise(0))
     )
     scored = tokens.withColumn("score_bps", score.cast("bigint"))
-    problem = F.when(F.col("score_bps").isNull(), F.when(kind == "reference", "work_bound").otherwise("unknown_oracle"))
+    problem = F.when(F.col("score_bps").isNull(), "unknown_oracle")
     return scored.withColumn("score_problem", problem).drop("__left", "__right")
 
 

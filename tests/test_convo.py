@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,19 @@ def test_context_window_equals_the_plain_choice(spark):
     assert {g: got.get(g, set()) for g in want} == want
 
 
+def test_context_window_of_a_long_conversation(spark):
+    made = [(place, 60 + place * 7919 % 301, place % 50_000 == 7, place % 5 == 0, place - 1 if place % 5 == 1 and place % 3 else None) for place in range(100_000)]
+    rows = [(1, p, "c" if call else None, a, req, s) for p, s, req, call, a in made] + [(2, 0, None, None, False, 10), (None, 5, None, None, False, 20)]
+    frame = spark.createDataFrame(rows, "g int, o long, call_id string, answers long, required boolean, size long").repartition(8).cache()
+    frame.count()
+    started = time.time()
+    got = {}
+    for row in convo.context_window(frame, ["g"], "o", 9_000_000).collect():
+        got.setdefault(row.g, set()).add(row.o)
+    assert time.time() - started < 60
+    assert got[1] == plain_context(made, 9_000_000) and got[2] == {0}
+
+
 def test_rendered_log(spark):
     native = json.dumps({"role": "assistant", "content": None, "tool_calls": [{"id": "c1"}]}, separators=(",", ":"))
     records = [

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomtrace.functions import editdistance
 from loomtrace.functions.jsonrules import canonical_json, schema_match, strict_json_ok
 from loomtrace.functions.oraclespec import SPEC, compile_spec, spec_of_schema
 from loomtrace.operators import scoring
@@ -26,12 +27,35 @@ def test_token_similarity_equals_the_plain_table(spark):
         assert row.s == int(max(0.0, 1.0 - distance(a, b) / max(len(a), len(b), 1)) * 10_000)
 
 
-def test_work_bound_gives_no_score(spark):
-    frame = spark.range(1).select(
-        F.lit("reference").alias("oracle"), F.repeat(F.lit("a "), 2001).alias("expected"), F.repeat(F.lit("b "), 2001).alias("candidate")
-    )
-    row = scoring.score_cases(frame).first()
-    assert (row.score_bps, row.score_problem) == (None, "work_bound")
+def test_distance_of_lists_that_share_ends_or_nothing():
+    rng = random.Random(5)
+    for _ in range(3000):
+        letters = "abcde"[: rng.randint(1, 5)]
+        a, b = (rng.choices(letters, k=rng.randrange(0, 40)) for _ in range(2))
+        if rng.random() < 0.3:
+            b = a[: rng.randrange(0, 40)] + b + a[rng.randrange(0, 40) :]
+        assert editdistance.distance(a, b) == editdistance.distance(b, a) == distance(a, b)
+    assert editdistance.distance([], []) == 0 and editdistance.distance(["x"], []) == 1 == editdistance.distance([], ["x"])
+
+
+def test_texts_of_any_length_are_scored(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    left = rng.choices(words, k=20_000)
+    right = list(left)
+    changed = rng.sample(range(0, 20_000, 2), 1000)
+    for k in changed:
+        right[k] = "other"
+    rows = [("reference", " ".join(left), " ".join(right)), ("reference", " ".join(left), " ".join(rng.choices(words, k=20_000))), ("reference", "a " * 2001, "b " * 2001)]
+    rows += [("reference", "a", None), ("reference", None, "a"), ("reference", "", ""), ("odd", "a", "a")]
+    got = scoring.score_cases(spark.createDataFrame(rows, "oracle string, expected string, candidate string").coalesce(1)).collect()
+    found = {(r.expected, r.candidate, r.oracle): (r.score_bps, r.score_problem) for r in got}
+    assert found[rows[0][1], rows[0][2], "reference"] == (9500, None)
+    score, problem = found[rows[1][1], rows[1][2], "reference"]
+    assert 0 < score < 3000 and problem is None
+    assert found["a " * 2001, "b " * 2001, "reference"] == (0, None)
+    assert found["a", None, "reference"] == (0, None) and found[None, "a", "reference"] == (0, None)
+    assert found["", "", "reference"] == (10_000, None) and found["a", "a", "odd"] == (None, "unknown_oracle")
 
 
 def test_strict_json(spark):
