@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,16 +12,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Texts, chunks, no_text, texts_of, words_of, written
+from .shared import Texts, chunks, mix, no_text, texts_of, words_of, written
 
 #: Windows of words, their step, and the compressor.
 WIDTH, STEP, LEVEL, MATCH = 8, 4, 3, 5
 #: Size of the ordinary dictionary, most bytes of toxic text, and the lengths of the letter groups that toxic text is picked by.
 ORDINARY_BYTES, TOXIC_BYTES, GRAMS = 112_640, 65_536, (5, 7)
-#: A letter group marks toxic text if so many different toxic texts hold it and it is exp(RATIO) times as frequent as in ordinary ones.
-MARK_TEXTS, RATIO = 16, 3.0
-#: Labelled rows, per label, whose windows train the ordinary dictionary and that calibrate; and the most windows for training.
-SAMPLE, SAMPLE_WINDOWS = 2000, 60_000
+#: A letter group marks toxic text if chance explains its places with a probability under exp(-CHANCE) and it is exp(RATIO) times as
+#: frequent there as in ordinary texts.
+CHANCE, RATIO = 8.0, 3.0
+#: Labelled rows, per label, from which everything is learnt; and the most windows that train the ordinary dictionary.
+SAMPLE, SAMPLE_WINDOWS = 4000, 60_000
 CUT = 0.3
 
 
@@ -97,79 +97,68 @@ def text_windows(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, words.start[first], words.end[last] - words.start[first]
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """Per letter group: distinct toxic texts that hold it and times in toxic and in ordinary texts; per toxic word its times.
+def contexts(texts: DataFrame) -> DataFrame:
+    """(word, toxic, ordinary): in how many different surroundings (the word before and the one after) a word stands in texts of
+    either label. Copies and near copies of a text repeat their surroundings, so they do not make a word look frequent."""
 
-    `texts` has text and label. Words (under a leading space) are told from letter groups by `whole`; the row without a piece
-    has the words of all texts. Every text counts whole.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, "text"):
                 texts = texts_of(piece.column("text"))
+                words = words_of(texts, lower=True)
+                if not len(words.start):
+                    continue
                 data = lowered(texts)
-                held: Counter[bytes] = Counter()
-                times: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
-                words: Counter[bytes] = Counter()
-                size = [0, 0]
-                groups: dict[bytes, set[bytes]] = {}
-                for label, low, high in zip(piece.column("label").to_pylist(), texts.begins[:-1], texts.begins[1:], strict=True):
-                    mine = Counter(data[low:high].split())
-                    size[label] += mine.total()
-                    found: Counter[bytes] = Counter()
-                    for word, n in mine.items():
-                        if word not in groups:
-                            groups[word] = letter_groups(b" " + word)
-                        for gram in groups[word]:
-                            found[gram] += n
-                    times[label].update(found)
-                    if label:
-                        held.update(found.keys())
-                        words.update(mine)
-                pieces = list(times[0].keys() | times[1].keys())
-                columns = [
-                    pa.array([*pieces, *words, None], pa.binary()),
-                    pa.array([False] * len(pieces) + [True] * (len(words) + 1)),
-                    pa.array([held[g] for g in pieces] + [0] * (len(words) + 1), pa.int64()),
-                    pa.array([times[1][g] for g in pieces] + list(words.values()) + [size[1]], pa.int64()),
-                    pa.array([times[0][g] for g in pieces] + [0] * len(words) + [size[0]], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["piece", "whole", "held", "toxic", "ordinary"])
-
-    out = texts.mapInArrow(count, "piece binary, whole boolean, held long, toxic long, ordinary long")
-    return out.groupBy("piece", "whole").agg(*[F.sum(c).alias(c) for c in ("held", "toxic", "ordinary")])
+                owner = words.text_of()
+                near = np.zeros((2, len(owner)), np.uint64)
+                near[0, 1:] = np.where(owner[1:] == owner[:-1], words.hash[:-1], 0)
+                near[1, :-1] = np.where(owner[1:] == owner[:-1], words.hash[1:], 0)
+                around = mix(near[0] * np.uint64(3) + mix(near[1] + np.uint64(1)))
+                label = piece.column("label").to_numpy()[owner]
+                once = np.unique(np.stack([words.hash, around, label.astype(np.uint64)]), axis=1, return_index=True)[1]
+                found = [data[a:b] for a, b in zip(words.start[once], words.end[once], strict=True)]
+                columns = [pa.array(found, pa.binary()), pa.array(around[once].view(np.int64)), pa.array(label[once], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "around", "label"])
+
+    rows = texts.mapInArrow(emit, "word binary, around long, label int").distinct()
+    return rows.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("ordinary"))
 
 
 def toxic_text(texts: DataFrame) -> bytes:
     """The stretches of words that mark toxic texts, most frequent last (nearest to the window).
 
-    A letter group is a mark when MARK_TEXTS different toxic texts hold it and it is about twenty times as frequent there as
-    in ordinary ones, whatever share of the texts that is. All texts are counted, on the executors; the driver gets stretches
-    up to TOXIC_BYTES.
+    A letter group is a mark if chance does not explain where it stands: under the labels' shares of all surroundings, one as
+    lopsided has a probability under exp(-CHANCE) (Chernoff's bound), and it is exp(RATIO) times as frequent in toxic texts. The
+    rule holds at any number of texts; with more of them, rarer marks pass.
     """
-    counts = written(counted(texts), "letters")
-    total = counts.where("piece is null").select("toxic", "ordinary").first()
-    if total is None:
+    counts = written(contexts(texts), "words")
+    total = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("ordinary"), F.lit(0)).alias("ordinary")).first()
+    if not total["toxic"] or not total["ordinary"]:
         return b""
-    often = [F.log((F.col(c) + 0.5) / (total[c] + 1)) for c in ("toxic", "ordinary")]
-    marks = counts.where((~F.col("whole")) & (F.col("held") >= MARK_TEXTS) & (often[0] - often[1] > RATIO)).select(F.col("piece").alias("gram"))
-    words = counts.where("whole and piece is not null").select("piece", "toxic")
+    words = counts.where("toxic > 0")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for word in batch.column(0).to_pylist():
+            for word, toxic, ordinary in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 spaced = b" " + word
-                rows += [(word, spaced[i : i + n], i, i + n) for n in GRAMS for i in range(len(spaced) - n + 1)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["piece", "gram", "low", "high"])
-
-    hits = words.select("piece").mapInArrow(places, "piece binary, gram binary, low int, high int").join(marks, "gram")
-    spans = hits.groupBy("piece").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    cut = F.expr("substring(concat(X'20', piece), low + 1, high - low)").alias("stretch")
-    stretches = spans.join(words, "piece").select(cut, "toxic").groupBy("stretch").agg(F.sum("toxic").alias("times"))
+                rows += [(word, spaced[i : i + n], i, i + n, toxic, ordinary) for n in GRAMS for i in range(len(spaced) - n + 1)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "gram", "low", "high", "toxic", "ordinary"])
+
+    found = counts.mapInArrow(places, "word binary, gram binary, low int, high int, toxic long, ordinary long")
+    grams = found.select("word", "gram", "toxic", "ordinary").distinct().groupBy("gram").agg(F.sum("toxic").alias("a"), F.sum("ordinary").alias("b"))
+    a, b, chance = F.col("a"), F.col("b"), total["toxic"] / (total["toxic"] + total["ordinary"])
+    share = a / (a + b)
+    part = lambda n, x, p: F.when(n > 0, n * F.log(x / p)).otherwise(0.0)
+    surprise = part(a, share, chance) + part(b, 1 - share, 1 - chance)
+    often = F.log((a + 0.5) / total["toxic"]) - F.log((b + 0.5) / total["ordinary"])
+    marks = grams.where((share > chance) & (surprise > CHANCE) & (often > RATIO)).select("gram")
+    hits = found.where("toxic > 0").select("word", "gram", "low", "high").join(marks, "gram")
+    spans = hits.groupBy("word").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    cut = F.expr("substring(concat(X'20', word), low + 1, high - low)").alias("stretch")
+    stretches = spans.join(words, "word").select(cut, "toxic").groupBy("stretch").agg(F.sum("toxic").alias("times"))
     # A stretch has at least as many bytes as a letter group, which bounds how many fit.
     out, size = [], 0
     for row in stretches.orderBy(F.desc("times"), "stretch").limit(TOXIC_BYTES // min(GRAMS)).collect():
@@ -180,10 +169,6 @@ def toxic_text(texts: DataFrame) -> bytes:
     return b"".join(reversed(out))
 
 
-def letter_groups(word: bytes) -> set[bytes]:
-    return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
-
-
 def trained(samples: list[bytes], size: int) -> bytes:
     """Content of a trained dictionary; the samples themselves where there are too few to train on."""
     try:
@@ -236,7 +221,7 @@ def measured(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Toxic text comes from all labelled rows, ordinary text and calibration from `sample` rows of either label by a hash of the id.
+    """Everything comes from at most `sample` labelled rows of either label, drawn by a hash of the id.
 
     Texts are read whole. crc32(id) mod 4 = 2 is never read; remainders 0 and 1 give the dictionaries, 3 the calibration. Ids,
     languages and sources are not used in a score.
@@ -256,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not drawn:
         return Model(b"", b"", (-3.0, 0.0, 0.0), 0.0)
     ordinary = trained(sampled_windows(chosen.where("fold <> 3 and label = 0"), SAMPLE_WINDOWS), ORDINARY_BYTES)
-    model = Model(ordinary, toxic_text(distinct_texts(texts.join(known.where("fold <> 3"), "id"))), (0.0, 0.0, 0.0), 0.0)
+    model = Model(ordinary, toxic_text(chosen.where("fold <> 3").select("text", "label")), (0.0, 0.0, 0.0), 0.0)
     x, label = measured(chosen.where("fold = 3"), model)
     if len(set(label)) < 2:
         x, label = measured(chosen, model)
@@ -266,12 +251,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(ordinary, model.toxic, (weights[0] + shift, *weights[1:]), shift)
 
 
-def distinct_texts(texts: DataFrame) -> DataFrame:
-    """Text and label of different toxic texts, and of all ordinary ones."""
-    toxic = texts.where("label = 1").select("text", "label").distinct()
-    return toxic.unionByName(texts.where("label = 0").select("text", "label"))
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, score from 0 to 1, predicted (1 from 0.3 up).
 
