@@ -20,7 +20,9 @@ WIDTH, STEP, LEVEL, MATCH = 8, 4, 3, 5
 ORDINARY_BYTES, TOXIC_BYTES, GRAMS = 112_640, 65_536, (5, 7)
 #: A letter group marks toxic text if chance explains its places with a probability under exp(-CHANCE) and it is exp(RATIO) times as
 #: frequent there as in ordinary texts.
-CHANCE, RATIO = 8.0, 3.0
+CHANCE, RATIO = 10.0, 3.0
+#: The words around a word that make its surroundings.
+AROUND = (-2, -1, 1)
 #: Labelled rows, per label, from which everything is learnt; and the most windows that train the ordinary dictionary.
 SAMPLE, SAMPLE_WINDOWS = 4000, 60_000
 CUT = 0.3
@@ -98,7 +100,7 @@ def text_windows(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): in how many different surroundings (the word before and the one after) a word stands in texts of
+    """(word, toxic, ordinary): in how many different surroundings (two words before and one after) a word stands in texts of
     either label. Copies and near copies of a text repeat their surroundings, so they do not make a word look frequent."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +112,12 @@ def contexts(texts: DataFrame) -> DataFrame:
                     continue
                 data = lowered(texts)
                 owner = words.text_of()
-                near = np.zeros((2, len(owner)), np.uint64)
-                near[0, 1:] = np.where(owner[1:] == owner[:-1], words.hash[:-1], 0)
-                near[1, :-1] = np.where(owner[1:] == owner[:-1], words.hash[1:], 0)
-                around = mix(near[0] * np.uint64(3) + mix(near[1] + np.uint64(1)))
+                around = np.zeros(len(owner), np.uint64)
+                for step in AROUND:
+                    other = np.zeros(len(owner), np.uint64)
+                    to, of = (slice(step, None), slice(None, -step)) if step > 0 else (slice(None, step), slice(-step, None))
+                    other[to] = np.where(owner[to] == owner[of], words.hash[of], 0)
+                    around = mix(around * np.uint64(3) + other + np.uint64(1))
                 label = piece.column("label").to_numpy()[owner]
                 once = np.unique(np.stack([words.hash, around, label.astype(np.uint64)]), axis=1, return_index=True)[1]
                 found = [data[a:b] for a, b in zip(words.start[once], words.end[once], strict=True)]
