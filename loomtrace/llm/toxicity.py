@@ -20,9 +20,9 @@ WIDTH, STEP, LEVEL, MATCH = 8, 4, 3, 5
 ORDINARY_BYTES, TOXIC_BYTES, GRAMS = 112_640, 65_536, (5, 7)
 #: A letter group marks toxic text if chance explains its places with a probability under exp(-CHANCE) and it is exp(RATIO) times as
 #: frequent there as in ordinary texts.
-CHANCE, RATIO = 10.0, 3.0
+CHANCE, RATIO = 8.0, 3.0
 #: The words around a word that make its surroundings.
-AROUND = (-2, -1, 1)
+AROUND = (-2, -1, 1, 2)
 #: Labelled rows, per label, from which everything is learnt; and the most windows that train the ordinary dictionary.
 SAMPLE, SAMPLE_WINDOWS = 4000, 60_000
 CUT = 0.3
@@ -100,7 +100,7 @@ def text_windows(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): in how many different surroundings (two words before and one after) a word stands in texts of
+    """(word, toxic, ordinary): in how many different surroundings (two words before and two after) a word stands in texts of
     either label. Copies and near copies of a text repeat their surroundings, so they do not make a word look frequent."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
