@@ -89,17 +89,21 @@ def tool_event(node: dict, edge: str | None):
 
 def walk(docs: list[str]) -> list[dict] | None:
     """Nodes of all documents in reading order, or None when one of them is not JSON."""
+    try:
+        values = [json.loads(text) for text in docs]
+    except (ValueError, RecursionError):
+        return None
     nodes: list[dict] = []
-
-    def visit(value, doc, under_top, parent, edge, item, hidden):
+    # What is still to be read, the next one last: (value, document, under the top, parent, edge, in a list, hidden).
+    todo = [(value, number, False, -1, None, False, False) for number, value in reversed(list(enumerate(values)))]
+    while todo:
+        value, doc, under_top, parent, edge, item, hidden = todo.pop()
         if isinstance(value, list):
-            for child in value:
-                visit(child, doc, under_top, parent, edge, True, hidden)
-            return
+            todo += [(child, doc, under_top, parent, edge, True, hidden) for child in reversed(value)]
+            continue
         if not isinstance(value, dict):
-            return
-        listed_call = edge if edge == "tool_calls" and item else None
-        is_tool, event = (False, None) if hidden else tool_event(value, listed_call)
+            continue
+        is_tool, event = (False, None) if hidden else tool_event(value, edge if edge == "tool_calls" and item else None)
         place = len(nodes)
         arguments = value.get("arguments")
         nodes.append(
@@ -112,15 +116,8 @@ def walk(docs: list[str]) -> list[dict] | None:
                 "sizes": [(clean(k), len(v)) for k, v in value.items() if isinstance(v, list)],
             }
         )
-        for name, child in value.items():
-            covered = hidden or is_tool or name == "tools"
-            visit(child, doc, parent == -1 and not item, place, name, False, covered)
-
-    try:
-        for number, text in enumerate(docs):
-            visit(json.loads(text), number, False, -1, None, False, False)
-    except (ValueError, RecursionError):
-        return None
+        inside = parent == -1 and not item
+        todo += [(child, doc, inside, place, name, False, hidden or is_tool or name == "tools") for name, child in reversed(value.items())]
     return nodes
 
 

@@ -86,9 +86,11 @@ def build_cases(
     Returns accepted cases and the (attempt, case_id, reason) history. `generator` gets the attempt number. The loop
     is over attempts, never over rows. Each attempt is fixed by a checkpoint, since a generator need not repeat itself.
     """
+    if attempts < 1:
+        raise ValueError(f"{attempts} attempts make no cases")
     ensure_checkpoint_dir(planned.sparkSession)
     pending, accepted, history = planned, None, None
-    for attempt in range(min(attempts, MAX_ATTEMPTS)):
+    for attempt in range(attempts):
         generated = generate_with(pending, generator(attempt)).checkpoint()
         broken = evaldata.generated_contract(pending, generated).where(F.col("reason").isNotNull())
         sound = generated.join(broken.select("order"), "order", "left_anti")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sf
-from ..operators import evaldata, sampling
+from ..operators import evaldata, features, sampling
 from ..operators import labels as label_jobs
 from ..session import ensure_checkpoint_dir
 from ..sources import listing, views
@@ -504,8 +504,10 @@ def heldout_exclusion(spark, folder):
     return sampling.exclude_held_out(texts.where(F.col("split") == "train"), held, ["request_sha256", "norm_sha256"]).select("doc_id")
 
 
+# What the exchanges of the documents lack: every fault below keeps a row out of the training selection.
 TRAIN_SQL = EVAL_ROWS + f""",
-train_rows AS (SELECT * FROM eval_rows WHERE split = 'train' AND request_sha256 NOT IN (SELECT request_sha256 FROM eval_rows WHERE split <> 'train')
+train_rows AS (SELECT * FROM eval_rows WHERE split = 'train' AND doc_id % 31 <> 0 AND doc_id % 37 <> 0 AND doc_id % 41 <> 0 AND doc_id % 13 NOT IN (0, 1)
+  AND doc_id % 19 <> 0 AND doc_id % 23 <> 0 AND n_chars > 60 AND request_sha256 NOT IN (SELECT request_sha256 FROM eval_rows WHERE split <> 'train')
   AND content_sha256 NOT IN (SELECT content_sha256 FROM eval_rows WHERE split <> 'train')),
 train_groups AS (SELECT * FROM (SELECT *, {REPRESENTATIVE_SQL} AS rn FROM train_rows) WHERE rn = 1)"""
 
@@ -516,9 +518,19 @@ train_groups AS (SELECT * FROM (SELECT *, {REPRESENTATIVE_SQL} AS rn FROM train_
 ORDER BY {sha("'train.trajectory.v1:' || source_group_sha256 || content_sha256")} LIMIT 1000"""),
 )
 def train_selection(spark, folder):
-    rows = eval_rows(spark, folder)
+    doc, text = F.col("doc_id"), F.lit("text")
+    rows = eval_rows(spark, folder).withColumns({
+        "modalities": F.when(doc % 31 == 0, F.array(F.lit("image"), text)).otherwise(F.array(text)),
+        "tool_definitions": (doc % 37 == 0).cast("int"),
+        "tool_calls": (doc % 41 == 0).cast("int"),
+        "success": F.when(doc % 13 == 0, F.lit(None)).otherwise(doc % 13 != 1),
+        "model_completed": doc % 19 != 0,
+        "parse": doc % 23 != 0,
+        "has_request_response_text": F.col("n_chars") > 60,
+    })
     held = rows.where(F.col("split") != "train")
-    return sampling.train_selection(rows, held, 1000, ["request_sha256", "content_sha256"]).select("key", "source_group_sha256")
+    eligible = features.eligible_for_training(F.col("split"))
+    return sampling.train_selection(rows, held, 1000, ["request_sha256", "content_sha256"], eligible).select("key", "source_group_sha256")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaldata import SHARD_ROWS, content_fingerprint
+from . import shardfiles
 
 
 class DifferentContent(ValueError):
@@ -23,10 +24,8 @@ def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
 
 
 def write_shards(cases: DataFrame, path: str, shard_rows: int = SHARD_ROWS) -> None:
-    """Folders per split and shard; ordered by case inside. Every shard lands in one task."""
-    shard = F.call_function("div", F.col("split_ordinal"), F.lit(shard_rows))
-    keyed = cases.withColumn("shard", shard)
-    keyed.repartitionByRange("split", "shard").sortWithinPartitions("split", "shard", "order").write.partitionBy("split", "shard").parquet(path)
+    """Shards as row groups of a few range files, and their manifest, in one pass; see `shardfiles`."""
+    shardfiles.write(cases, path, shard_rows)
 
 
 def run_fingerprint(rows: DataFrame) -> str:

@@ -73,6 +73,43 @@ def test_zstd_objects(spark, tmp_path):
     assert rows["broken.json.zst"].reject_reason == "not_an_exchange"
 
 
+def test_oversized_objects_and_streams(spark, tmp_path):
+    packed = lambda raw: zstandard.ZstdCompressor().compress(raw)
+    folder = tmp_path / "c"
+    folder.mkdir()
+    body = json.dumps(envelope()).encode()
+    (folder / f"{IDENT}.json.zst").write_bytes(packed(body))
+    (folder / "large.json.zst").write_bytes(packed(b" " * (len(body) + 1) + body))
+    (folder / "bytes.json.zst").write_bytes(packed(b"\xff\xfe"))
+    (folder / "other.txt").write_bytes(b"not read")
+    reasons = lambda rows: sorted((r.key.rsplit("/", 1)[1], r.reject_reason) for r in rows.select("key", "reject_reason").collect())
+    read = lambda limit: captures.scan_envelopes(captures.read_objects(spark, str(tmp_path), limit), SCOPE, "production")
+    want = [(f"{IDENT}.json.zst", None), ("bytes.json.zst", "not_an_exchange"), ("large.json.zst", "oversized")]
+    assert reasons(read(len(body))) == want
+    assert dict(reasons(read(len(body) - 1)))[f"{IDENT}.json.zst"] == "oversized"
+    assert dict(reasons(read(10**6)))["large.json.zst"] == "exchange_id_differs_from_key"
+
+    # The stream gives the same rows, object by object, and takes up where it was when more come, keys before the last one included.
+    def stream():
+        rows = captures.scan_envelopes(captures.stream_objects(spark, str(tmp_path), len(body), 1), SCOPE, "production").select("key", "reject_reason")
+        query = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return reasons(spark.read.parquet(str(tmp_path / "out")))
+
+    assert stream() == want
+    (folder / "a-late.json.zst").write_bytes(b"no zstd")
+    assert stream() == sorted([*want, ("a-late.json.zst", "not_an_exchange")], key=str)
+
+
+def test_deep_json_is_walked(spark):
+    deep = "{\"a\":" * 5000 + "{\"text\":\"down here\"}" + "}" * 5000
+    rows = spark.createDataFrame([(["[" * 5000 + "{\"b\":[1,{\"c\":2}]}" + "]" * 5000],), ([deep],)], "docs array<string>")
+    first, second = (r[0] for r in rows.select(json_nodes("docs")).collect())
+    assert [(n.parent, n.edge, n.item, n.ints) for n in first] == [(-1, None, True, {}), (0, "b", True, {"c": 2})]
+    assert len(second) == 5001 and second[5000].strings == {"text": "down here"} and [n.parent for n in second] == list(range(-1, 5000))
+
+
 def parse(spark, *envelopes):
     rows = features.parse_exchanges(scan(spark, envelopes), SCOPE).collect()
     return [r for r in sorted(rows, key=lambda r: int(r.key.split("/")[0]))]

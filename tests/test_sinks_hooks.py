@@ -1,6 +1,7 @@
 import json
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from loomtrace import hooks
 from loomtrace.functions import scalar as sf
 from loomtrace.operators import evaldata, labels
 from loomtrace.plans import bind_select
-from loomtrace.sources import lineage, listing, sinks
+from loomtrace.sources import lineage, listing, shardfiles, sinks
 from tests.conftest import SMALL
 
 
@@ -23,20 +24,53 @@ def test_write_once(spark, tmp_path):
         sinks.create_same(spark, rows.unionByName(rows.limit(1)), path)
 
 
+def shard_table(cases):
+    found = cases.withColumn("shard", F.call_function("div", F.col("split_ordinal"), F.lit(8)))
+    return found.groupBy("split", "shard").agg(
+        F.min("order").alias("start"), (F.max("order") + 1).alias("end"), F.count("*").alias("rows"), *evaldata.content_fingerprint(F.col("case_id"))
+    )
+
+
 def test_shards_put_together_are_the_input(spark, tmp_path):
     cases = bind_select.ordered_cases(spark, SMALL).select("split", "split_ordinal", "order", "case_id")
     path = str(tmp_path / "shards")
     sinks.write_shards(cases, path, 8)
-    back = spark.read.parquet(path)
+    back = shardfiles.read(spark, path)
     assert sorted(map(tuple, back.select("split", "order", "case_id").collect())) == sorted(map(tuple, cases.select("split", "order", "case_id").collect()))
     assert back.groupBy("split", "shard").count().agg(F.max("count")).first()[0] <= 8
     sizes = back.groupBy("split", "shard").agg(F.count("*").alias("n"), (F.max("order") - F.min("order") + 1).alias("span"))
     assert sizes.where("n <> span").count() == 0
+    # A few files, no folder per shard; the manifest holds what the stored rows give, and the audit finds nothing.
+    files = [f for f in (tmp_path / "shards").rglob("*") if f.suffix == ".parquet"]
+    manifest = shardfiles.manifest(spark, path)
+    assert not [f for f in (tmp_path / "shards").iterdir() if f.is_dir()] and len(files) < manifest.count()
+    assert evaldata.audit_manifest(manifest, shard_table(back)).collect() == []
+    assert evaldata.audit_manifest(manifest, shard_table(cases)).collect() == []
+    for line in manifest.collect():
+        group = pq.ParquetFile(f"{path}/{line.file}").read_row_group(line.row_group)
+        assert (group["order"][0].as_py(), group["order"][-1].as_py() + 1, group.num_rows) == (line.start, line.end, line.rows)
+    with pytest.raises(FileExistsError):
+        sinks.write_shards(cases, path, 8)
     splits = str(tmp_path / "splits")
     sinks.write_splits(cases, splits)
     assert spark.read.parquet(splits).count() == cases.count()
 
 
+def test_shards_of_failed_tasks_do_not_count(spark, tmp_path):
+    cases = bind_select.ordered_cases(spark, SMALL).select("split", "split_ordinal", "order", "case_id")
+    path = str(tmp_path / "shards")
+    broken = cases.withColumn("case_id", F.when(F.col("order") == 5, F.raise_error(F.lit("planted"))).otherwise(F.col("case_id")))
+    with pytest.raises(Exception, match="planted"):
+        sinks.write_shards(broken, path, 8)
+    with pytest.raises(shardfiles.NotCommitted):
+        shardfiles.read(spark, path)
+    sinks.write_shards(cases, path, 8)
+    assert shardfiles.read(spark, path).count() == cases.count() == shardfiles.manifest(spark, path).agg(F.sum("rows")).first()[0]
+    nothing = str(tmp_path / "nothing")
+    sinks.write_shards(cases.limit(0), nothing, 8)
+    assert shardfiles.manifest(spark, nothing).count() == 0
+
+
 def test_lineage_stops_at_cycles(spark):
     edges = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("z", None)], "checkpoint string, parent string")
     rows = lineage.ancestry(spark, edges, "c").collect()
