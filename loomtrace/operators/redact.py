@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,81 +15,178 @@ from pyspark.sql import types as T
 REDACTED = "[redacted]"
 #: Shorter given secrets are only replaced as words of their own.
 SHORT = 4
-# Words that make a name secret, endings that make it a mere selector, and members kept as they are.
-SECRET_WORDS = "API[_-]?KEY|TOKEN|SECRET|PASSWORD|PASSWD|CREDENTIALS?"
-SELECTOR_ENDINGS = "_(?:ENV|NAME|FILE|PATH)"
+# Words that make a name secret, endings that make it a mere selector, members kept as they are, header schemes.
+SECRET_WORDS = ("apikey", "token", "secret", "password", "passwd", "credential", "credentials")
+SECRET_PAIR = ("api", "key")
+SELECTOR_ENDINGS = ("env", "name", "file", "path")
 KEPT_MEMBERS = ("id", "tool_call_id", "name", "role", "type", "encrypted_content")
+SCHEMES = ("bearer", "api-key")
+#: Letters that equal one of a to z when case is ignored.
+LIKE_ASCII = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
 
-SCHEMES = ("Bearer", "Api-Key")
+_SCHEME = re.compile("|".join(SCHEMES), re.IGNORECASE)
+_SIGN = re.compile("[:=]")
+_STOP = re.compile(r"\s|,|;")
+_MARKS = {quote: re.compile(rf"\\.|{quote}|[\r\n]") for quote in "\"'"}
 
-# A name run, cut out whole: possessive parts, and no start inside a run, so that long runs are read once.
-_NAME = re.compile(r"(?<![0-9A-Z_-])[0-9A-Z]++(?:[_-][0-9A-Z]++)*+(?![0-9A-Z_-])", re.IGNORECASE)
-_SIGN = re.compile(r"[\"']?+\s*+[:=]\s*+")
-_SECRET = re.compile(rf"(?:^|[_-])(?:{SECRET_WORDS})(?:$|[_-])", re.IGNORECASE)
-_SELECTOR = re.compile(rf"{SELECTOR_ENDINGS}$", re.IGNORECASE)
-_SCHEME = re.compile(rf"\b(?:{'|'.join(SCHEMES)})(?=\s)", re.IGNORECASE)
-_BLANK = re.compile(r"\s*+")
-_BARE = re.compile(r"[^\s,;]++")
-_INSIDE = {q: re.compile(rf"[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+") for q in "\"'"}
+#: A piece of the text and what stands there afterwards.
+Edit = tuple[int, int, str]
 
 
-def _quoted_end(text: str, at: int) -> int | None:
-    """End of the quoted value that opens at `at`. Where every later quote of the line is escaped, the last one closes it."""
-    quote = text[at]
-    stop = _INSIDE[quote].match(text, at + 1).end()
-    if stop < len(text) and text[stop] == quote:
-        return stop + 1
-    last = text.rfind("\\" + quote, at + 1, stop)
-    return last + 2 if last >= 0 else None
+def _folded(text: str) -> str:
+    return text.translate(LIKE_ASCII).lower()
 
 
-def _value_end(text: str, at: int) -> int | None:
-    if at < len(text) and text[at] in "\"'" and (end := _quoted_end(text, at)):
-        return end
-    bare = _BARE.match(text, at)
-    return bare.end() if bare else None
+def _alphanumeric(letter: str) -> bool:
+    return letter.isascii() and letter.isalnum()
 
 
-def _hide_headers(text: str) -> str:
-    out, upto = [], 0
+def _in_name(letter: str) -> bool:
+    return letter in "_-" or _alphanumeric(letter.translate(LIKE_ASCII))
+
+
+def _bare_end(text: str, at: int) -> int:
+    """Where a value without quotes ends: at a blank, a comma or a semicolon."""
+    stop = _STOP.search(text, at)
+    return stop.start() if stop else len(text)
+
+
+def _blanks_end(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
+
+
+def _closing(text: str, at: int) -> int | None:
+    """Place of the quote that closes the one at `at`, on the same line: the first that is not escaped, else the last that is."""
+    escaped = None
+    for mark in _MARKS[text[at]].finditer(text, at + 1):
+        if mark[0] == text[at]:
+            return mark.start()
+        if mark[0][0] != "\\":
+            break
+        if mark[0][1] == text[at]:
+            escaped = mark.start() + 1
+    return escaped
+
+
+class _Edits:
+    """Edits in the order of the text; where some overlap, one edit hides all that they cover."""
+
+    def __init__(self, edits: Iterable[Edit]):
+        self.all: list[Edit] = []
+        for low, high, text in sorted(edits):
+            if self.all and low < self.all[-1][1]:
+                before = self.all.pop()
+                low, high, text = before[0], max(high, before[1]), before[2]
+            self.all.append((low, high, text))
+        self.starts = [edit[0] for edit in self.all]
+
+    def touch(self, low: int, high: int) -> bool:
+        """Whether an edit covers a part of a piece."""
+        last = bisect_left(self.starts, high) - 1
+        return last >= 0 and self.all[last][1] > low
+
+    def end_before(self, place: int) -> int:
+        """Where the last edit that begins before a place ends; 0 without one."""
+        last = bisect_left(self.starts, place) - 1
+        return self.all[last][1] if last >= 0 else 0
+
+    def apply(self, text: str) -> str:
+        out, upto = [], 0
+        for low, high, instead in self.all:
+            out += [text[upto:low], instead]
+            upto = high
+        return "".join([*out, text[upto:]])
+
+
+def _places(text: str, secret: str) -> Iterator[tuple[int, int]]:
+    low = text.find(secret)
+    while low >= 0:
+        yield low, low + len(secret)
+        low = text.find(secret, low + len(secret))
+
+
+def _given(text: str, secrets: Sequence[str]) -> _Edits:
+    """Every place of a given secret; short ones only where no letter or digit is left next to them."""
+    known = set(filter(None, secrets))
+    hidden = _Edits((low, high, REDACTED) for secret in known if len(secret) >= SHORT for low, high in _places(text, secret))
+
+    def free(at: int) -> bool:
+        return not 0 <= at < len(text) or not _alphanumeric(text[at]) or hidden.touch(at, at + 1)
+
+    short = [(low, high, REDACTED) for secret in known if len(secret) < SHORT for low, high in _places(text, secret) if free(low - 1) and free(high)]
+    return _Edits([*hidden.all, *short])
+
+
+def _headers(text: str, hidden: _Edits) -> Iterator[Edit]:
+    """What follows a scheme and a blank."""
+    upto = 0
     for scheme in _SCHEME.finditer(text):
-        value = _BARE.match(text, _BLANK.match(text, scheme.end()).end())
-        if scheme.start() >= upto and value:
-            out += [text[upto : scheme.end()], " ", REDACTED]
-            upto = value.end()
-    return "".join([*out, text[upto:]])
-
-
-def _hide_assignments(text: str) -> str:
-    """Scan names; where a secret one is followed by a sign, its value is hidden and the scan goes on behind it."""
-    out, upto, at = [], 0, 0
-    while name := _NAME.search(text, at):
-        at = name.end()
-        sign = _SIGN.match(text, at)
-        if not sign or not _SECRET.search(name[0]):
+        low, high = scheme.span()
+        value = _blanks_end(text, high)
+        end = _bare_end(text, value)
+        inside_word = low > 0 and (text[low - 1].isalnum() or text[low - 1] == "_") and not hidden.touch(low - 1, low)
+        if low >= upto and not inside_word and high < value < end and not hidden.touch(low, high):
+            yield high, end, f" {REDACTED}"
+            upto = end
+
+
+def _name_before(text: str, sign: int, least: int) -> tuple[int, int]:
+    """The run of name letters in front of a sign, behind which blanks and one quote may stand."""
+    high = sign
+    while high > least and text[high - 1].isspace():
+        high -= 1
+    if high > least and text[high - 1] in "\"'":
+        high -= 1
+    low = high
+    while low > least and _in_name(text[low - 1]):
+        low -= 1
+    return low, high
+
+
+def _kind(name: str) -> str | None:
+    """`secret`, `selector` of a secret, or None for any other name."""
+    parts = _folded(name).replace("-", "_").split("_")
+    pairs = zip(parts, parts[1:], strict=False)
+    if not all(parts) or not (any(part in SECRET_WORDS for part in parts) or SECRET_PAIR in pairs):
+        return None
+    points = len(parts) > 1 and parts[-1] in SELECTOR_ENDINGS and name[-len(parts[-1]) - 1] == "_"
+    return "selector" if points else "secret"
+
+
+def _assignments(text: str, hidden: _Edits) -> Iterator[Edit]:
+    """The value behind each sign that has a secret name in front. Quotes around a value stay."""
+    upto = 0
+    for sign in _SIGN.finditer(text):
+        if sign.start() < upto:
             continue
-        end = _value_end(text, sign.end())
-        if end is None:
+        low, high = _name_before(text, sign.start(), max(upto, hidden.end_before(sign.start())))
+        kind = _kind(text[low:high]) if low < high else None
+        if kind is None:
             continue
-        if not _SELECTOR.search(name[0]):
-            value = text[sign.end() : end]
-            quote = value[0] if len(value) > 1 and value[0] in "\"'" and value[0] == value[-1] else ""
-            out += [text[upto : sign.end()], quote, REDACTED, quote]
-            upto = end
-        at = end
-    return "".join([*out, text[upto:]])
+        value = _blanks_end(text, sign.end())
+        closing = _closing(text, value) if text[value : value + 1] in ("'", '"') else None
+        end = _bare_end(text, value) if closing is None else closing + 1
+        if end == value:
+            continue
+        quoted = end - value > 1 and text[value] in "\"'" and text[end - 1] == text[value]
+        if kind == "secret":
+            yield (value + 1, end - 1, REDACTED) if quoted else (value, end, REDACTED)
+        upto = end
 
 
 def redacted(text: str | None, secrets: Sequence[str] = ()) -> str | None:
-    """One text without given secrets, header values and the values of secret-looking assignments. Linear in the text."""
+    """One text without given secrets, header values and the values of secret-looking assignments. Linear in the text.
+
+    All three are found as pieces of the text as it came; pieces that overlap become one, and each is replaced once. What a given
+    secret or a header hides is no scheme or name any more.
+    """
     if text is None:
         return None
-    for secret in sorted(set(filter(None, secrets)), key=len, reverse=True):
-        if len(secret) >= SHORT:
-            text = text.replace(secret, REDACTED)
-        else:
-            text = re.sub(rf"(?<![0-9A-Za-z]){re.escape(secret)}(?![0-9A-Za-z])", lambda _: REDACTED, text)
-    return _hide_assignments(_hide_headers(text))
+    hidden = _given(text, secrets)
+    hidden = _Edits([*hidden.all, *_headers(text, hidden)])
+    return _Edits([*hidden.all, *_assignments(text, hidden)]).apply(text)
 
 
 def redact(text, secrets: Sequence[str] = ()) -> Column:

@@ -230,6 +230,16 @@ def test_redact_long_values_in_linear_time():
     assert redact.redacted("CREDENTİALS=abc123") == "CREDENTİALS=[redacted]"
 
 
+def test_redacted_pieces_that_touch_or_overlap():
+    given = ["hunter22", "ab", "22 lives", "x=y"]
+    cases = {
+        "hunter22hunter22": "[redacted][redacted]", "hunter22 lives": "[redacted]", "abhunter22": "[redacted][redacted]", "cab": "cab",
+        "token=hunter22,ab": "token=[redacted],[redacted]", "hunter22token=z": "[redacted]token=[redacted]", "hunter22Bearer z": "[redacted]Bearer [redacted]",
+        "Bearer token=abc": "Bearer [redacted]", "token=Bearer abc": "token=[redacted] [redacted]", "token x=y": "token [redacted]", "secret='' x": "secret='[redacted]' x",
+    }
+    assert {text: redact.redacted(text, given) for text in cases} == cases
+
+
 def test_redact_messages(spark):
     kind = "array<struct<role:string,content:string,tool_call_id:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>>"
     messages = [("user", "token=a b", None, None), ("assistant", None, None, [("token=1", "n", "secret: x"), ("c", "n", '{"k": 1}')]), ("tool", "Bearer q", "token=1", [])]
