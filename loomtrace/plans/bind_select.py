@@ -10,7 +10,7 @@ from ..functions import scalar as sf
 from ..operators import evaldata, features, sampling
 from ..operators import labels as label_jobs
 from ..session import ensure_checkpoint_dir
-from ..sources import listing, views
+from ..sources import listing, shardfiles, sinks, views
 from ..sources.tables import table
 from ..streaming import jobs
 from . import eval_plan
@@ -398,6 +398,21 @@ def manifest_audit(spark, folder):
     return evaldata.audit_manifest(recorded, found.drop("shard"))
 
 
+@query(
+    "shard_files",
+    with_views(ORDERED_SQL, body=f"""SELECT split, split_ordinal // {SHARD} AS shard, min("order") AS start, max("order") + 1 AS "end", count(*) AS rows,
+  {FINGERPRINT_SQL.format(d=sha('case_id'))} AS content_xor, NULL::varchar AS problem FROM ordered GROUP BY 1, 2"""),
+)
+def shard_files(spark, folder):
+    """Shards are written as range files; the manifest that the writer made is audited against what lies in the files."""
+    cases = ordered_cases(spark, folder).select("split", "split_ordinal", "order", "case_id")
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shard-files-{uuid.uuid4().hex}"
+    sinks.write_shards(cases, place, SHARD)
+    listed, stored = shardfiles.manifest(spark, place), shardfiles.read(spark, place)
+    problems = evaldata.audit_manifest(listed, _shard_table(stored))
+    return listed.join(problems, ["split", "start"], "left").select("split", "shard", "start", "end", "rows", "content_xor", "problem")
+
+
 @query(
     "positional_contract",
     with_views(ORDERED_SQL, body="""SELECT "order", case_id, CASE WHEN quality IS NULL AND confidence_basis_points = 8000 THEN 'missing'

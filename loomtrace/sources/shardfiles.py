@@ -40,7 +40,8 @@ class TaskFiles(WriterCommitMessage):
 
 
 def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
+    """The file system and folder of a path; Hadoop writes local ones as file:/path."""
+    return fs.FileSystem.from_uri(path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
 def _fingerprint(texts: pa.Array) -> int:
