@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from loomtrace.llm import jaccard, recompression, suffix_dedup
 from loomtrace.llm.components import components
 from tests.llm import plain
@@ -79,7 +81,8 @@ def test_one_row_of_each_group_stays(spark):
     named = dict(r for r in rows if r[0] is not None)
     stays = [c[0] for c in plain.components(list(named.items())) if c[0] == c[2]]
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(stays)
-    assert sum(r.doc_id is None for r in kept.collect()) == 2
+    # Of the two rows without an id, one is a copy of rows with ids and goes.
+    assert sum(r.doc_id is None for r in kept.collect()) == 1
 
 
 def test_empty_tables(spark):
@@ -93,3 +96,27 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     out = {r.node: r.component for r in components(links).collect()}
     assert out == {**dict.fromkeys(range(201), 0), 900: 900, 901: 900}
+
+
+def test_rows_without_ids_lead_on_and_ids_are_one_document(spark):
+    words = [f"w{k}" for k in range(60)]
+    text = lambda *changed: " ".join(f"x{k}" if k in changed else w for k, w in enumerate(words))
+    # One changed word costs three of 58 shingles: 0 and 30 link with 0 alone, 0 with 0 and 30, but 0 not with 30 and 59.
+    rows = [(1, text()), (None, text(30)), (2, text(30, 59)), (3, "alone " * 9), (3, text(0, 10, 20)), (5, "alone " * 9), (None, "lone one here"), (None, "lone one here"), (None, None)]
+    out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(plain.fixture(spark, rows)).collect()), key=str)
+    assert [c for i, n, c in out if i in (1, 2) or (i is None and n == 58)] == [1, 1, 1]
+    assert {c for i, _, c in out if i in (3, 5)} == {3}
+    assert [c for i, n, c in out if i is None and n == 1] == [None, None]
+    docs = plain.fixture(spark, rows).withColumns({name: F.lit(name) for name in ("__id", "__said", "__a", "said", "component", "kept_id", "one")})
+    kept = jaccard.keep_one(docs, width=3, percent=90)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert [i for i, _ in got if i is not None] == [1, 3]
+    assert sorted([t for i, t in got if i is None], key=str) == [None, "lone one here"]
+    assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+def test_many_copies_without_an_id(spark):
+    rows = [(None, "one two three four five six")] * 400 + [(7, "one two three four five six seven eight nine ten"), (None, "1 2 3 4 5")]
+    kept = jaccard.keep_one(plain.fixture(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.text) for r in kept) == [(False, rows[400][1]), (True, "1 2 3 4 5"), (True, rows[0][1])]
