@@ -69,13 +69,20 @@ class Scanner:
         found = []
         addresses: list[tuple[int, int]] | None = None
         for place, (rule, candidate, groups) in enumerate(self._ready):
+            passed = 0
             for m in candidate.finditer(text):
                 piece = m[0]
                 if any(g.isdisjoint(piece) for g in groups):
                     continue
                 if addresses is None:
                     addresses = [a.span() for a in ADDRESS.finditer(text)]
-                allowed = [(a - m.start(), b - m.start()) for a, b in addresses if a < m.end() and m.start() < b] + self._allowed(piece)
+                # Candidates and addresses both come in the order of the text.
+                while passed < len(addresses) and addresses[passed][1] <= m.start():
+                    passed += 1
+                allowed, here = self._allowed(piece), passed
+                while here < len(addresses) and addresses[here][0] < m.end():
+                    allowed.append((addresses[here][0] - m.start(), addresses[here][1] - m.start()))
+                    here += 1
                 found += [(m.start() + a, len(KINDS) + place, m.start() + b) for a, b in high_windows(piece, rule, groups, allowed)]
         return sorted(found)
 
@@ -100,6 +107,17 @@ class Scanner:
         return KINDS[place] if place < len(KINDS) else self.classes[place - len(KINDS)].kind
 
 
+def _joined(stretches: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places that stretches cover, as stretches in order that do not touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(stretches):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        elif a < b:
+            out.append((a, b))
+    return out
+
+
 def high_windows(piece: str, rule: EntropyClass, groups: Sequence[frozenset], allowed: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     """Joined windows of `piece` whose entropy reaches the rule's bits and which hold each of the groups, without those over `allowed`.
 
@@ -110,6 +128,7 @@ def high_windows(piece: str, rule: EntropyClass, groups: Sequence[frozenset], al
     counts: dict[str, int] = {}
     held = [0] * len(groups)
     total, spans = 0.0, []
+    allowed, passed = _joined(allowed), 0
     most = width * (math.log2(width) - rule.bits) + 1e-9
     for i, new in enumerate(piece):
         c = counts.get(new, 0)
@@ -126,7 +145,9 @@ def high_windows(piece: str, rule: EntropyClass, groups: Sequence[frozenset], al
                 held[k] -= old in group
         if i >= width - 1 and total <= most and all(held):
             a, b = i - width + 1, i + 1
-            if any(x < b and a < y for x, y in allowed):
+            while passed < len(allowed) and allowed[passed][1] <= a:
+                passed += 1
+            if passed < len(allowed) and allowed[passed][0] < b:
                 continue
             if spans and spans[-1][1] >= a:
                 spans[-1] = (spans[-1][0], b)
