@@ -39,6 +39,10 @@ class SizeClass:
         """Words a walk covers on average; items' windows start at least so far before their end."""
         return self.steps // 2
 
+    def repeats(self, few: int) -> int:
+        """Repetitions: a longer walk meets more edits before its last sampled step, and costs less as it starts more rarely."""
+        return few * -(-self.steps // 24)
+
 
 def size_class(words: int) -> SizeClass:
     """Items of 2c to 4c - 1 words get walks over about c words that start every c / 2 words."""
@@ -107,31 +111,27 @@ def edit_match(item: list[str], text: list[str]) -> tuple[int, int, int]:
     return int(row[end]), end - int(back.argmin()), end
 
 
-def item_keys(items: DataFrame, id_col: str, text_col: str, repeats: int) -> DataFrame:
-    """Keys of every start of every item: item, its text and number of words, the start, size class and key."""
+def item_keys(items: DataFrame, repeats: int) -> DataFrame:
+    """Keys of every start of every item: item, digest of its text, number of its words, the start and the key; never the text."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, "text", 300_000):
                 walks = Walks(words_of(texts_of(piece.column("text")), lower=True))
-                ids, texts = piece.column("item").to_pylist(), piece.column("text").to_pylist()
-                rows = []
-                for i, (item, text) in enumerate(zip(ids, texts, strict=True)):
+                for i in range(piece.num_rows):
                     n = int(walks.first[i + 1] - walks.first[i]) - 1
                     if n < MIN_WORDS:
                         continue
                     size = size_class(n)
                     shift = np.arange(max(1, n - size.reach + 1))
-                    for repeat in range(repeats):
+                    for repeat in range(size.repeats(repeats)):
                         keys = walks.keys(walks.first[i] + shift, size, repeat).view(np.int64)
-                        rows += [(item, text, n, int(s), int(k)) for s, k in zip(shift, keys, strict=True)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item", "item_text", "item_words", "shift", "key"])
+                        same = pa.array(np.full(len(shift), i))
+                        columns = [piece.column("item").take(same), piece.column("said").take(same), pa.array(np.full(len(shift), n, np.int32))]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(shift, pa.int32()), pa.array(keys)], ["item", "said", "item_words", "shift", "key"])
 
-    kind = items.schema[id_col].dataType.simpleString()
-    picked = items.select(items[id_col].alias("item"), no_text(text_col).alias("text"))
-    return picked.mapInArrow(keyed, f"item {kind}, item_text string, item_words int, shift int, key long")
+    kind = items.schema["item"].dataType.simpleString()
+    return items.mapInArrow(keyed, f"item {kind}, said long, item_words int, shift int, key long")
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
@@ -165,8 +165,10 @@ def window_hits(docs: DataFrame, slots: np.ndarray, sizes: list[SizeClass], repe
                     owner = np.repeat(np.arange(len(count)), number)
                     nth = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * size.stride
                     starts.append((size, owner, nth, walks.first[:-1][owner] + nth))
-                for repeat in range(repeats):
+                for repeat in range(max(size.repeats(repeats) for size in sizes)):
                     for size, owner, nth, start in starts:
+                        if repeat >= size.repeats(repeats):
+                            continue
                         keys = walks.keys(start, size, repeat)
                         likely = np.flatnonzero(coarse.take((keys >> np.uint64(64 - FILTER_BITS + 7)).astype(np.int64), mode="clip"))
                         slot = (keys[likely] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -206,15 +208,21 @@ def find_leaks(
     document or item; repeated rows change nothing; other columns are not read; an empty table gives no rows. Nothing that grows
     with documents or items is broadcast: windows that pass the fixed-size filter meet the items' keys in a shuffle join.
     """
-    keys = written(item_keys(items, item_id, item_text, repeats), "item-keys")
+    known = items.select(items[item_id].alias("item"), no_text(item_text).alias("text")).withColumn("said", F.xxhash64("text"))
+    known = written(known.dropDuplicates(["item", "said"]), "items")
+    keys = written(item_keys(known, repeats), "item-keys")
     lengths = [row.item_words for row in keys.select(F.floor(F.log2("item_words")).alias("c"), "item_words").groupBy("c").agg(F.min("item_words").alias("item_words")).collect()]
     sizes = sorted({size_class(n) for n in lengths}, key=lambda s: s.least)
     if not sizes:
         sizes = [size_class(8)]
     hits = window_hits(docs, key_filter(keys), sizes, repeats, doc_id, doc_text)
-    aligned = hits.join(keys, "key").withColumn("begin", F.col("start") - F.col("shift"))
-    one = aligned.groupBy("doc", "item", "begin").agg(F.min(F.struct("low", "stretch", "item_text", "item_words")).alias("v"))
-    candidates = one.select("doc", "item", "v.*")
+    # A stretch reaches further than begins of one item differ in a 32nd of its words, so one stretch serves them all.
+    near = F.floor((F.col("start") - F.col("shift")) / F.greatest(F.lit(1), F.floor(F.col("item_words") / 32)))
+    aligned = hits.join(keys, "key").withColumn("begin", near)
+    one = aligned.groupBy("doc", "item", "said", "begin").agg(F.min(F.struct("low", "stretch")).alias("v"))
+    texts = known.select(F.col("item").alias("its_item"), F.col("said").alias("its_said"), F.col("text").alias("item_text"))
+    mine = F.col("item").eqNullSafe(F.col("its_item")) & (F.col("said") == F.col("its_said"))
+    candidates = one.join(texts, mine).select("doc", "item", "v.*", "item_text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomtrace.llm import decontaminate, packing, quality, secrets, sharding, token_counts, toxicity
 from tests.llm import plain
@@ -72,6 +75,30 @@ def test_keys_beside_allowed_text_are_found():
     assert {secrets.Scanner().kind(k) for _, k, _ in scan("x 04dbebab91ab85687d33eeaaf9ac699e1188f962 y")} == {"entropy_hex"}
 
 
+def test_long_candidates_take_linear_time():
+    r = random.Random(8)
+    key = lambda: "".join(r.choices(string.ascii_letters + string.digits, k=30))
+    scanner = secrets.Scanner()
+    for text in ("-".join(f"sample-{key()}" for _ in range(26_000)), " ".join(f"https://x.org/{key()}" for _ in range(22_000)), "/".join(key() for _ in range(32_000))):
+        started = time.time()
+        scanner.entropy(text)
+        assert len(text) > 900_000 and time.time() - started < 20
+    rule, _, groups = scanner._ready[1]
+    for _ in range(200):
+        piece = "".join(r.choices(string.ascii_letters + string.digits, k=r.randint(24, 120)))
+        allowed = [(a, a + r.randint(0, 20)) for a in r.choices(range(-5, len(piece)), k=r.randint(0, 5))]
+        free = [(a, b) for a, b in secrets.high_windows(piece, rule, groups)]
+        places = {(i, i + rule.window) for a, b in free for i in range(a, b - rule.window + 1) if secrets.high_windows(piece[i : i + rule.window], rule, groups)}
+        kept = sorted((a, b) for a, b in places if not any(x < b and a < y for x, y in allowed if x < y))
+        assert {i for a, b in secrets.high_windows(piece, rule, groups, allowed) for i in range(a, b)} == {i for a, b in kept for i in range(a, b)}
+
+
+def test_secrets_of_no_rows(spark):
+    nothing = plain.fixture(spark, [])
+    assert secrets.scan_secrets(nothing).collect() == [] and secrets.redact_secrets(nothing).collect() == []
+    assert token_counts.count_tokens(nothing).collect() == []
+
+
 def test_secrets_are_masked(spark):
     out = {r.id: r for r in secrets.redact_secrets(plain.fixture(spark)).collect()}
     rows = plain.texts()
@@ -180,6 +207,45 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_long_items(spark):
+    """An item of 12 000 words, in a document with words around it, and with a tenth of its words edited in another."""
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    item = r.choices(words, k=12_000)
+    edited = [r.choice(words) if r.random() < 0.1 else w for w in item]
+    docs = plain.fixture(spark, [(1, " ".join(["before"] * 50 + item + ["after"] * 50)), (2, " ".join(edited)), (3, " ".join(r.choices(words, k=20_000)))])
+    bench = spark.createDataFrame([(9, " ".join(item), "x"), (9, "other words under the same name", "y"), (None, None, "z")], "item_id long, text string, said string")
+    keys = decontaminate.item_keys(bench.select(F.col("item_id").alias("item"), F.coalesce("text", F.lit("")).alias("text"), F.lit(1).cast("bigint").alias("said")), 1)
+    assert "text" not in keys.columns
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert [(e.item_words, e.distance, e.start_word) for e in found if e.doc_id == 1] == [(12_000, 0, 50)]
+    assert {e.doc_id for e in found} == {1, 2}
+
+
+@pytest.mark.parametrize("length", [5, 8, 12, 20, 40, 70, 150, 300])
+def test_a_fifth_of_the_words_may_be_edited(spark, length):
+    """At the operator's own limit, nine of ten edited passages are found, whatever their length."""
+    r = random.Random(length)
+    words = [f"w{k}" for k in range(4000)]
+    items, docs = [], []
+    for i in range(40):
+        item = r.choices(words, k=length)
+        copy = list(item)
+        for _ in range(int(0.2 * length)):
+            place = r.randrange(len(copy))
+            kind = r.choice(("put", "drop", "change"))
+            if kind == "put":
+                copy.insert(place, r.choice(words))
+            elif kind == "drop" and len(copy) > 2:
+                del copy[place]
+            else:
+                copy[place] = r.choice(words)
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(r.choices(words, k=60) + copy + r.choices(words, k=60))))
+    found = {(e.doc_id, e.item_id) for e in decontaminate.find_leaks(plain.fixture(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(found & {(i, i) for i in range(40)}) >= 36
+
+
 def test_quality(spark):
     r = random.Random(5)
     say = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(n))
