@@ -304,6 +304,13 @@ def _both_ends(content: Column, limit: int, marker: str) -> Column:
     return F.when(F.octet_length(raw) > limit, F.concat(text(F.substring(raw, F.lit(1), F.lit(half))), F.lit(marker), text(tail))).otherwise(content)
 
 
+# How a shell observation reads, and what stands where a text was cut.
+EXIT_LINE, OUTPUT_LINE, COMMAND_LINE, NO_EXIT = "Exit: ", "Output:", "Command:", "None"
+TAIL_CUT = "[shell output truncated; tail follows]"
+OUTPUT_CUT = "[shell output middle truncated]"
+TASK_CUT = "[task middle truncated]"
+
+
 def render_log(records: DataFrame, keys: Sequence[str], order: str, max_bytes: int, piece: Column) -> DataFrame:
     """Step-log records as chat messages with their JSON size.
 
@@ -315,18 +322,18 @@ def render_log(records: DataFrame, keys: Sequence[str], order: str, max_bytes: i
     linked = with_neighbour(spoken, keys, order, {"__call": "call_id", "__call_at": order}, piece, back=True)
     is_shell = F.col("kind") == "shell-output"
     paired = is_shell & F.col("__call").isNotNull()
-    exit_text = F.concat(F.lit("Exit: "), F.coalesce(F.col("exit_code").cast("string"), F.lit("None")), F.lit("\nOutput:\n"))
-    raw_shell = F.concat(F.lit("Command:\n"), F.coalesce("command", F.lit("")), F.lit("\n"), exit_text, F.col("content"))
+    exit_text = F.concat(F.lit(EXIT_LINE), F.coalesce(F.col("exit_code").cast("string"), F.lit(NO_EXIT)), F.lit(f"\n{OUTPUT_LINE}\n"))
+    raw_shell = F.concat(F.lit(f"{COMMAND_LINE}\n"), F.coalesce("command", F.lit("")), F.lit("\n"), exit_text, F.col("content"))
     raw_bytes = F.encode(raw_shell, "utf-8")
     tail = F.make_valid_utf8(F.substring(raw_bytes, F.octet_length(raw_bytes) - limit + 1, F.lit(limit)).cast("string"))
-    loose = F.when(F.octet_length(raw_bytes) > limit, F.concat(F.lit("[shell output truncated; tail follows]\n"), tail)).otherwise(raw_shell)
-    result = F.concat(exit_text, _both_ends(F.col("content"), limit, "\n[shell output middle truncated]\n"))
+    loose = F.when(F.octet_length(raw_bytes) > limit, F.concat(F.lit(f"{TAIL_CUT}\n"), tail)).otherwise(raw_shell)
+    result = F.concat(exit_text, _both_ends(F.col("content"), limit, f"\n{OUTPUT_CUT}\n"))
     newest = first_rows(spoken.where(F.col("kind") == "prompt").select(*keys, order), keys, [F.desc(order)], 2)
     prompts = newest.withColumn("required", F.lit(True))
     marked = linked.join(prompts, [*keys, order], "left").withColumn("required", F.coalesce("required", F.lit(False)))
     content = (
         F.when(paired, result).when(is_shell, loose)
-        .when(F.col("required"), _both_ends(F.col("content"), limit, "\n[task middle truncated]\n"))
+        .when(F.col("required"), _both_ends(F.col("content"), limit, f"\n{TASK_CUT}\n"))
         .otherwise(F.col("content"))
     )
     role = F.when(paired, "tool").when(F.col("kind").isin("prompt", "shell-output"), "user").otherwise("assistant")
