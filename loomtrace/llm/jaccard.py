@@ -9,20 +9,19 @@ many copies of one text cost blocks of rows and not pairs of rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import CHUNK_BYTES, Words, chunks, mix, no_text, texts_of, whole, windows, words_of, written
 
-#: Sampled sets for the list of frequent tokens, and its length; rows per block of a group's members and queries.
-SAMPLE, FREQUENT = 20_000, 200_000
+#: Places of the table that counts the tokens of all rows, and how many of them travel together; rows per block of a group's members and queries.
+PLACES, TOGETHER = 1 << 21, 1 << 16
 MEMBERS, QUERIES = 512, 1_000
 FILTER_BITS = 26
 
@@ -57,29 +56,46 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _frequent(docs: DataFrame, width: int, sample: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in several sampled sets with their counts. Any order of tokens gives right results, so a sample is enough."""
-    share = min(1.0, sample / max(docs.count(), 1))
-    chosen = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+def token_loads(docs: DataFrame, width: int) -> np.ndarray:
+    """How often the tokens of all rows fall on each place of a table of fixed size, in sixths of a power of two.
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A token's place is its lowest bits, so a place's count bounds its tokens' counts from above. Every row is counted; a task
+    sends one table and the driver gets one byte per place.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = np.zeros(PLACES, np.int64)
         for batch in batches:
             for piece in chunks(batch, "text"):
                 sets = shingle_sets(words_of(texts_of(piece.column("text")), lower=True), width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+                loads += np.bincount((np.concatenate(sets) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+        if loads.any():
+            compressor = zstandard.ZstdCompressor()
+            packed = [compressor.compress(part.tobytes()) for part in loads.reshape(-1, TOGETHER)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], ["part", "loads"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("loads").to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(opener.decompress(packed), np.int64)
+        levels = [np.floor(6 * np.log2(1 + loads)).astype(np.uint8).tobytes() for loads in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "loads"])
 
-    counts = chosen.select("text").mapInArrow(tokens, "token long").groupBy("token").count().where("count >= 3")
-    top = counts.orderBy(F.desc("count"), "token").limit(length).toPandas()
-    order = np.argsort(top["token"].to_numpy(np.int64).view(np.uint64))
-    return top["token"].to_numpy(np.int64).view(np.uint64)[order], top["count"].to_numpy(np.int64)[order]
+    tables = docs.select("text").mapInArrow(count, "part int, loads binary").repartition("part")
+    out = np.zeros((PLACES // TOGETHER, TOGETHER), np.uint8)
+    for row in tables.mapInArrow(add, "part int, loads binary").collect():
+        out[row["part"]] = np.frombuffer(row["loads"], np.uint8)
+    return out.ravel()
 
 
-def sketches(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def sketches(docs: DataFrame, width: int, percent: int, loads: np.ndarray) -> DataFrame:
     """Per row: id, digest of the text, set size, node (digest of the set), the prefix (its rarest tokens) and the tokens' bitmap."""
-    listed = docs.sparkSession.sparkContext.broadcast(frequent)
+    listed = docs.sparkSession.sparkContext.broadcast(loads)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = listed.value
+        load = listed.value
         for batch in batches:
             for piece in chunks(batch, "text"):
                 sizes, nodes, prefixes, bits = [], [], [], []
@@ -87,11 +103,10 @@ def sketches(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarr
                     n = len(tokens)
                     sizes.append(n)
                     nodes.append(np.int64(mix(np.array([mix(tokens ^ np.uint64(n)).sum(dtype=np.uint64)])).view(np.int64)[0]) if n else None)
-                    place = np.searchsorted(known, tokens)
-                    place[place == len(known)] = 0
-                    often = np.where(known[place] == tokens, counts[place], 0) if len(known) else np.zeros(n, np.int64)
                     bits.append(token_bits(tokens) if n else None)
-                    prefixes.append(tokens[np.lexsort((tokens, often))[: n - needed(n, percent) + 1 if n else 0]].view(np.int64))
+                    # Tokens are sorted and the sort is stable: by load, then by token.
+                    rare = np.argsort(load[(tokens & np.uint64(PLACES - 1)).astype(np.int64)], kind="stable")
+                    prefixes.append(tokens[rare[: n - needed(n, percent) + 1 if n else 0]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("id"), piece.column("said"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
                     ["id", "said", "n_shingles", "node", "prefix", "bits"],
@@ -100,33 +115,25 @@ def sketches(docs: DataFrame, width: int, percent: int, frequent: tuple[np.ndarr
     return docs.mapInArrow(sketch, f"id {docs.schema['id'].dataType.simpleString()}, said long, n_shingles long, node long, prefix array<long>, bits binary")
 
 
-def _only(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of `docs` (id, said, ...) that can be among those of `nodes`: a filter of fixed size (8 MB) spares the others the shuffle."""
+def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, said, packed) of the rows of `docs` that can be among those of `wanted` (id, said): a filter of fixed size (8 MB) spares
+    the others the shuffle. Texts go through it as zstandard frames, less than half of what the shuffle's own packing leaves."""
     slot = F.shiftrightunsigned(F.xxhash64("id", "said"), 64 - FILTER_BITS)
-    bits = nodes.groupBy(F.shiftright(slot, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))).alias("bits"))
+    bits = wanted.groupBy(F.shiftright(slot, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int"))).alias("bits"))
     found = bits.toPandas()
     table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     table[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def maybe(slots: pd.Series) -> pd.Series:
-        s = slots.to_numpy(np.int64)
-        return pd.Series(((shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & np.uint32(1)).astype(bool))
-
-    return docs.where(maybe(slot))
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """(id, said, packed): texts go through a shuffle as zstandard frames, less than half of what the shuffle's own packing leaves."""
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor, table = zstandard.ZstdCompressor(level=3), shared.value
         for batch in batches:
+            s = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((table[s >> 5] >> (s & 31).astype(np.uint32) & np.uint32(1)).astype(bool)))
             packed = [compressor.compress(text.encode()) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("said"), pa.array(packed, pa.binary())], ["id", "said", "packed"])
 
-    return docs.select("id", "said", "text").mapInArrow(pack, f"id {docs.schema['id'].dataType.simpleString()}, said long, packed binary")
+    return docs.select("id", "said", "text", slot.alias("slot")).mapInArrow(pack, f"id {docs.schema['id'].dataType.simpleString()}, said long, packed binary")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -159,6 +166,12 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return out
 
 
+def _unions(bits: Sequence[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of a block's members in `size` bytes, one per row, and their union."""
+    matrix = np.stack([folded(b, size) for b in bits])
+    return matrix, np.bitwise_or.reduce(matrix)
+
+
 def blocks(members: DataFrame, queries: DataFrame) -> DataFrame:
     """Members (kind 0) and queries (kind 1, or 2 in their own group) of each group, cut into blocks that all meet.
 
@@ -182,7 +195,9 @@ def qualifying(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Queries (rows of `placed`) that a block of their group may hold a similar set for, and those sets' rows.
 
     The matrix keeps token unions as bitmaps. Bits of the query that the union lacks are tokens that no member has, which
-    bounds the overlap. Where the union's bound is met, the members' own bitmaps bound each similarity from both sides.
+    bounds the overlap. Where the union's bound is met, the bitmaps of members of a fitting size bound each similarity from
+    both sides. Members are kept by the length of their bitmaps: folded to that of a much smaller set, a bitmap would be full
+    and rule nothing out.
     """
     rows = placed.join(nodes.select("node", "n", "component", "bits"), "node").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "kind")
 
@@ -190,33 +205,42 @@ def qualifying(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
         group: tuple | None = None
         members: list[tuple] = []
         asked: set[int] = set()
-        columns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+        columns: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             out: list[tuple] = []
             for *key, kind, node, n, component, bits in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 if tuple(key) != group:
-                    group, members, asked, columns = tuple(key), [], set(), {}
+                    group, members, asked, lengths, columns = tuple(key), [], set(), None, {}
                 if kind == 0:
-                    members.append((node, n, component, bits))
-                    continue
-                if not members:
+                    members.append((len(bits), n, node, component, bits))
                     continue
-                size = min(len(bits), min(len(m[3]) for m in members))
-                if size not in columns:
-                    matrix = np.stack([folded(m[3], size) for m in members])
-                    columns[size] = matrix, np.bitwise_or.reduce(matrix)
-                matrix, union = columns[size]
-                mine = folded(bits, size)
-                if n - int(np.bitwise_count(mine & ~union).sum()) < needed(n, percent):
-                    continue
-                names, sizes, theirs = (np.array([m[i] for m in members]) for i in range(3))
-                shared = np.minimum(n - np.bitwise_count(mine & ~matrix).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(matrix & ~mine).sum(axis=1, dtype=np.int64))
-                near = (100 * shared >= percent * (n + sizes - shared)) & (theirs != component)
-                near = np.flatnonzero(near & ((kind == 1) | (names < node)))
-                if len(near):
-                    out.append((*key, kind, node))
+                if lengths is None:
+                    members.sort(key=lambda m: m[:2])
+                    cut = {length: [m for m in members if m[0] == length] for length in {m[0] for m in members}}
+                    lengths = {length: tuple(np.array([m[i] for m in those], np.int64) for i in (1, 2, 3)) for length, those in cut.items()}
+                    columns = {(length, length): _unions([m[4] for m in those], length) for length, those in cut.items()}
+                found = False
+                for length, (sizes, names, theirs) in lengths.items():
+                    a, b = np.searchsorted(sizes, needed(n, percent)), np.searchsorted(sizes, n * 100 // percent, side="right")
+                    if a == b:
+                        continue
+                    size = min(length, len(bits))
+                    if (length, size) not in columns:
+                        columns[length, size] = _unions(columns[length, length][0], size)
+                    matrix, union = columns[length, size]
+                    mine = folded(bits, size)
+                    if n - int(np.bitwise_count(mine & ~union).sum()) < needed(n, percent):
+                        continue
+                    matrix, sizes, names, theirs = matrix[a:b], sizes[a:b], names[a:b], theirs[a:b]
+                    shared = np.minimum(n - np.bitwise_count(mine & ~matrix).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(matrix & ~mine).sum(axis=1, dtype=np.int64))
+                    near = (100 * shared >= percent * (n + sizes - shared)) & (theirs != component)
+                    near = np.flatnonzero(near & ((kind == 1) | (names < node)))
+                    found |= len(near) > 0
                     out += [(*key, 0, int(name)) for name in names[near] if name not in asked]
                     asked.update(names[near])
+                if found:
+                    out.append((*key, kind, node))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
             made = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, kinds, strict=True)], [*BLOCK, "kind", "node"])
@@ -233,7 +257,7 @@ def open_groups(docs: DataFrame, nodes: DataFrame, members: DataFrame, queries:
     placed = written(blocks(members, queries), "blocks")
     asking = written(qualifying(nodes, placed, percent), "qualifying")
     rows = written(asking.join(nodes.select("node", "id", "said", "component"), "node"), "probes")
-    texts = _packed(_only(docs, rows.select("id", "said").distinct())).withColumnsRenamed({"id": "__id", "said": "__said"})
+    texts = _packed(docs, rows.select("id", "said")).withColumnsRenamed({"id": "__id", "said": "__said"})
     placed = rows.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("said") == F.col("__said"))).select(*BLOCK, "kind", "node", "component", "packed").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "kind", "node")
 
     def open_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +292,7 @@ def ask(docs: DataFrame, reps: DataFrame, shared: DataFrame, homes: DataFrame, l
     """
     nodes = reps.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = written(nodes, "components")
-    placed = shared.select("token", "node").join(nodes.select("node", "n", "component"), "node").join(homes, "node")
+    placed = shared.select("token", "node", "n").join(nodes.select("node", "component").join(homes, "node"), "node")
     open_lists = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
     placed = written(placed.join(open_lists, "token"), "open-lists")
     listed = placed.select("node", "grp").distinct()
@@ -285,31 +309,29 @@ def ask(docs: DataFrame, reps: DataFrame, shared: DataFrame, homes: DataFrame, l
 def _resolved(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Per input row: id, digest of its text, set size, and a name of its component (null without words)."""
     picked = docs.select(docs[id_col].alias("id"), no_text(text_col).alias("text")).withColumn("said", F.xxhash64("text"))
-    rows = written(sketches(picked, width, percent, _frequent(picked, width, SAMPLE, FREQUENT)), "sketches")
+    rows = written(sketches(picked, width, percent, token_loads(picked, width)), "sketches")
     # A set's text is fetched by the id and text of one of its rows; copies without an id are one row there.
     picked = picked.where("id is not null").unionByName(picked.where("id is null").dropDuplicates(["said"]))
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "said")).alias("one")
-    reps = rows.where("node is not null").groupBy("node").agg(one, F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
-    reps = written(reps.select("node", "one.id", "one.said", "n", "bits"), "nodes")
-    prefixes = rows.where("node is not null").select("node", F.explode("prefix").alias("token")).distinct()
+    firsts = [F.first(c).alias(name) for c, name in (("n_shingles", "n"), ("bits", "bits"), ("prefix", "prefix"))]
+    nodes = written(rows.where("node is not null").groupBy("node").agg(one, *firsts).select("node", "one.id", "one.said", "n", "bits", "prefix"), "nodes")
+    reps = nodes.drop("prefix")
+    prefixes = nodes.select("node", "n", F.explode("prefix").alias("token"))
     # Only a count and a maximum per token meet, never a token's list. A list is led by the node that shares most: among copies
     # of one text with edits of their own, that is the text itself or the one nearest to it.
     lists = prefixes.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
     several = written(prefixes.join(lists, "token"), "several")
     weight = several.groupBy("node").agg(F.sum("rows").alias("weight"))
-    weighed = several.select("token", "node").join(weight, "node")
-    leads = weighed.groupBy("token").agg(F.max(F.struct("weight", "node")).alias("lead")).select("token", F.col("lead.node").alias("leader"))
-    shared = written(several.select("token", "node").join(leads, "token"), "shared")
-    sizes = reps.select("node", "n")
-    stars = shared.where("node <> leader").select("node", F.col("leader").alias("grp")).distinct()
-    fits = (F.least("n", "m") * 100) >= (F.greatest("n", "m") * percent)
-    stars = stars.join(sizes, "node").join(sizes.select(F.col("node").alias("grp"), F.col("n").alias("m")), "grp").where(fits)
-    stars = written(stars.select("node", "grp", F.lit(False).alias("own")), "stars")
+    leads = several.select("token", "node", "n").join(weight, "node").groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("lead"))
+    shared = written(several.select("token", "node", "n").join(leads, "token"), "shared")
+    fits = (F.least("n", "lead.n") * 100) >= (F.greatest("n", "lead.n") * percent)
+    stars = shared.where("node <> lead.node").where(fits).select("node", F.col("lead.node").alias("grp"), F.lit(False).alias("own")).distinct()
+    stars = written(stars, "stars")
     leaders = stars.select(F.col("grp").alias("node"), "grp").distinct()
     first = written(open_groups(picked, reps.withColumn("component", F.col("node")), leaders, stars, width, percent), "round-one")
     # From here on a group is what one node leads: its copies, linked or not.
-    homes = shared.join(weight.select(F.col("node").alias("leader"), "weight"), "leader").groupBy("node")
-    homes = written(homes.agg(F.max(F.struct("weight", "leader")).alias("home")).select("node", F.col("home.leader").alias("grp")), "homes")
+    homes = shared.groupBy("node").agg(F.max(F.struct("lead.weight", F.col("lead.node").alias("grp"))).alias("home"))
+    homes = written(homes.select("node", "home.grp"), "homes")
     links = ask(picked, reps, shared, homes, first, True, width, percent)
     links = ask(picked, reps, shared, homes, links, False, width, percent)
     named = written(rows.where("node is not null").select("id", "node").distinct(), "named")

@@ -120,3 +120,26 @@ def test_many_copies_without_an_id(spark):
     rows = [(None, "one two three four five six")] * 400 + [(7, "one two three four five six seven eight nine ten"), (None, "1 2 3 4 5")]
     kept = jaccard.keep_one(plain.fixture(spark, rows)).collect()
     assert sorted((r.doc_id is None, r.text) for r in kept) == [(False, rows[400][1]), (True, "1 2 3 4 5"), (True, rows[0][1])]
+
+
+def test_loads_count_the_tokens_of_every_row(spark):
+    import numpy as np
+
+    rows = [(k, " ".join(f"w{(k * k + i) % 97}" for i in range(5 + k % 40))) for k in range(500)]
+    sets = [jaccard.shingle_sets(jaccard.words_of(jaccard.texts_of(jaccard.pa.array([text])), lower=True), 3)[0] for _, text in rows]
+    counts = np.bincount((np.concatenate(sets) & np.uint64(jaccard.PLACES - 1)).astype(np.int64), minlength=jaccard.PLACES)
+    loads = jaccard.token_loads(plain.fixture(spark, rows).repartition(7), 3)
+    assert (loads == np.floor(6 * np.log2(1 + counts))).all() and loads.max() > 6
+
+
+def test_a_small_set_in_a_block_opens_no_others(spark):
+    """A bitmap folded to that of a small set is full: sets of one size in its block would all seem similar."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    tokens = [r.integers(0, 2**63, n).astype(np.uint64) for n in (4, 2000, 2000, 1990)]
+    tokens.append(np.concatenate([tokens[2][:1960], tokens[3][:40]]))
+    nodes = spark.createDataFrame([(k, len(t), k, jaccard.token_bits(t)) for k, t in enumerate(tokens)], "node long, n long, component long, bits binary")
+    placed = spark.createDataFrame([(9, 0, 0, kind, node) for kind, node in ((0, 0), (0, 1), (0, 2), (1, 3), (1, 4))], "grp long, mb int, qb int, kind int, node long")
+    out = sorted((row.kind, row.node) for row in jaccard.qualifying(nodes, placed, 90).collect())
+    assert out == [(0, 2), (1, 4)]
