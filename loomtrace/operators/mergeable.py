@@ -29,11 +29,12 @@ def _cell(part: str, name: str | Column, value: Column, n: Column, amount: Colum
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """The cells of feature rows: (part, name, value, n, sum, sum_squares, min, max), in one scan and one shuffle.
+    """The cells of feature rows: (part, name, value, n, sum, sum_squares, min, max).
 
     Parts: `counter` (value is empty), `distribution` (value), `series` (value is the size class; the sums belong to it), `digest`
     (name is `content` or the kind of a source group, value the digest) and `instant` (name is the second, value the microsecond, n
-    the change in open calls).
+    the change in open calls). Digests and instants are nearly as many as the rows: they are counted apart from the cells that many
+    rows share, so that those always fit a task's memory, and without the sums that only series have.
     """
     one, none = F.lit(1), F.lit(None)
     empty = F.lit("")
@@ -44,21 +45,33 @@ def cells(rows: DataFrame) -> DataFrame:
     for name in stats.SERIES:
         value = F.col(name).cast("bigint")
         found.append(_cell("series", name, sf.power_of_two_bucket(name), F.when(value >= 0, one).otherwise(none), value))
-    found.append(_cell("digest", "content", F.col("content_sha256"), F.when(F.col("content_sha256").isNotNull(), one)))
-    found.append(_cell("digest", F.col("source_group_kind"), F.col("source_group_sha256"), one))
-    for moment, change in (("started_at", 1), ("completed_at", -1)):
-        at = F.unix_micros(F.col(moment).cast("timestamp"))
-        found.append(_cell("instant", stats.second_of(at).cast("string"), at, F.when(at.isNotNull(), F.lit(change))))
     several = F.transform("modalities", lambda m: _cell("distribution", "modalities", m, F.lit(1)))
     unfolded = rows.select(F.inline(F.concat(F.array(*found), F.coalesce(several, F.array().cast(f"array<{_CELL_TYPE}>"))))).where("n IS NOT NULL")
     exact = F.col("amount").cast("decimal(19,0)")
-    return unfolded.groupBy(*CELL).agg(
+    shared = unfolded.groupBy(*CELL).agg(
         F.sum("n").alias("n"),
         F.sum(F.col("amount").cast("decimal(38,0)")).cast("decimal(38,0)").alias("sum"),
         F.sum(exact * exact).cast("decimal(38,0)").alias("sum_squares"),
         F.min("amount").alias("min"),
         F.max("amount").alias("max"),
     )
+    digests = [
+        _cell("digest", "content", F.col("content_sha256"), F.when(F.col("content_sha256").isNotNull(), one)),
+        _cell("digest", F.col("source_group_kind"), F.col("source_group_sha256"), one),
+    ]
+    instants = []
+    for moment, change in (("started_at", 1), ("completed_at", -1)):
+        at = F.unix_micros(F.col(moment).cast("timestamp"))
+        instants.append(_cell("instant", stats.second_of(at).cast("string"), at, F.when(at.isNotNull(), F.lit(change))))
+    return shared.unionByName(_counted(rows, "digest", digests, shared)).unionByName(_counted(rows, "instant", instants, shared))
+
+
+def _counted(rows: DataFrame, part: str, found: Sequence[Column], like: DataFrame) -> DataFrame:
+    """Cells of one part that have a count and nothing else, with the columns of `like`."""
+    counted = rows.select(F.inline(F.array(*found))).where("n IS NOT NULL").groupBy("name", "value").agg(F.sum("n").alias("n"))
+    return counted.select(
+        F.lit(part).alias("part"), "name", "value", "n", *[F.lit(None).cast(like.schema[c].dataType).alias(c) for c in ("sum", "sum_squares", "min", "max")]
+    )
 
 
 _CELL_TYPE = "struct<part:string,name:string,value:string,n:bigint,amount:bigint>"

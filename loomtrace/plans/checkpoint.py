@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import mergeable, stats
+from ..session import ensure_checkpoint_dir
+
+
+def _written(table: DataFrame, path: str) -> DataFrame:
+    table.write.mode("overwrite").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
 @dataclass
@@ -27,9 +34,19 @@ class Checkpoint:
         cells = mergeable.add_cells(self.cells.unionByName(delta.cells))
         return Checkpoint(cells, mergeable.add_seconds(self.seconds, delta.seconds, cells))
 
+    def stored(self, folder: str) -> Checkpoint:
+        """The same, written to the folder. Cells are written once, and the seconds are worked out from what was written."""
+        cells = _written(self.cells, f"{folder}/cells")
+        return Checkpoint(cells, _written(mergeable.seconds(cells), f"{folder}/seconds"))
+
     def stored_once(self) -> Checkpoint:
         """The same, written to the checkpoint folder, so that its parts can be read without working it out again."""
-        return Checkpoint(self.cells.checkpoint(), self.seconds.checkpoint())
+        return self.stored(f"{ensure_checkpoint_dir(self.cells.sparkSession).rstrip('/')}/cells-{uuid.uuid4().hex}")
+
+    def merged_into(self, delta: Checkpoint, folder: str) -> Checkpoint:
+        """The checkpoint of both, written to the folder; cells are added up once."""
+        cells = _written(self.merge(delta).cells, f"{folder}/cells")
+        return Checkpoint(cells, _written(mergeable.add_seconds(self.seconds, delta.seconds, cells), f"{folder}/seconds"))
 
     @property
     def counters(self) -> DataFrame:
