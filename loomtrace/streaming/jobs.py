@@ -121,11 +121,16 @@ class CheckpointStream:
             chosen = f"{self.folder}/chosen/{following}"
             lowest(pending.select("key"), following - reached).write.mode("overwrite").parquet(chosen)
             keys = spark.read.parquet(chosen)
-            delta = cp.Checkpoint.of(pending.join(keys, "key", "left_semi"))
-            whole = self.read(spark, reached).merge(delta) if reached else delta
-            for part, table in zip(PARTS, (whole.cells, whole.seconds, keys), strict=True):
-                table.write.mode("overwrite").parquet(self._place(following, part))
-            pending, reached = pending.join(keys, "key", "left_anti"), following
+            # The chosen keys are the lowest, so the highest of them parts the pending rows; a row without a key stays.
+            taken = F.coalesce(F.col("key") <= F.lit(keys.agg(F.max("key")).first()[0]), F.lit(False))
+            delta = cp.Checkpoint.of(pending.where(taken))
+            place = f"{self.folder}/checkpoints/{following}"
+            if reached:
+                self.read(spark, reached).merged_into(delta.stored(f"{self.folder}/deltas/{following}"), place)
+            else:
+                delta.stored(place)
+            keys.write.mode("overwrite").parquet(self._place(following, "keys"))
+            pending, reached = pending.where(~taken), following
         pending.write.mode("overwrite").parquet(self._batch("left", batch_id))
         return reached
 

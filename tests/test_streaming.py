@@ -212,3 +212,27 @@ def test_quiet_groups_are_closed_and_late_rows_are_told(spark, tmp_path):
     assert {("a", 1, 2, None, "first"), ("a", 2, 3, "x", "first"), ("a", 1, 2, None, "closed"), ("a", 2, 3, "x", "closed"), ("b", 1, 1, "y", "closed")} <= got
     assert ("a", None, 1, "w", "late") in got and ("d", 1, None, "n", "first") in got and (None, 1, 5, "z", "first") in got
     assert {(r["g"], r["t"]) for r in job.read(spark).where("g is not null").collect()} == {("a", 2), ("a", 3), ("b", 1), ("d", None)}
+
+
+def test_a_stored_checkpoint_works_its_rows_out_once(spark, rows, tmp_path):
+    some = rows.limit(200).localCheckpoint()
+    seen = spark.sparkContext.accumulator(0)
+
+    def moment(text):
+        seen.add(1)
+        return text
+
+    told = F.udf(moment, "string")(F.col("completed_at").cast("string")).cast("timestamp")
+    half = cp.Checkpoint.of(some.withColumn("completed_at", told).where("event_id % 2 = 0")).stored_once()
+    assert whole(half) == whole(cp.Checkpoint.of(some.where("event_id % 2 = 0")))
+    assert seen.value == some.where("event_id % 2 = 0").count()
+    other = cp.Checkpoint.of(some.where("event_id % 2 = 1")).stored(str(tmp_path / "other"))
+    assert whole(half.merged_into(other, str(tmp_path / "both"))) == whole(cp.Checkpoint.of(some))
+
+
+def test_a_pending_row_without_a_key_stays(spark, rows, tmp_path):
+    job = jobs.CheckpointStream(str(tmp_path / "state"), thresholds=(10, 20, 100_000))
+    job.on_batch(rows.limit(30).unionByName(rows.limit(1).withColumn("key", F.lit(None).cast("string"))), 0)
+    assert job.reached(spark) == [10, 20]
+    left = spark.read.parquet(f"{tmp_path}/state/left/0")
+    assert left.count() == 31 - job.processed(spark).count() and left.where("key is null").count() == 1
