@@ -64,11 +64,12 @@ def token_loads(docs: DataFrame, width: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loads = np.zeros(PLACES, np.int64)
+        loads = np.zeros(PLACES, np.uint32)
         for batch in batches:
             for piece in chunks(batch, "text"):
                 sets = shingle_sets(words_of(texts_of(piece.column("text")), lower=True), width)
-                loads += np.bincount((np.concatenate(sets) & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES)
+                for tokens in sets:
+                    np.add.at(loads, (tokens & np.uint64(PLACES - 1)).astype(np.int64), np.uint32(1))
         if loads.any():
             compressor = zstandard.ZstdCompressor()
             packed = [compressor.compress(part.tobytes()) for part in loads.reshape(-1, TOGETHER)]
@@ -79,7 +80,7 @@ def token_loads(docs: DataFrame, width: int) -> np.ndarray:
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
             for part, packed in zip(batch.column("part").to_pylist(), batch.column("loads").to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(opener.decompress(packed), np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(opener.decompress(packed), np.uint32).astype(np.int64)
         levels = [np.floor(6 * np.log2(1 + loads)).astype(np.uint8).tobytes() for loads in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "loads"])
 
