@@ -9,6 +9,7 @@ many copies of one text cost blocks of rows and not pairs of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import CHUNK_BYTES, Words, chunks, mix, no_text, texts_of, whole, windows, words_of, written
+from .shared import CHUNK_BYTES, Words, chunks, few_tasks, mix, no_text, texts_of, whole, windows, words_of, written
 
 #: Places of the table that counts the tokens of all rows, and how many of them travel together; rows per block of a group's members and queries.
 PLACES, TOGETHER = 1 << 21, 1 << 16
 MEMBERS, QUERIES = 512, 1_000
 FILTER_BITS = 26
+BLOCK = ["grp", "mb", "qb"]
 
 
 def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
@@ -178,18 +180,14 @@ def blocks(members: DataFrame, queries: DataFrame) -> DataFrame:
 
     No task needs more than a block of members at once, and a crowded group is dealt to many tasks.
     """
-    sizes = queries.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("qs")).join(
-        members.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("ms")), "grp"
-    )
-    part = F.xxhash64("node", F.lit(13))
-    ranks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    inside = members.join(sizes, "grp").select("grp", F.pmod(part, "ms").cast("int").alias("mb"), ranks("qs").alias("qb"), F.lit(0).alias("kind"), "node")
     kind = F.when(F.col("own"), 2).otherwise(1).alias("kind")
-    asking = queries.join(sizes, "grp").select("grp", ranks("ms").alias("mb"), F.pmod(part, "qs").cast("int").alias("qb"), kind, "node")
-    return inside.unionByName(asking)
-
-
-BLOCK = ["grp", "mb", "qb"]
+    rows = members.select("grp", F.lit(0).alias("kind"), "node").unionByName(queries.select("grp", kind, "node"))
+    blocks_of = lambda those, size: F.ceil(F.count_if(those) / size).cast("int")
+    sizes = rows.groupBy("grp").agg(blocks_of(F.col("kind") > 0, QUERIES).alias("qs"), blocks_of(F.col("kind") == 0, MEMBERS).alias("ms")).where("qs > 0 and ms > 0")
+    part = F.xxhash64("node", F.lit(13))
+    one, every = lambda n: F.array(F.pmod(part, n).cast("int")), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    placed = rows.join(sizes, "grp").withColumn("mb", F.explode(F.when(F.col("kind") == 0, one("ms")).otherwise(every("ms"))))
+    return placed.withColumn("qb", F.explode(F.when(F.col("kind") > 0, one("qs")).otherwise(every("qs")))).select(*BLOCK, "kind", "node")
 
 
 def qualifying(nodes: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
@@ -255,8 +253,7 @@ def open_groups(docs: DataFrame, nodes: DataFrame, members: DataFrame, queries:
     Only qualifying queries open their block; then texts are fetched and sets compared. A query takes one link to each
     component of `nodes` and none to its own, as more would say nothing new; in its own group it looks at smaller nodes only.
     """
-    placed = written(blocks(members, queries), "blocks")
-    asking = written(qualifying(nodes, placed, percent), "qualifying")
+    asking = written(qualifying(nodes, blocks(members, queries), percent), "qualifying")
     rows = written(asking.join(nodes.select("node", "id", "said", "component"), "node"), "probes")
     texts = _packed(docs, rows.select("id", "said")).withColumnsRenamed({"id": "__id", "said": "__said"})
     placed = rows.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("said") == F.col("__said"))).select(*BLOCK, "kind", "node", "component", "packed").repartition(*BLOCK).sortWithinPartitions(*BLOCK, "kind", "node")
@@ -285,28 +282,44 @@ def open_groups(docs: DataFrame, nodes: DataFrame, members: DataFrame, queries:
     return placed.mapInArrow(open_them, "a long, b long")
 
 
-def ask(docs: DataFrame, reps: DataFrame, shared: DataFrame, homes: DataFrame, links: DataFrame, own: bool, width: int, percent: int) -> DataFrame:
-    """The links so far and those that nodes find in their own group, or in the other groups of their lists.
+def ask(docs: DataFrame, reps: DataFrame, shared: DataFrame, homes: DataFrame, links: DataFrame, listings: int, width: int, percent: int) -> DataFrame:
+    """The links so far and those that nodes find in their own group and in the other groups of their lists.
 
     Lists whose nodes are all linked are done with. A node asks groups that hold nodes of its size in a list of its own, and is
-    compared with nodes of other components only; the own groups come first, as they join most components.
+    compared with nodes of other components only. `listings` is the number of rows of `shared`.
     """
-    nodes = reps.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    nodes = written(nodes, "components")
-    placed = shared.select("token", "node", "n").join(nodes.select("node", "component").join(homes, "node"), "node")
+    linked = components(links)
+    component = F.coalesce("component", "node").alias("component")
+    nodes = written(reps.join(linked, "node", "left").select(*reps.columns, component), "components")
+    placed = shared.select("token", "node", "n").join(homes.join(linked, "node", "left").select("node", "grp", component), "node")
+    placed = written(few_tasks(placed, listings), "placed")
     open_lists = placed.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    placed = written(placed.join(open_lists, "token"), "open-lists")
+    placed = written(few_tasks(placed.drop("component").join(open_lists, "token"), listings), "open-lists")
     listed = placed.select("node", "grp").distinct()
-    if own:
-        asks = listed
-    else:
-        columns = placed.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        near = (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100)
-        asks = placed.join(columns, "token").where("grp < other").where(near).select("node", F.col("other").alias("grp")).distinct()
-    asks = written(asks.withColumn("own", F.lit(own)), "asks")
+    columns = placed.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    near = (F.col("least") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("most") * 100)
+    others = placed.join(columns, "token").where("grp < other").where(near).select("node", F.col("other").alias("grp")).distinct()
+    asks = listed.withColumn("own", F.lit(True)).unionByName(others.withColumn("own", F.lit(False)))
+    asks = written(few_tasks(asks, listings), "asks")
     return written(links.unionByName(open_groups(docs, nodes, listed, asks, width, percent)), "links-found")
 
 
+def together(nodes: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, rows) of prefix tokens that several nodes list; rows are the nodes that list the token.
+
+    Sets that fit in size lie in one or two neighbouring bands of sizes, each wider than the ratio that fits. A list whose nodes
+    all lie in bands of their own is left by those without a neighbouring band: they are similar to no other node of the list.
+    """
+    wide = max(math.log(100 / percent), 0.01) * 1.0001
+    bit = lambda step: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(F.log("n") / wide) + step, F.lit(64)).cast("int"))
+    prefixes = nodes.select("node", "n", F.explode("prefix").alias("token")).repartition("token")
+    # The ends of a list read all columns, so that Spark deals the rows out once for the lists and for the join with them.
+    ends = [F.min("node").alias("least"), F.max("node").alias("most")]
+    lists = prefixes.groupBy("token").agg(F.count("*").alias("rows"), F.bit_or(bit(0)).alias("bands"), *ends).where("least <> most").drop("least", "most")
+    fits = (F.col("rows") > F.bit_count("bands")) | (F.col("bands").bitwiseAND(bit(1).bitwiseOR(bit(-1))) != 0)
+    return prefixes.join(lists, "token").where(fits).select("token", "node", "n", "rows")
+
+
 def _resolved(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Per input row: id, digest of its text, set size, and a name of its component (null without words)."""
     picked = docs.select(docs[id_col].alias("id"), no_text(text_col).alias("text")).withColumn("said", F.xxhash64("text"))
@@ -317,25 +330,23 @@ def _resolved(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     firsts = [F.first(c).alias(name) for c, name in (("n_shingles", "n"), ("bits", "bits"), ("prefix", "prefix"))]
     nodes = written(rows.where("node is not null").groupBy("node").agg(one, *firsts).select("node", "one.id", "one.said", "n", "bits", "prefix"), "nodes")
     reps = nodes.drop("prefix")
-    prefixes = nodes.select("node", "n", F.explode("prefix").alias("token"))
     # Only a count and a maximum per token meet, never a token's list. A list is led by the node that shares most: among copies
     # of one text with edits of their own, that is the text itself or the one nearest to it.
-    lists = prefixes.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1")
-    several = written(prefixes.join(lists, "token"), "several")
+    several = written(together(nodes, percent), "several")
     weight = several.groupBy("node").agg(F.sum("rows").alias("weight"))
     leads = several.select("token", "node", "n").join(weight, "node").groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("lead"))
     shared = written(several.select("token", "node", "n").join(leads, "token"), "shared")
     fits = (F.least("n", "lead.n") * 100) >= (F.greatest("n", "lead.n") * percent)
     stars = shared.where("node <> lead.node").where(fits).select("node", F.col("lead.node").alias("grp"), F.lit(False).alias("own")).distinct()
-    stars = written(stars, "stars")
+    listings = shared.count()
+    stars = written(few_tasks(stars, listings), "stars")
     leaders = stars.select(F.col("grp").alias("node"), "grp").distinct()
     first = written(open_groups(picked, reps.withColumn("component", F.col("node")), leaders, stars, width, percent), "round-one")
     # From here on a group is what one node leads: its copies, linked or not.
     homes = shared.groupBy("node").agg(F.max(F.struct("lead.weight", F.col("lead.node").alias("grp"))).alias("home"))
-    homes = written(homes.select("node", "home.grp"), "homes")
-    links = ask(picked, reps, shared, homes, first, True, width, percent)
-    links = ask(picked, reps, shared, homes, links, False, width, percent)
-    named = written(rows.where("node is not null").select("id", "node").distinct(), "named")
+    homes = written(few_tasks(homes.select("node", "home.grp"), listings), "homes")
+    links = ask(picked, reps, shared, homes, first, listings, width, percent)
+    named = written(few_tasks(rows.where("node is not null").select("id", "node").distinct(), rows.count()), "named")
     # The sets of one id are linked through the least of them.
     least = named.where("id is not null").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most")
     final = components(links.unionByName(named.join(least, "id").where("node <> b").select(F.col("node").alias("a"), "b")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
 CHUNK_BYTES = 3_000_000
+ROWS_A_TASK = 100_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +41,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, made from `rows` rows, in a task per ROWS_A_TASK of them if these are fewer than a shuffle's tasks."""
+    tasks = max(1, -(-rows // ROWS_A_TASK))
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def no_text(column: str) -> Column:
     """The text column with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomtrace.llm import jaccard, recompression, suffix_dedup
+from loomtrace.llm import jaccard, recompression, shared, suffix_dedup
 from loomtrace.llm.components import components
 from tests.llm import plain
 
@@ -143,3 +143,38 @@ def test_a_small_set_in_a_block_opens_no_others(spark):
     placed = spark.createDataFrame([(9, 0, 0, kind, node) for kind, node in ((0, 0), (0, 1), (0, 2), (1, 3), (1, 4))], "grp long, mb int, qb int, kind int, node long")
     out = sorted((row.kind, row.node) for row in jaccard.qualifying(nodes, placed, 90).collect())
     assert out == [(0, 2), (1, 4)]
+
+
+def test_lists_keep_all_sets_that_fit_and_leave_out_others(spark):
+    r = random.Random(3)
+    sizes = [9, 10, 90, 100, 111, 810, 900, 1000, *(r.randint(1, 1500) for _ in range(120))]
+    rows = [(k, n, [*r.sample(range(60), 5), *([999] if n in (10, 100, 1000) else [])]) for k, n in enumerate(sizes)]
+    nodes = spark.createDataFrame(rows, "node long, n long, prefix array<long>")
+    for percent in (80, 90, 100):
+        kept = {(row.token, row.node): row.rows for row in jaccard.together(nodes, percent).collect()}
+        lists = {t: [(k, n) for k, n, tokens in rows if t in tokens] for t in (*range(60), 999)}
+        assert all(c == len(lists[t]) for (t, _), c in kept.items())
+        fitting = {(t, a) for t, those in lists.items() for a, n in those for b, m in those if a != b and min(n, m) * 100 >= percent * max(n, m)}
+        assert fitting <= kept.keys()
+        assert not [a for t, a in kept if t == 999]
+
+
+def test_groups_are_asked_twice_only(spark, monkeypatch):
+    """Behind their leaders first, then in all groups of the lists that are still open: each round costs tables and shuffles."""
+    names = []
+    monkeypatch.setattr(jaccard, "written", lambda df, name, write=jaccard.written: (names.append(name), write(df, name))[1])
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(60):
+        at, n = r.randrange(120), r.randint(60, 110)
+        rows.append((k, " ".join(w if r.random() > 0.01 else "x" for w in words[at : at + n])))
+    out = got(jaccard.jaccard_components(plain.fixture(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert out == plain.components(rows)
+    assert names.count("qualifying") == 2
+
+
+def test_few_rows_take_few_tasks(spark):
+    many = spark.range(10, numPartitions=50)
+    assert shared.few_tasks(many, 10).rdd.getNumPartitions() == 1
+    assert shared.few_tasks(many, 100 * shared.ROWS_A_TASK).rdd.getNumPartitions() == 50
